@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -31,36 +32,41 @@ END_ID = 2
 #: A block is closed at this many ids, after the document that reaches it.
 BLOCK_IDS = 1 << 16
 #: Pieces of text whose ids a worker remembers.
-CACHE = 400_000
+CACHE = 1_000_000
 TOKENIZER = "word_bpe_49k.json"
 
 
+#: Bits of small ids.
+BITS = np.array([max(1, i.bit_length()) for i in range(1 << 16)], dtype=np.uint8)
+
+
 def encode(ids: np.ndarray) -> np.ndarray:
     """uint64 ids as Simple-8b words. Each place is given the selector that packs most; a walk then keeps the words' starts."""
     ids = np.asarray(ids, dtype=np.uint64)
     n = len(ids)
     if not n:
         return np.zeros(0, dtype=np.uint64)
-    # bits of each id, then of the largest in a window of each count, by doubling
-    bits = np.ones(n, dtype=np.uint8)
-    for shift in (32, 16, 8, 4, 2, 1):
-        bits += np.where((ids >> (bits.astype(np.uint64) + np.uint64(shift - 1))) > 0, np.uint8(shift), np.uint8(0))
-    doubled = {1: bits}
-    size = 1
-    while 2 * size <= COUNTS[0]:
-        last = doubled[size]
-        wide = np.maximum(last[: max(0, len(last) - size)], last[size:])
-        doubled[2 * size] = wide
-        size *= 2
+    top = int(ids.max())
+    if top < len(BITS):
+        bits = BITS[ids]
+    else:
+        bits = np.ones(n, dtype=np.uint8)
+        for shift in (32, 16, 8, 4, 2, 1):
+            bits += np.where((ids >> (bits.astype(np.uint64) + np.uint64(shift - 1))) > 0, np.uint8(shift), np.uint8(0))
+    # the most bits in a window of each count, from windows of half its size; once no window fits, no longer one does
     chosen = np.full(n, ESCAPE, dtype=np.int64)
+    doubled, size = bits, 1
     for selector in range(len(COUNTS) - 1, -1, -1):
         count, width = COUNTS[selector], WIDTHS[selector]
         if n < count:
-            continue
-        half = 1 << (count.bit_length() - 1)
-        own = doubled[half]
-        most = np.maximum(own[: n - count + 1], own[count - half : n - half + 1])
-        chosen[: n - count + 1][most <= width] = selector
+            break
+        while 2 * size <= count:
+            doubled = np.maximum(doubled[: len(doubled) - size], doubled[size:])
+            size *= 2
+        fits = np.maximum(doubled[: n - count + 1], doubled[count - size : n - size + 1]) <= width
+        if not fits.any():
+            break
+        chosen[: n - count + 1][fits] = selector
     steps = np.array([*COUNTS, 1, 1], dtype=np.int64)[chosen].tolist()
     starts, at = [], 0
     while at < n:
@@ -109,7 +115,7 @@ def decode(words: np.ndarray) -> np.ndarray:
 
 class Encoder:
     """Ids of whole texts. The tokenizer's pre-tokenizer drops white space and splits at it, so pieces between spaces and
-    line ends are encoded once and remembered."""
+    line ends are encoded once and remembered, as long as a worker lives or CACHE pieces are reached."""
 
     def __init__(self, name: str = TOKENIZER) -> None:
         import os
@@ -119,19 +125,48 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.known: dict[str, tuple[int, ...]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat = np.zeros(1 << 20, dtype=np.uint32)
+        self.ends = np.zeros(CACHE + 1, dtype=np.int64)
+
+    def _learn(self, new: list[str]) -> None:
+        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        ids = [x.ids for x in found]
+        n, counts = len(self.known), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        own = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(counts.sum()))
+        if n + len(new) >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros(len(self.ends) + len(new), dtype=np.int64)])
+        first = int(self.ends[n])
+        if first + len(own) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + len(own), dtype=np.uint32)])
+        self.flat[first : first + len(own)] = own
+        self.ends[n + 1 : n + 1 + len(new)] = first + np.cumsum(counts)
+        self.known.update(zip(new, range(n, n + len(new)), strict=True))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, followed by none: ends are the caller's."""
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        new = list({p for own in pieces for p in own if p not in known})
+        if len(self.known) > CACHE:
+            self._forget()
+        new = list(set(chain.from_iterable(pieces)).difference(self.known))
         for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for piece, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[piece] = tuple(found.ids)
-        return [np.fromiter(chain.from_iterable(map(known.__getitem__, own)), dtype=np.uint32) for own in pieces]
+            self._learn(new[at : at + 4096])
+        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(pieces)), dtype=np.int64, count=int(sizes.sum()))
+        first = self.ends[index]
+        counts = self.ends[index + 1] - first
+        ends = np.cumsum(counts)
+        ids = self.flat[np.repeat(first - ends + counts, counts) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return np.split(ids, np.concatenate([[0], ends])[np.cumsum(sizes)][:-1])
+
+
+@lru_cache(maxsize=1)
+def encoder(name: str = TOKENIZER) -> Encoder:
+    """The worker's encoder."""
+    return Encoder(name)
 
 
 BLOCKS = "part int, block int, start bigint, n_ids bigint, docs binary, has_doc binary, counts binary, words binary"
@@ -163,7 +198,7 @@ def _blocks(part: int, rows: Iterator[tuple[int | None, np.ndarray]]) -> Iterato
         yield close()
 
 
-def write(docs: DataFrame, path: str, encoder: Callable[[], Callable[[list[str]], list[np.ndarray]]] = Encoder, end_id: int = END_ID) -> None:
+def write(docs: DataFrame, path: str, tokenizer: Callable[[], Callable[[list[str]], list[np.ndarray]]] = encoder, end_id: int = END_ID) -> None:
     """Write the ids of each text, and end_id, to path, in ascending order of doc_id."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -173,7 +208,7 @@ def write(docs: DataFrame, path: str, encoder: Callable[[], Callable[[list[str]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        to_ids = encoder()
+        to_ids = tokenizer()
 
         def each() -> Iterator[tuple[int | None, np.ndarray]]:
             for batch in batches:
