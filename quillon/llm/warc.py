@@ -55,10 +55,9 @@ def write(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, date: str
     first = narrow.groupBy("digest").agg(F.min("page_id").alias("first"))
     revisit = (F.col("n") >= min_revisit) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     narrow.join(first, "digest").withColumn("revisit", revisit).select("page_id", "digest", _header(date).alias("header")).write.parquet(f"{path}/headers")
-    keep = first.select(F.col("first").alias("__page"), F.col("digest").alias("__digest"))
-    whole = pages.withColumn("digest", F.sha2("payload", 256))
-    (whole.join(keep, whole["page_id"].eqNullSafe(keep["__page"]) & (whole["digest"] == keep["__digest"]), "left_semi")
-        .groupBy("digest").agg(F.first("payload").alias("payload")).write.parquet(f"{path}/payloads"))
+    # one shuffle of payloads, after copies within a task have met
+    whole = pages.select(F.sha2("payload", 256).alias("digest"), "payload")
+    whole.groupBy("digest").agg(F.first("payload").alias("payload")).write.parquet(f"{path}/payloads")
 
 
 def _tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
