@@ -2,10 +2,10 @@
 
 A K-mer of code points is chosen if its smallest inner S-mer, by hash, is its first or last: a choice that depends on
 nothing around it, so equal passages have equal anchors wherever they stand. A fingerprint holds the KEPT anchors of
-smallest hash, each with its first place in the text; anchors of two fingerprints match by hash, and the places say by
+smallest hash, each with its place in the text (the same K-mer again is an anchor again); anchors of two fingerprints match by hash, and the places say by
 how far the passages moved.
 
-Defined cases: a null or empty text has an empty fingerprint; a text of fewer than K code points is one anchor; two empty
+Defined cases: a null or empty text has an empty fingerprint; a text of fewer than 2 * SHORT_S code points is one anchor; two empty
 fingerprints have likeness 1, an empty and another one 0; documents are in ascending doc_id order, null ids first, ties by
 text; a table of one document has that as its own next; extra columns are not looked at.
 """
@@ -26,39 +26,50 @@ from .common import mix, partitions
 
 S = 6
 K = 2 * S
+#: Texts of fewer code points than SHORT, in which an edit would hit every K-mer, use these sizes instead.
+SHORT, SHORT_S = 64, 2
 KEPT = 128
 #: Hexadecimal digits of an anchor's hash and of its place, at most the largest that fits.
 HASH_DIGITS, PLACE_DIGITS = 8, 6
 ANCHOR = HASH_DIGITS + PLACE_DIGITS
 
 
-def syncmers(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the closed syncmers of a text of at least K code points."""
+def syncmers(text: str, s: int = S) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the closed syncmers, of 2 * s code points, of a text of at least as many."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    n = len(points) - S + 1
+    n = len(points) - s + 1
     with np.errstate(over="ignore"):
         inner = points[:n].copy()
-        for i in range(1, S):
+        for i in range(1, s):
             inner *= np.uint64(0x9E3779B97F4A7C15)
             inner += points[i : i + n]
         inner = mix(inner)
-        width = K - S + 1
-        two = np.minimum(inner[:-1], inner[1:])
-        four = np.minimum(two[:-2], two[2:])
-        least = np.minimum(four[: len(four) - width + 4], four[width - 4 :])
+        width = s + 1
+        least, size = inner, 1
+        while 2 * size <= width:
+            least, size = np.minimum(least[:-size], least[size:]), 2 * size
+        least = np.minimum(least[: len(least) - width + size], least[width - size :])
         m = len(least)
         place = np.flatnonzero((inner[:m] == least) | (inner[width - 1 : width - 1 + m] == least))
-        return mix(inner[place] * np.uint64(0xD1342543DE82EF95) + inner[place + S]), place
+        return mix(inner[place] * np.uint64(0xD1342543DE82EF95) + inner[place + s]), place
 
 
 def fingerprint(text: str | None) -> str:
     if not text:
         return ""
-    if len(text) < K:
+    s = S if len(text) >= SHORT else SHORT_S
+    if len(text) < 2 * s:
         digest = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
         hashes, places = np.frombuffer(digest, dtype="<u8"), np.zeros(1, dtype=np.int64)
     else:
-        hashes, places = syncmers(text)
+        hashes, places = syncmers(text, s)
+        # a passage that repeats counts each time: its further anchors get hashes of their own
+        order = np.argsort(hashes, kind="stable")
+        ordered = hashes[order]
+        new = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        again = np.arange(len(order)) - np.repeat(new, np.diff(np.append(new, len(order))))
+        with np.errstate(over="ignore"):
+            hashes, places = mix(ordered + again.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)), places[order]
     short, first = np.unique((hashes >> np.uint64(64 - 4 * HASH_DIGITS)).astype(np.uint64), return_index=True)
     packed = (short[:KEPT] << np.uint64(4 * PLACE_DIGITS)) | np.minimum(places[first[:KEPT]], (1 << 4 * PLACE_DIGITS) - 1).astype(np.uint64)
     raw = packed.astype(">u8").tobytes().hex()

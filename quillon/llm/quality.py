@@ -49,10 +49,10 @@ def statistics(text: str | None) -> np.ndarray:
     share = lambda x, of, usual, weight: np.arcsin(np.sqrt((x + usual * weight) / (of + weight)))
     letters = kinds[1] + kinds[2] + kinds[7]
     return np.array([
-        np.log(n + 1.0), np.log((n_chars - kinds[4] + 5.0) / (n + 1.0)), np.log((n + 8.0) / (lines + 1.0)),
-        share(kinds[0], n_chars, 0.005, 50), share(kinds[2], letters, 0.03, 50), share(kinds[3], n_chars, 0.005, 50),
-        share(kinds[5], n_chars, 0.02, 50), share(kinds[6], n_chars, 0.002, 50), share(kinds[7], n_chars, 0.02, 50),
-        share(again, n, 0.01, 20), share(distinct, n, 0.7, 20), share(kinds[4], n_chars, 0.16, 50),
+        np.log(n + 20.0), np.log((n_chars - kinds[4] + 100.0) / (n + 20.0)), np.log((n + 40.0) / (lines + 1.0)),
+        share(kinds[0], n_chars, 0.0002, 100), share(kinds[2], letters, 0.018, 100), share(kinds[3], n_chars, 0.0002, 100),
+        share(kinds[5], n_chars, 0.023, 100), share(kinds[6], n_chars, 0.0002, 100), share(kinds[7], n_chars, 0.02, 100),
+        share(again, n, 0.006, 20), share(distinct, n, 0.77, 20), share(kinds[4], n_chars, 0.16, 100),
     ])
 
 
