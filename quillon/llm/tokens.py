@@ -12,6 +12,7 @@ looked at.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -32,7 +33,7 @@ END_ID = 2
 #: A block is closed at this many ids, after the document that reaches it.
 BLOCK_IDS = 1 << 16
 #: Pieces of text whose ids a worker remembers.
-CACHE = 1_000_000
+CACHE = 2_000_000
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -113,6 +114,20 @@ def decode(words: np.ndarray) -> np.ndarray:
     return out
 
 
+#: A mark after a letter and before a space or line end: the pre-tokenizer splits there in any case.
+MARK = re.compile(r"(?<=[a-z\xdf-\xf6\xf8-\xff])([,.])(?=[ \n])")
+
+
+def _simplified(text: str) -> str:
+    """A text with the same ids and fewer different pieces: lower case, and marks apart from words. Only texts of
+    Latin-1 are changed, whose lower case is the normaliser's, and none that could hold a special token."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text if "<|" in text else MARK.sub(r" \1", text.lower())
+
+
 class Encoder:
     """Ids of whole texts. The tokenizer's pre-tokenizer drops white space and splits at it, so pieces between spaces and
     line ends are encoded once and remembered, as long as a worker lives or CACHE pieces are reached."""
@@ -148,7 +163,7 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, followed by none: ends are the caller's."""
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
+        pieces = [_simplified(t).replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > CACHE:
             self._forget()
         new = list(set(chain.from_iterable(pieces)).difference(self.known))
