@@ -23,7 +23,7 @@ t AS (SELECT doc_id, i, w[i] AS word, CASE WHEN i > 1 THEN w[i - 1] END AS prev
 o1 AS (SELECT doc_id, word, count(*) AS c FROM t GROUP BY ALL), c1 AS (SELECT word, sum(c) AS c FROM o1 GROUP BY word),
 o2 AS (SELECT doc_id, prev, word, count(*) AS c FROM t WHERE prev IS NOT NULL GROUP BY ALL), c2 AS (SELECT prev, word, sum(c) AS c FROM o2 GROUP BY ALL),
 total AS (SELECT sum(c) AS n FROM c1), own AS (SELECT doc_id, len(w) AS n FROM d),
-x AS (SELECT t.doc_id, prev IS NOT NULL AS mid, coalesce(c2.c - o2.c, 0) AS pair, p1.c - q1.c AS before, c1.c - o1.c AS alone, greatest(1, total.n - own.n) AS n
+x AS (SELECT t.doc_id, t.prev IS NOT NULL AS mid, coalesce(c2.c - o2.c, 0) AS pair, p1.c - q1.c AS before, c1.c - o1.c AS alone, greatest(1, total.n - own.n) AS n
       FROM t CROSS JOIN total JOIN own USING (doc_id)
       JOIN c1 ON c1.word = t.word JOIN o1 ON o1.doc_id = t.doc_id AND o1.word = t.word
       LEFT JOIN c2 ON c2.prev = t.prev AND c2.word = t.word LEFT JOIN o2 ON o2.doc_id = t.doc_id AND o2.prev = t.prev AND o2.word = t.word

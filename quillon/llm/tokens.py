@@ -16,7 +16,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ END_ID = 2
 #: A block is closed at this many ids, after the document that reaches it.
 BLOCK_IDS = 1 << 16
 #: Pieces of text whose ids a worker remembers.
-CACHE = 2_000_000
+CACHE = 1_000_000
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -140,6 +140,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+        vocabulary = self.tokenizer.get_vocab()
+        #: whether an id closes a word
+        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -148,10 +152,20 @@ class Encoder:
         self.ends = np.zeros(CACHE + 1, dtype=np.int64)
 
     def _learn(self, new: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        ids = [x.ids for x in found]
-        n, counts = len(self.known), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        own = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(counts.sum()))
+        # pieces of letters alone are one word each, whose last id closes it: many can be encoded as one text
+        plain = [p for p in new if p.isalpha() and len(p) < 64]
+        own, counts = self._together(plain)
+        if own is None:
+            plain, own, counts = [], np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+        if len(plain) < len(new):
+            taken = set(plain)
+            rest = [p for p in new if p not in taken]
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+            more = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+            own = np.concatenate([own, np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(more.sum()))])
+            counts = np.concatenate([counts, more])
+            new = plain + rest
+        n = len(self.known)
         if n + len(new) >= len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros(len(self.ends) + len(new), dtype=np.int64)])
         first = int(self.ends[n])
@@ -161,16 +175,25 @@ class Encoder:
         self.ends[n + 1 : n + 1 + len(new)] = first + np.cumsum(counts)
         self.known.update(zip(new, range(n, n + len(new)), strict=True))
 
+    def _together(self, plain: list[str]) -> tuple[np.ndarray | None, np.ndarray | None]:
+        """The ids of pieces that are one word each, and how many each has; None if the ids don't show as many words."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        return (ids, np.diff(ends, prepend=0)) if len(ends) == len(plain) and (not plain or ends[-1] == len(ids)) else (None, None)
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, followed by none: ends are the caller's."""
         pieces = [_simplified(t).replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > CACHE:
             self._forget()
-        new = list(set(chain.from_iterable(pieces)).difference(self.known))
+        flat = list(chain.from_iterable(pieces))
+        index = np.fromiter(map(self.known.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
+        missing = np.flatnonzero(index < 0).tolist()
+        new = list({flat[i] for i in missing})
         for at in range(0, len(new), 4096):
             self._learn(new[at : at + 4096])
+        index[missing] = [self.known[flat[i]] for i in missing]
         sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
-        index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(pieces)), dtype=np.int64, count=int(sizes.sum()))
         first = self.ends[index]
         counts = self.ends[index + 1] - first
         ends = np.cumsum(counts)
