@@ -2,25 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from . import audit, scalars, spans, subjects
 
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def mask_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    masked = F.regexp_replace("text", EMAIL, "<EMAIL>")
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", F.md5(masked).alias("masked_md5"), F.size(F.regexp_extract_all("text", F.lit(EMAIL), F.lit(0))).alias("n_spans")
-    )
-
-
-QUERIES = {"mask_documents": mask_documents}
-ORACLES = {
-    "mask_documents": f"""SELECT doc_id, md5(regexp_replace(text, '{EMAIL}', '<EMAIL>', 'g')) AS masked_md5,
-    CAST(len(regexp_extract_all(text, '{EMAIL}')) AS INTEGER) AS n_spans FROM documents"""
-}
+MODULES = [spans, scalars, subjects, audit]
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
