@@ -51,7 +51,7 @@ def decoded(content: Column) -> Column:
 
 
 def read_text(spark: SparkSession, folder: str) -> DataFrame:
-    """path and text of the .txt files; bytes that no charset reads fail the query."""
+    """path and text of the .txt files; bytes that no charset reads fail the query, and files without bytes have no row."""
     text = decoded(F.col("content"))
     return scan(spark, folder).where("extension = 'txt'").select("path", F.coalesce(text, F.raise_error(F.concat(F.lit("no known charset: "), "path"))).alias("text"))
 
