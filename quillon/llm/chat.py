@@ -78,7 +78,9 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     rows = rows.select(F.col("conv_id").cast("long"), F.struct(F.col("turn").alias("turn"), role.alias("role"), text.alias("text")).alias("t"))
     convs = rows.groupBy("conv_id").agg(_plain(F.array_sort(F.collect_list("t"))).alias("source"))
     plain = convs.withColumn("formatted", _render(F.col("source")))
-    tried = plain.withColumn("escaped", _plain(parse(F.col("formatted"))) != F.col("source"))
+    # a mark within content is escaped in any case: other readers may know it where this parser looks for none
+    marked = F.exists("source", lambda t: F.concat(t["role"], F.lit(" "), t["text"]).rlike(r"<\|im_(?:start|end)\|>"))
+    tried = plain.withColumn("escaped", (_plain(parse(F.col("formatted"))) != F.col("source")) | marked)
     guarded = F.transform("source", lambda t: F.struct(_escape_role(t["role"]).alias("role"), _escape_text(t["text"]).alias("text")))
     done = tried.withColumn("formatted", F.when(F.col("escaped"), _render(guarded)).otherwise(F.col("formatted")))
     turns = done.withColumn("turns", parse(F.col("formatted")))

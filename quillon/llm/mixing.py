@@ -129,12 +129,12 @@ def totals(mixed: DataFrame) -> DataFrame:
 
 def draw(docs: DataFrame, **options: int) -> DataFrame:
     """The rows of docs, with all their columns, each as often as the mix takes it, shuffled within shards."""
-    mixed = mix(docs, **options)
-    copies = mixed.select(
-        F.col("doc_id").alias("__doc"), F.col("source").alias("__source"), F.col("size").alias("__size"), "key", "shards"
-    ).dropDuplicates(["key", "__doc"])  # rows that agree in id, source and size are taken alike
-    same = docs["doc_id"].cast("long").eqNullSafe(copies["__doc"]) & docs["source"].cast("string").eqNullSafe(copies["__source"])
-    joined = docs.join(copies, same & (n_words(docs["text"].cast("string")) == copies["__size"]))
-    repeated = joined.select(*[docs[c] for c in docs.columns], "key", F.posexplode("shards").alias("__copy", "__shard"))
+    copies = mix(docs, **options).select("doc_id", "source", "size", "key", "shards").dropDuplicates(["key", "doc_id"])  # rows that agree in id, source and size are taken alike
+    # the row as one column, so that its names meet no others
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("r_id"), F.col("source").cast("string").alias("r_source"), n_words(F.col("text").cast("string")).alias("r_size"), F.struct(*docs.columns).alias("row")
+    )
+    same = F.col("r_id").eqNullSafe(F.col("doc_id")) & F.col("r_source").eqNullSafe(F.col("source")) & (F.col("r_size") == F.col("size"))
+    repeated = rows.join(copies.where(F.size("shards") > 0), same).select("row", "key", F.posexplode("shards").alias("copy", "shard"))
     # a shard's rows by hash: its local shuffle
-    return repeated.withColumn("__order", F.xxhash64("key", "__copy", "__shard")).sortWithinPartitions("__shard", "__order").select(*docs.columns)
+    return repeated.withColumn("place", F.xxhash64("key", "copy", "shard")).sortWithinPartitions("shard", "place").select("row.*")

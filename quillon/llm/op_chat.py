@@ -24,8 +24,8 @@ WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversat
            UNION ALL SELECT -1, 0, 'user', '{MARKS}' UNION ALL SELECT -1, 1, 'assistant', '{MARKS}'),
 g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn) AS said,
              coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS loss,
-             sum(length(role) + length(text) + 24) AS n, sum(len(regexp_extract_all(text, '<\|'))) AS marks, bool_or(text LIKE '%<|%') AS any_mark
+             sum(length(role) + length(text) + 24) AS n, sum(len(regexp_extract_all(text, '<\\*\|'))) AS marks, bool_or(regexp_matches(text, '<\|im_(start|end)\|>|<\\+\|')) AS escaped
       FROM c GROUP BY conv_id)
 SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
-       sha256(loss) AS loss_sha256, CAST(n + marks AS BIGINT) AS formatted_chars FROM g"""
+       sha256(loss) AS loss_sha256, CAST(n + CASE WHEN escaped THEN marks ELSE 0 END AS BIGINT) AS formatted_chars FROM g"""
 }
