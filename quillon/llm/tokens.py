@@ -33,7 +33,7 @@ END_ID = 2
 #: A block is closed at this many ids, after the document that reaches it.
 BLOCK_IDS = 1 << 16
 #: Pieces of text whose ids a worker remembers.
-CACHE = 1_000_000
+CACHE = 600_000
 TOKENIZER = "word_bpe_49k.json"
 
 
