@@ -38,9 +38,18 @@ CHUNK_BITS = 12
 MINHASHES, LOOKED_UP = 16, 6
 #: Of a member's and a hub's min-hashes so many must agree before both are compared.
 AGREE = 10
+#: Hubs that a set is compared with in a round, and rounds at most; a round without new links is the last.
+HUBS, HUB_ROUNDS = 3, 2
+#: Buckets that show which n-grams a set has none of.
+SET_BITS = 2048
 FRAGMENTS = 4
-#: Bits of a Bloom filter at most (16 MB): what is broadcast is bounded by it.
-BLOOM_BITS = 1 << 27
+#: A Bloom filter has at most 2**BLOOM_BITS bits (2 MB): what is broadcast is bounded by it.
+BLOOM_BITS = 24
+
+#: Keys of at least HOT_KEY sets are hot; of a set's earlier hot keys so many are remembered.
+HOT_KEY, EARLIER = 32, 32
+#: N-grams that a task gathers before it deals them out.
+DEALT = 1 << 19
 
 _hash: list[RangeHash] = []
 
@@ -87,7 +96,7 @@ def _bucket_counts(hashes: DataFrame, make: Callable[[pa.RecordBatch], Iterator[
             for part in make(batch):
                 held.append(part)
                 size += len(part)
-                if size > 1 << 20:
+                if size > 1 << 19:
                     add()
         add()
         if not total.any():
@@ -112,10 +121,32 @@ def _bucket_counts(hashes: DataFrame, make: Callable[[pa.RecordBatch], Iterator[
 
 def _bloom(keys: DataFrame, spark: SparkSession) -> Callable[[np.ndarray], np.ndarray]:
     """A filter of the bigints of keys (one column). It lets all of them pass, and few others while they fit its bits."""
-    n = max(1, keys.count())
-    bits = min(BLOOM_BITS.bit_length() - 1, max(16, (16 * n).bit_length()))
-    seen = _bucket_counts(keys, lambda batch: iter([mix(batch.column(0).to_numpy().view(np.uint64))]), bits) > 0
-    packed = spark.sparkContext.broadcast(np.packbits(seen))
+    bits = min(BLOOM_BITS, max(16, (16 * max(1, keys.count())).bit_length()))
+    chunk = 1 << min(bits - 3, CHUNK_BITS)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        seen = np.zeros(1 << bits, dtype=bool)
+        for batch in batches:
+            seen[(mix(batch.column(0).to_numpy().view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)] = True
+        packed = np.packbits(seen)
+        group = TaskContext.get().partitionId() >> 8
+        for at in range(0, len(packed), chunk):
+            if (own := packed[at : at + chunk]).any():
+                yield pa.RecordBatch.from_arrays([pa.array([at // chunk], pa.int32()), pa.array([group], pa.int32()), pa.array([own.tobytes()])], names=["chunk", "group", "bits"])
+
+    def unite(table: pa.Table) -> pa.Table:
+        all_ = np.zeros(chunk, dtype=np.uint8)
+        for x in table.column("bits"):
+            all_ |= np.frombuffer(x.as_buffer(), dtype=np.uint8)
+        return pa.table({"chunk": table.column("chunk")[:1].cast(pa.int32()), "bits": pa.array([all_.tobytes()])})
+
+    united = keys.mapInArrow(mark, "chunk int, group int, bits binary").groupBy("chunk", "group").applyInArrow(unite, "chunk int, bits binary")
+    found = np.zeros(1 << bits - 3, dtype=np.uint8)
+    for at, own in united.groupBy("chunk").applyInArrow(unite, "chunk int, bits binary").collect():
+        found[at * chunk : (at + 1) * chunk] = np.frombuffer(own, dtype=np.uint8)
+    packed = spark.sparkContext.broadcast(found)
 
     def test(values: np.ndarray) -> np.ndarray:
         place = (mix(values.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
@@ -135,6 +166,11 @@ def _passes(test: Callable[[np.ndarray], np.ndarray], column: Column) -> Column:
     return passes(column)
 
 
+def _known_and(test: Callable[[np.ndarray], np.ndarray], values: pa.Array) -> np.ndarray:
+    known = values.is_valid().to_numpy(zero_copy_only=False)
+    return known & test(values.fill_null(0).to_numpy())
+
+
 # --- sets, classes, prefixes ---
 
 
@@ -148,15 +184,24 @@ def index_length(n: int, least: int = LEAST) -> int:
     return n - -(-2 * least * n // (100 + least)) + 1
 
 
-FEATURES = "doc_id bigint, n int, v bigint, w bigint, minhash binary, prefix binary"
+def _occupied(own: np.ndarray) -> bytes:
+    """Which of SET_BITS buckets a set's n-grams fall into. A bucket that one set occupies and another doesn't holds at
+    least one n-gram of the first alone, so such buckets bound the overlap from above, whatever the collisions."""
+    seen = np.zeros(SET_BITS, dtype=bool)
+    seen[(own >> np.uint64(64 - SET_BITS.bit_length() + 1)).astype(np.int64)] = True
+    return np.packbits(seen).tobytes()
+
+
+FEATURES = "doc_id bigint, n int, v bigint, w bigint, minhash binary, prefix binary, last int, bits binary"
 
 
 def features(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> DataFrame:
-    """Per row of docs (doc_id, text): n, the set's 128-bit hash (v, w), min-hashes, and the prefix in global order."""
+    """Per row of docs (doc_id, text): n, the set's 128-bit hash (v, w), min-hashes, the prefix in global order
+    and the frequency level of its last n-gram, and the occupied of SET_BITS buckets."""
     texts = docs.select("text")
     counts = _bucket_counts(texts, lambda batch: (shingles(t.as_py(), size) for t in batch.column(0)), SKETCH_BITS)
     level = docs.sparkSession.sparkContext.broadcast(np.round(8 * np.log2(1.0 + counts)).astype(np.uint8))
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("v", pa.int64()), ("w", pa.int64()), ("minhash", pa.binary()), ("prefix", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("v", pa.int64()), ("w", pa.int64()), ("minhash", pa.binary()), ("prefix", pa.binary()), ("last", pa.int32()), ("bits", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = level.value
@@ -167,7 +212,7 @@ def features(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> DataFrame
                 own = shingles(text.as_py(), size)
                 n = len(own)
                 if not n:
-                    rows.append((0, 0, 0, b"", b""))
+                    rows.append((0, 0, 0, b"", b"", 0, b""))
                     continue
                 digest = xxhash.xxh3_128_digest(own.tobytes())
                 v, w = (int.from_bytes(digest[i : i + 8], "little", signed=True) for i in (0, 8))
@@ -182,9 +227,9 @@ def features(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> DataFrame
                     first = own[near[np.argsort(order[near], kind="stable")[:k]]]
                 else:
                     first = own[np.argsort(order, kind="stable")]
-                rows.append((n, v, w, least_of.tobytes(), first.astype("<u8").tobytes()))
-            n, v, w, minhash, prefix = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(v, pa.int64()), pa.array(w, pa.int64()), pa.array(minhash, pa.binary()), pa.array(prefix, pa.binary())], schema=schema)
+                rows.append((n, v, w, least_of.tobytes(), first.astype("<u8").tobytes(), int(levels[int(first[-1]) >> (64 - SKETCH_BITS)]), _occupied(own)))
+            n, v, w, minhash, prefix, last, bits = zip(*rows, strict=True) if rows else [[]] * 7
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(v, pa.int64()), pa.array(w, pa.int64()), pa.array(minhash, pa.binary()), pa.array(prefix, pa.binary()), pa.array(last, pa.int32()), pa.array(bits, pa.binary())], schema=schema)
 
     return docs.mapInArrow(run, FEATURES)
 
@@ -199,30 +244,26 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int = SIZ
     """
     spark = docs.sparkSession
     used = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
-    ids = stored(reps.join(used, "v", "left_semi").select(F.col("rep").alias("__rep"), "v"), "used")
-    near = docs.where(_passes(_bloom(ids.select("__rep"), spark), F.col("doc_id")))
-    rows = near.join(ids, near["doc_id"] == ids["__rep"]).select("v", "text")
+    ids = stored(reps.join(used, "v", "left_semi").select("rep"), "used")
+    wanted = _bloom(ids, spark)
     shift = np.uint64(64 - (FRAGMENTS.bit_length() - 1))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(_known_and(wanted, batch.column(0))))
             out: list[tuple] = []
-            for v, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for text in batch.column(1):
                 own = shingles(text.as_py(), size)
-                # rows that repeat the representative's id with another text aren't meant
-                if int.from_bytes(xxhash.xxh3_128_digest(own.tobytes())[:8], "little", signed=True) != v:
-                    continue
-                ends = np.searchsorted(own >> shift, np.arange(FRAGMENTS + 1, dtype=np.uint64))
-                out.extend((v, f, len(own), own[ends[f] : ends[f + 1]].tobytes()) for f in range(FRAGMENTS))
+                if len(own):
+                    v = int.from_bytes(xxhash.xxh3_128_digest(own.tobytes())[:8], "little", signed=True)
+                    ends = np.searchsorted(own >> shift, np.arange(FRAGMENTS + 1, dtype=np.uint64))
+                    out.extend((v, f, len(own), own[ends[f] : ends[f + 1]].tobytes()) for f in range(FRAGMENTS))
             v, f, n, part = zip(*out, strict=True) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(f, pa.int32()), pa.array(n, pa.int32()), pa.array(part, pa.binary())], names=["v", "fragment", "n", "part"])
 
-    # a representative's row may repeat: one of equal ones is enough
-    parts = rows.mapInArrow(cut, "v bigint, fragment int, n int, part binary")
-    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1)
-    if not repeated.isEmpty():
-        parts = parts.groupBy("v", "fragment").agg(F.first("n").alias("n"), F.first("part").alias("part"))
-    parts = stored(parts, "fragments")
+    # rows that the filter lets pass by chance meet no pair, unless their set is that of a representative: once is enough
+    parts = docs.select("doc_id", "text").mapInArrow(cut, "v bigint, fragment int, n int, part binary")
+    parts = stored(parts.groupBy("v", "fragment").agg(F.first("n").alias("n"), F.first("part").alias("part")).join(used, "v", "left_semi"), "fragments")
     each = pairs.select("a", "b", F.explode(F.array(*[F.lit(f) for f in range(FRAGMENTS)])).alias("fragment"))
     one = parts.select(F.col("v").alias("a"), "fragment", F.col("n").alias("na"), F.col("part").alias("pa"))
     two = parts.select(F.col("v").alias("b"), "fragment", F.col("n").alias("nb"), F.col("part").alias("pb"))
@@ -241,20 +282,36 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int = SIZ
     return sums.where(F.col("common") * (100 + least) >= F.lit(least).cast("long") * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def _hub_pairs(reps: DataFrame, least: int) -> DataFrame:
-    """Pairs of a set and a hub: the smallest v of those with an equal min-hash. Each set keeps two hubs, the smallest and
-    the likeliest, of those that enough min-hashes agree with; linear in the sets, however large their groups."""
+def _looked_up(reps: DataFrame) -> DataFrame:
+    """i, h, v, central: the min-hashes of each set that are looked up, and how common they are together. The set that a
+    group of near copies goes back to has the min-hashes most of them have, so it is the most central."""
     looked = F.array(*[F.struct(F.lit(i).alias("i"), F.substring("minhash", 4 * i + 1, 4).alias("h")) for i in range(LOOKED_UP)])
     keyed = reps.select("v", F.inline(looked))
-    hubs = keyed.groupBy("i", "h").agg(F.min("v").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    met = keyed.join(hubs, ["i", "h"]).where("v <> hub").select("v", "hub").distinct()
+    common = keyed.groupBy("i", "h").agg(F.count("*").alias("members")).where("members > 1")
+    met = keyed.join(common, ["i", "h"])
+    central = met.groupBy("v").agg(F.sum("members").alias("central"))
+    return met.drop("members").join(central, "v")
+
+
+def _hub_pairs(looked: DataFrame, reps: DataFrame, comps: DataFrame, round_: int, least: int) -> DataFrame:
+    """Pairs of a set and a hub of another component that share a min-hash; linear in the sets, however large their groups.
+
+    A min-hash's hub is of the component that most of its sets are of: the most central, in further rounds any. A set keeps
+    the hubs that most min-hashes agree with, up to three.
+    """
+    labelled = looked.join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+    order = F.struct("central", "v") if round_ == 0 else F.struct(F.xxhash64("v", F.lit(round_)), "v")
+    sizes = labelled.groupBy("i", "h", "comp").agg(F.count("*").alias("c"), F.max_by("v", order).alias("hub"), F.max("central").alias("central"))
+    hubs = sizes.groupBy("i", "h").agg(F.max_by(F.struct(F.col("comp").alias("main"), "hub"), F.struct("c", "central", "comp")).alias("x")).select("i", "h", "x.*")
+    met = labelled.join(hubs, ["i", "h"]).where("comp <> main").select("v", "hub").distinct()
     own = reps.select("v", "n", "minhash")
     hub = reps.select(F.col("v").alias("hub"), F.col("n").alias("hub_n"), F.col("minhash").alias("hub_minhash"))
     agree = sum(((F.substring("minhash", 4 * i + 1, 4) == F.substring("hub_minhash", 4 * i + 1, 4)).cast("int") for i in range(MINHASHES)), F.lit(0))
     likely = met.join(own, "v").join(hub, "hub").where(F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * least)
     likely = likely.select("v", "hub", agree.alias("agree")).where(F.col("agree") >= AGREE)
-    both = likely.groupBy("v").agg(F.min("hub").alias("first"), F.max_by("hub", F.struct("agree", "hub")).alias("best"))
-    return both.select(F.explode(F.array_distinct(F.array("first", "best"))).alias("hub"), "v").select(F.least("v", "hub").alias("a"), F.greatest("v", "hub").alias("b")).distinct()
+    first = F.slice(F.sort_array(F.collect_set(F.struct("agree", "hub")), False), 1, HUBS)
+    best = likely.groupBy("v").agg(first.alias("best"))
+    return best.select("v", F.explode("best.hub").alias("hub")).select(F.least("v", "hub").alias("a"), F.greatest("v", "hub").alias("b")).distinct()
 
 
 def _keys(tokens: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -262,20 +319,28 @@ def _keys(tokens: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return ((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32), tokens & np.uint64(0xFFFFFFFF)
 
 
-def _mixed(sets: DataFrame, parts: int) -> DataFrame:
-    """Keys of prefix n-grams that stand in sets of different components. sets: comp, prefix.
+def _alone(special: Callable[[np.ndarray], np.ndarray], v: pa.Array, comp: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows count, and their components. A row without a component stands for itself, unless its set is special:
+    then another row stands for it."""
+    own = v.to_numpy()
+    known = comp.is_valid().to_numpy(zero_copy_only=False)
+    return np.flatnonzero(known | ~special(own)), np.where(known, comp.fill_null(0).to_numpy(), own)
+
+
+def _mixed(sets: DataFrame, parts: int, special: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Keys of prefix n-grams that stand in sets of different components. sets: v, comp, prefix.
 
     A task sends each fragment a key's smallest and largest component only, whatever the number of sets that hold it.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            comp = batch.column(0).to_numpy()
-            lists = [np.frombuffer(x.as_buffer(), dtype="<u8") for x in batch.column(1)]
+        lists: list[np.ndarray] = []
+        held: list[int] = []
+        size = 0
+
+        def send() -> pa.RecordBatch:
             tokens = np.concatenate(lists)
-            comps = np.repeat(comp, [len(x) for x in lists])
+            comps = np.repeat(np.array(held, dtype=np.int64), [len(x) for x in lists])
             fragment, key = _keys(tokens, parts)
             whole = (fragment << np.uint64(32)) | key
             order = np.lexsort((comps, whole))
@@ -284,17 +349,31 @@ def _mixed(sets: DataFrame, parts: int) -> DataFrame:
             last = np.append(start[1:], len(whole)) - 1
             differ = comps[start] != comps[last]
             keys = np.concatenate([whole[start], whole[last[differ]]])
-            held = np.concatenate([comps[start], comps[last[differ]]])
+            comps = np.concatenate([comps[start], comps[last[differ]]])
             order = np.argsort(keys, kind="stable")
-            keys, held = keys[order], held[order]
+            keys, comps = keys[order], comps[order]
             low = (keys & np.uint64(0xFFFFFFFF)).astype("<u4")
             ends = np.searchsorted(keys >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
             full = np.flatnonzero(ends[1:] > ends[:-1])
-            yield pa.RecordBatch.from_arrays([
+            lists.clear()
+            held.clear()
+            return pa.RecordBatch.from_arrays([
                 pa.array(full, pa.int32()), pa.array([low[ends[f] : ends[f + 1]].tobytes() for f in full], pa.binary()),
-                pa.array([held[ends[f] : ends[f + 1]].tobytes() for f in full], pa.binary()),
+                pa.array([comps[ends[f] : ends[f + 1]].tobytes() for f in full], pa.binary()),
             ], names=["fragment", "keys", "comps"])
 
+        for batch in batches:
+            rows, comp = _alone(special, batch.column(0), batch.column(1))
+            for i in rows.tolist():
+                lists.append(np.frombuffer(bytes(batch.column(2)[i].as_buffer()), dtype="<u8"))
+                held.append(int(comp[i]))
+                size += len(lists[-1])
+                if size >= DEALT:
+                    yield send()
+                    size = 0
+        if lists:
+            yield send()
+
     def differing(table: pa.Table) -> pa.Table:
         fragment = table.column("fragment")[0].as_py()
         keys = np.concatenate([np.frombuffer(x.as_buffer(), dtype="<u4") for x in table.column("keys")])
@@ -305,48 +384,127 @@ def _mixed(sets: DataFrame, parts: int) -> DataFrame:
         mixed = np.minimum.reduceat(comps, start) != np.maximum.reduceat(comps, start)
         return pa.table({"key": pa.array((fragment << 32) + keys[start[mixed]].astype(np.int64), pa.int64())})
 
-    return sets.select("comp", "prefix").mapInArrow(deal, "fragment int, keys binary, comps binary").groupBy("fragment").applyInArrow(differing, "key bigint")
+    return sets.select("v", "comp", "prefix").mapInArrow(deal, "fragment int, keys binary, comps binary").groupBy("fragment").applyInArrow(differing, "key bigint")
 
 
-def _prefix_pairs(sets: DataFrame, least: int) -> DataFrame:
-    """Pairs of sets (v, comp, n, prefix) of different components that meet in their prefixes and may be similar."""
-    spark = sets.sparkSession
-    parts = partitions(spark)
-    mixed = stored(_mixed(sets, parts), "mixed")
-    test = _bloom(mixed, spark)
+def _postings(sets: DataFrame, parts: int, mixed: Callable[[np.ndarray], np.ndarray], hot: Callable[[np.ndarray], np.ndarray] | None, special: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """key, v, comp, n, pos and most: prefix n-grams that are mixed, and how many such stand in front in the same set.
+
+    With hot, of hot keys only, and also before, the first EARLIER hot keys in front, and free, how many others stand
+    there that a pair may share without meeting in before (all, if not every hot key in front is in before), and the
+    set's buckets as bigints b0, b1 ...
+    """
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows, comp = _alone(special, batch.column(0), batch.column(1))
+            batch, comp = batch.take(pa.array(rows)), comp[rows]
             lists = [np.frombuffer(x.as_buffer(), dtype="<u8") for x in batch.column(3)]
             sizes = np.array([len(x) for x in lists], dtype=np.int64)
             tokens = np.concatenate(lists) if lists else np.zeros(0, dtype=np.uint64)
             fragment, key = _keys(tokens, parts)
             keys = ((fragment << np.uint64(32)) | key).astype(np.int64)
             pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            take = np.flatnonzero(test(keys))
+            take = np.flatnonzero(mixed(keys))
             row = np.repeat(np.arange(len(lists)), sizes)[take]
+            most = np.arange(len(take)) - np.searchsorted(row, row)
+            more, buckets = [], []
+            if hot is not None:
+                own = np.flatnonzero(hot(keys[take]))
+                take, row, most = take[own], row[own], most[own]
+                first = np.searchsorted(row, row)
+                n_hot = np.arange(len(take)) - first
+                held = keys[take].tolist()
+                before = [held[f : min(i, f + EARLIER)] for i, f in enumerate(first.tolist())]
+                more = [pa.array(before, pa.list_(pa.int64())), pa.array(np.where(n_hot <= EARLIER, most - n_hot, most).astype(np.int32)), pa.array(n_hot <= EARLIER)]
+                bits = np.frombuffer(b"".join(x.as_py() for x in batch.column(4)), dtype="<i8").reshape(-1, SET_BITS // 64)
+                buckets = [pa.array(bits[row, i]) for i in range(SET_BITS // 64)]
             yield pa.RecordBatch.from_arrays([
-                pa.array(keys[take]), pa.array(batch.column(0).to_numpy()[row]), pa.array(batch.column(1).to_numpy()[row]),
-                pa.array(batch.column(2).to_numpy()[row]), pa.array(pos[take].astype(np.int32)),
-            ], names=["key", "v", "comp", "n", "pos"])
+                pa.array(keys[take]), pa.array(batch.column(0).to_numpy()[row]), pa.array(comp[row]),
+                pa.array(batch.column(2).to_numpy()[row]), pa.array(pos[take].astype(np.int32)), pa.array(most.astype(np.int32)), *more, *buckets,
+            ], names=[*("key", "v", "comp", "n", "pos", "most", "before", "free", "full")[: 6 + len(more)], *(f"b{i}" for i in range(len(buckets)))])
+
+    schema = "key bigint, v bigint, comp bigint, n int, pos int, most int"
+    if hot is not None:
+        schema += ", before array<bigint>, free int, full boolean" + "".join(f", b{i} bigint" for i in range(SET_BITS // 64))
+    return sets.select("v", "comp", "n", "prefix", "bits").mapInArrow(post, schema)
 
-    postings = stored(sets.select("v", "comp", "n", "prefix").mapInArrow(post, "key bigint, v bigint, comp bigint, n int, pos int"), "postings")
+
+def _met(postings: DataFrame, main: DataFrame, least: int) -> DataFrame:
+    """Pairs of different components that meet in a key of postings, the smaller set's within its index, and may be similar."""
     # within the component that a key's most sets are of, nothing is left to link: only others meet all
-    main = postings.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps"))
-    marked = postings.join(main.where("comps > 1").drop("comps"), "key")
+    marked = postings.join(main, "key")
+    columns = [c for c in marked.columns if c != "key"]
     index = F.col("pos") < F.col("n") - F.ceil(F.lit(2 * least) * F.col("n") / (100 + least)) + 1
-    a = marked.where(index).select("key", *[F.col(c).alias(f"a_{c}") for c in ("v", "comp", "n", "pos", "main")])
-    b = marked.select("key", *[F.col(c).alias(f"b_{c}") for c in ("v", "comp", "n", "pos", "main")])
-    bound = F.least("a_pos", "b_pos") + 1 + F.least(F.col("a_n") - F.col("a_pos") - 1, F.col("b_n") - F.col("b_pos") - 1)
+    a = marked.where(index).select("key", *[F.col(c).alias(f"a_{c}") for c in columns])
+    b = marked.select("key", *[F.col(c).alias(f"b_{c}") for c in columns])
+    # what both may have in front of the key, the key, and what may follow
+    front = F.least("a_most", "b_most")
+    if "before" in columns:
+        front = F.when(F.col("a_full") & F.col("b_full"), F.least("a_free", "b_free")).otherwise(front)
+    bound = front + 1 + F.least(F.col("a_n") - F.col("a_pos") - 1, F.col("b_n") - F.col("b_pos") - 1)
     may = (
         (F.col("a_comp") != F.col("b_comp"))
         & ((F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_v") < F.col("b_v"))))
         & (F.col("b_n") * least <= F.col("a_n") * 100)
         & (bound.cast("long") * (100 + least) >= F.lit(least).cast("long") * (F.col("a_n") + F.col("b_n")))
     )
+    if "before" in columns:
+        # n-grams of one set alone, by buckets that the other leaves empty; and a pair that has met before needs not meet again
+        alone = lambda x, y: sum((F.bit_count(F.col(f"{x}_b{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}_b{i}")))) for i in range(SET_BITS // 64)), F.lit(0))
+        common = F.least(F.col("a_n") - alone("a", "b"), F.col("b_n") - alone("b", "a"))
+        may = may & (common.cast("long") * (100 + least) >= F.lit(least).cast("long") * (F.col("a_n") + F.col("b_n")))
+        may = may & ~F.arrays_overlap("a_before", "b_before")
     minor_a = a.where("a_comp <> a_main").join(b, "key").where(may)
     minor_b = a.where("a_comp = a_main").join(b.where("b_comp <> b_main"), "key").where(may)
-    return minor_a.select("a_v", "b_v").unionByName(minor_b.select("a_v", "b_v")).select(F.least("a_v", "b_v").alias("a"), F.greatest("a_v", "b_v").alias("b")).distinct()
+    return minor_a.select("a_v", "b_v").unionByName(minor_b.select("a_v", "b_v")).select(F.least("a_v", "b_v").alias("a"), F.greatest("a_v", "b_v").alias("b"))
+
+
+def _prefix_pairs(sets: DataFrame, special: Callable[[np.ndarray], np.ndarray], least: int) -> DataFrame:
+    """Pairs of sets (v, comp, n, prefix, bits) of different components that meet in their prefixes and may be similar.
+
+    Keys that very many sets hold are joined apart, with each set's earlier such keys, so that a pair meets in the first
+    of them alone and not in each that it shares.
+    """
+    spark = sets.sparkSession
+    parts = partitions(spark)
+    mixed = stored(_mixed(sets, parts, special), "mixed")
+    is_mixed = _bloom(mixed, spark)
+    postings = stored(_postings(sets, parts, is_mixed, None, special), "postings")
+    counts = postings.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key")
+    main = counts.agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("c").alias("holders")).where("comps > 1")
+    main = stored(main, "keys")
+    # what counts as hot is the filter's word, the same for every set
+    hot = _bloom(stored(main.where(F.col("holders") >= HOT_KEY).select("key"), "hot-keys"), spark)
+    mains = main.select("key", "main")
+    cold = postings.where(~_passes(hot, F.col("key")))
+    return _met(cold, mains, least).unionByName(_met(_postings(sets, parts, is_mixed, hot, special), mains, least)).distinct()
+
+
+def _promising(pairs: DataFrame, found: DataFrame, least: int) -> DataFrame:
+    """Of pairs those whose overlap in the first fragment, the prefixes, leaves room for similarity.
+
+    Beyond the prefix that ends first in the global order, the rest of its set bounds what may still be common.
+    """
+    used = stored(pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct(), "met")
+    own = found.where(_passes(_bloom(used, found.sparkSession), F.col("v"))).groupBy("v").agg(*(F.first(c).alias(c) for c in ("n", "last", "prefix", "bits")))
+    own = stored(own.join(used, "v", "left_semi"), "prefixes")
+    one = own.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("last").alias("la"), F.col("prefix").alias("pa"), F.col("bits").alias("ba"))
+    two = own.select(F.col("v").alias("b"), F.col("n").alias("nb"), F.col("last").alias("lb"), F.col("prefix").alias("pb"), F.col("bits").alias("bb"))
+    met = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "la", "lb", "pa", "pb", "ba", "bb")
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for na, nb, la, lb, x, y, p, q in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), *(batch.column(i) for i in range(6, 10)), strict=True):
+                p, q = (np.frombuffer(z.as_buffer(), dtype="<u8") for z in (p, q))
+                common = min(na - int(np.bitwise_count(p & ~q).sum()), nb - int(np.bitwise_count(q & ~p).sum()))
+                x, y = np.frombuffer(x.as_buffer(), dtype="<u8"), np.frombuffer(y.as_buffer(), dtype="<u8")
+                rest = na - len(x) if (la, int(x[-1])) <= (lb, int(y[-1])) else nb - len(y)
+                keep.append(min(common, len(np.intersect1d(x, y, assume_unique=True)) + rest) * (100 + least) >= least * (na + nb))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
+
+    return met.mapInArrow(bounded, "a bigint, b bigint")
 
 
 def join(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> DataFrame:
@@ -354,16 +512,31 @@ def join(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> DataFrame:
     class of its set (v, w: equal sets share it)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = stored(features(docs, size, least), "sets")
-    classes = found.where("n > 0 and doc_id is not null").groupBy("v", "w", "n").agg(F.min("doc_id").alias("rep"))
+    classes = found.where("n > 0 and doc_id is not null").groupBy("v", "w", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
     classes = stored(classes, "classes")
     keyed = classes.select("rep", F.col("v").alias("__v"), F.col("w").alias("__w"))
-    reps = found.join(keyed, (found["doc_id"] == keyed["rep"]) & (found["v"] == keyed["__v"]) & (found["w"] == keyed["__w"])).select("rep", "v", "n", "minhash", "prefix")
-    narrow = found.join(keyed, (found["doc_id"] == keyed["rep"]) & (found["v"] == keyed["__v"]) & (found["w"] == keyed["__w"])).select("rep", "v", "n", "minhash").dropDuplicates(["v"])
+    is_rep = (found["doc_id"] == keyed["rep"]) & (found["v"] == keyed["__v"]) & (found["w"] == keyed["__w"])
+    narrow = found.join(keyed, is_rep).select("rep", "v", "n", "minhash").dropDuplicates(["v"])
     narrow = stored(narrow, "signatures")
-    links = stored(verified(stored(_hub_pairs(narrow, least), "hub-pairs"), docs, narrow, size, least), "links")
-    comps = components(links)
-    sets = reps.join(comps, "v", "left").select("v", F.coalesce("comp", "v").alias("comp"), "n", "prefix")
-    pairs = stored(_prefix_pairs(sets, least), "prefix-pairs")
+    looked = stored(_looked_up(narrow), "minhashes")
+    links = comps = None
+    for round_ in range(HUB_ROUNDS):
+        none = narrow.select("v", F.col("v").alias("comp")).where("false")
+        pairs = stored(_hub_pairs(looked, narrow, none if comps is None else comps, round_, least), "hub-pairs")
+        new = stored(verified(pairs, docs, narrow, size, least), "links")
+        links = new if links is None else links.unionByName(new)
+        if new.isEmpty() and comps is not None:
+            break
+        comps = components(links)
+    # prefixes stay where they are, but for those of linked sets and of sets that several rows have
+    several = classes.where("rows > 1").select("v").unionByName(comps.select("v"))
+    special = _bloom(stored(several, "special"), docs.sparkSession)
+    known = found.where("n > 0 and doc_id is not null")
+    alone = known.select("v", F.lit(None).cast("long").alias("comp"), "n", "prefix", "bits")
+    others = known.where(_passes(special, F.col("v"))).groupBy("v").agg(*(F.first(c).alias(c) for c in ("n", "prefix", "bits")))
+    others = others.join(comps, "v", "left").select("v", F.coalesce("comp", "v").alias("comp"), "n", "prefix", "bits")
+    pairs = stored(_prefix_pairs(alone.unionByName(stored(others, "linked-sets")), special, least), "prefix-pairs")
+    pairs = stored(_promising(pairs, known, least), "promising-pairs")
     more = stored(verified(pairs, docs, narrow, size, least), "links")
     comps = components(links.unionByName(more))
     # a component's smallest document, over the classes of its sets
