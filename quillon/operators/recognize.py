@@ -131,5 +131,5 @@ def of_layer(source: Column) -> Column:
     s = F.lower(source)
     return (
         F.when(s.rlike("regex|custom|pattern"), "regex").when(s.rlike("structure|contract"), "structure").when(s.rlike("uie"), "uie")
-        .when(s.rlike("ner"), "ner").when(s.rlike("qwen|review|llm"), "llm").when(s.rlike("alias|propagat"), "propagation").otherwise("unknown")
+        .when(s.rlike("ner"), "ner").when(s.rlike("review|llm"), "llm").when(s.rlike("alias|propagat"), "propagation").otherwise("unknown")
     )
