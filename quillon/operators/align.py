@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hard, normalize, page_tokens, similarity, text_score
+from ..session import checkpointed
 
 LEAST, MATCHED = 0.45, 0.75
 
@@ -50,16 +51,16 @@ def assign(pairs: DataFrame, rounds: int = 50) -> DataFrame:
     A pair that is the best of both its sides is certain; rounds of taking those and dropping what they exclude give the
     same links in parallel, and end when no pair is left.
     """
-    left = pairs.checkpoint()
+    left = checkpointed(pairs)
     taken = None
     order = [F.desc("score"), F.col("left_id"), F.col("right_id")]
     for _ in range(rounds):
         if left.isEmpty():
             break
         ranked = left.withColumn("__l", F.row_number().over(Window.partitionBy("left_id").orderBy(*order))).withColumn("__r", F.row_number().over(Window.partitionBy("right_id").orderBy(*order)))
-        best = ranked.where("__l = 1 and __r = 1").drop("__l", "__r").checkpoint()
+        best = checkpointed(ranked.where("__l = 1 and __r = 1").drop("__l", "__r"))
         taken = best if taken is None else taken.unionByName(best)
-        left = left.join(best.select("left_id"), "left_id", "left_anti").join(best.select("right_id"), "right_id", "left_anti").checkpoint()
+        left = checkpointed(left.join(best.select("left_id"), "left_id", "left_anti").join(best.select("right_id"), "right_id", "left_anti"))
     taken = taken if taken is not None else pairs.where("false")
     return taken.withColumn("status", F.when(F.col("score") >= MATCHED, "matched").otherwise("mapping_uncertain"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import text_score
+from ..session import checkpointed
 from .align import assign
 
 ACCEPT = 0.82
@@ -33,8 +34,8 @@ def entity_outcomes(expected: DataFrame, actual: DataFrame) -> DataFrame:
     exact; then type_error (the same span or text); then boundary_error (the same type, overlapping); the rest is missed
     or false_positive."""
     names = ("id", "doc_id", "entity_type", "text", "start", "end")
-    e = expected.select(*[F.col(c).alias(f"e_{c}") for c in names]).checkpoint()
-    a = actual.select(*[F.col(c).alias(f"a_{c}") for c in names]).checkpoint()
+    e = checkpointed(expected.select(*[F.col(c).alias(f"e_{c}") for c in names]))
+    a = checkpointed(actual.select(*[F.col(c).alias(f"a_{c}") for c in names]))
     same = F.col("e_doc_id") == F.col("a_doc_id")
     place = (F.col("e_start") == F.col("a_start")) & (F.col("e_end") == F.col("a_end"))
     kind, text = F.col("e_entity_type") == F.col("a_entity_type"), F.col("e_text") == F.col("a_text")
@@ -44,7 +45,7 @@ def entity_outcomes(expected: DataFrame, actual: DataFrame) -> DataFrame:
         left = e if found is None else e.join(found.select("e_id"), "e_id", "left_anti")
         right = a if found is None else a.join(found.select("a_id"), "a_id", "left_anti")
         new = _take(left, right, on, error)
-        found = (new if found is None else found.unionByName(new)).checkpoint()
+        found = checkpointed(new if found is None else found.unionByName(new))
     missed = e.join(found.select("e_id"), "e_id", "left_anti").select("e_id", F.lit(None).cast("string").alias("a_id"), F.lit("missed").alias("outcome"))
     false = a.join(found.select("a_id"), "a_id", "left_anti").select(F.lit(None).cast("string").alias("e_id"), "a_id", F.lit("false_positive").alias("outcome"))
     return found.unionByName(missed).unionByName(false)

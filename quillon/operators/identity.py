@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import alpha_index, greek_index, serial_index
+from ..session import checkpointed
 
 #: Order of types in a directory, and names of replacements.
 TYPE_PRIORITY = {"ORGANIZATION": 1, "COMPANY_NAME": 1, "PERSON": 2, "PERSON_NAME": 2, "ALIAS": 3, "BANK_NAME": 4, "ACCOUNT_NAME": 5, "ADDRESS": 6, "LOCATION": 6}
@@ -82,14 +83,14 @@ def card_components(cards: DataFrame, rounds: int = 20) -> DataFrame:
 
     Labels pass over card-surface edges, both ways in a round, and cards take the label of their label, until none changes.
     """
-    edges = cards.select("doc_id", "card", "surface").distinct().checkpoint()
+    edges = checkpointed(cards.select("doc_id", "card", "surface").distinct())
     labels = edges.groupBy("doc_id", "card").agg(F.min("card").alias("subject"))
     for _ in range(rounds):
         by_surface = edges.join(labels, ["doc_id", "card"]).groupBy("doc_id", "surface").agg(F.min("subject").alias("least"))
         reached = edges.join(by_surface, ["doc_id", "surface"]).groupBy("doc_id", "card").agg(F.min("least").alias("least"))
         root = labels.select("doc_id", F.col("card").alias("least"), F.col("subject").alias("root"))
         new = labels.join(reached, ["doc_id", "card"]).join(root, ["doc_id", "least"], "left")
-        new = new.select("doc_id", "card", F.least("subject", "least", "root").alias("next"), "subject").checkpoint()
+        new = checkpointed(new.select("doc_id", "card", F.least("subject", "least", "root").alias("next"), "subject"))
         changed = not new.where("next <> subject").isEmpty()
         labels = new.select("doc_id", "card", F.col("next").alias("subject"))
         if not changed:
