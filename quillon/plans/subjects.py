@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import coverage, identity, resolve
+from ..operators import coverage, gate, identity, resolve
 from ..sources import sinks
 from .common import SQL_LINES, SQL_MENTIONS, documents, lines, mentions, spans, sql_spans
 
@@ -130,11 +130,35 @@ def masked_by_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.rewrite(documents(spark, sf_dir), edits).select("doc_id", "n_rewritten", F.md5("masked").alias("masked_md5"))
 
 
+def admission_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions as candidates, with signals that follow from their places and texts."""
+    signals = F.filter(F.array(F.when(F.pmod("start", F.lit(13)) == 0, gate.HARD[2]), F.when(F.pmod("start", F.lit(11)) == 0, "weak")), lambda x: x.isNotNull())
+    failed = F.filter(F.array(F.when(F.length("text") > 12, "too_long")), lambda x: x.isNotNull())
+    found = gate.decide(mentions(spark, sf_dir).withColumn("rejected", F.col("text").rlike("^(?:The|Die|Les)$")).withColumn("negative", signals).withColumn("failed", failed))
+    return found.groupBy("entity_type", "layer", "action", "risk").agg(F.count("*").alias("n"), F.min("text").alias("first"))
+
+
+def public_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = gate.known(mentions(spark, sf_dir)).withColumn("family", gate.family(F.col("entity_type"), F.col("text"), F.concat("text", F.lit("公司"))))
+    return found.groupBy("entity_type", "family").agg(F.count("*").alias("n"))
+
+
+def grouped_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans within stretches of 2 000 characters, placed from the stretch's start and back."""
+    n = F.length("text")
+    groups = documents(spark, sf_dir).where(n > 0).select("doc_id", n.alias("n"), F.explode(F.sequence(F.lit(0), F.floor((n - 1) / 2000))).alias("group"))
+    groups = groups.select("doc_id", "group", (F.col("group") * 2000).cast("int").alias("start"), F.least(F.col("group") * 2000 + 2000, F.col("n")).cast("int").alias("end"))
+    local = gate.in_group(spans(spark, sf_dir), groups)
+    back = gate.restored(local).select("doc_id", "entity_type", "group", F.col("start").alias("start"), "end")
+    return back.join(local.select("doc_id", "entity_type", "group", (F.col("start") + F.col("g_start")).alias("start"), F.col("start").alias("local_start")), ["doc_id", "entity_type", "group", "start"])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         coverage_obligations, coverage_match, arbitration_queue, rewrite_ledger, export_summary, replacement_mapping, export_entries, must_links, identity_conflicts, maybe_links, subject_directory,
         directory_quality, subject_components, replacement_suffixes, replacement_serials, replacement_renumbered, first_replacement, entity_memory, replacement_conflicts, masked_by_subject,
+        admission_gate, public_families, grouped_spans,
     )
 }
 OBLIGED = f"""l AS ({SQL_LINES}), c AS (SELECT *, CASE WHEN contains("text", '@') OR contains("text", '+1 (') THEN 1 WHEN contains("text", 'token =') OR contains("text", 'password') OR contains("text", 'key =') THEN 2
@@ -195,4 +219,9 @@ ORACLES = {
     "masked_by_subject": f"""WITH {DIRECTORY}, n AS (SELECT k.doc_id, list(k."start" ORDER BY k."start") AS st, list(k."end" ORDER BY k."start") AS en, list(dir.replacement ORDER BY k."start") AS rp FROM k JOIN dir ON dir.doc_id = k.doc_id AND dir.entity_type = k.entity_type AND dir.key = k.key GROUP BY k.doc_id)
   SELECT d.doc_id, CAST(coalesce(len(st), 0) AS INTEGER) AS n_rewritten, md5(CASE WHEN st IS NULL THEN text ELSE array_to_string(list_transform(generate_series(1, len(st)), lambda i: substr(text, CAST(coalesce(en[i - 1], 0) AS BIGINT) + 1, CAST(st[i] - coalesce(en[i - 1], 0) AS BIGINT)) || rp[i]), '') || substr(text, CAST(en[-1] AS BIGINT) + 1) END) AS masked_md5
   FROM documents d LEFT JOIN n USING (doc_id)""",
+    "admission_gate": f"""WITH m AS (SELECT *, "text" IN ('The', 'Die', 'Les') OR "start" % 13 = 0 AS rej, "start" % 11 = 0 AS weak, length("text") > 12 AS failed, CASE source WHEN 'ner' THEN 'ner' ELSE 'regex' END AS layer FROM ({SQL_MENTIONS})),
+  a AS (SELECT *, CASE WHEN rej THEN 'reject' WHEN failed OR weak THEN 'review' WHEN layer = 'regex' THEN 'keep' WHEN entity_type IN ('PERSON', 'ORGANIZATION', 'GOVERNMENT') AND length("text") <= 3 THEN 'review' ELSE 'keep' END AS action FROM m)
+  SELECT entity_type, layer, action, CASE action WHEN 'reject' THEN 'high' WHEN 'review' THEN CASE WHEN failed THEN 'high' ELSE 'medium' END ELSE 'low' END AS risk, count(*) AS n, min("text") AS first FROM a GROUP BY ALL""",
+    "public_families": f"""SELECT entity_type, CASE entity_type WHEN 'ALIAS' THEN 'ORGANIZATION' ELSE entity_type END AS family, count(*) AS n FROM ({SQL_MENTIONS}) GROUP BY ALL""",
+    "grouped_spans": f"""WITH s AS ({sql_spans()}) SELECT doc_id, entity_type, "start" // 2000 AS "group", "start", "end", CAST("start" % 2000 AS INTEGER) AS local_start FROM s WHERE "start" // 2000 = ("end" - 1) // 2000""",
 }

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import align, coverage, evaluate, identity, recognize, report, resolve, units
+from quillon.operators import align, coverage, evaluate, gate, identity, recognize, report, resolve, units
 
 CONTRACT = (
     "甲方：北京示例科技有限公司（以下简称“示例科技”）\n统一社会信用代码：91350100M000100Y43\n联系人：张三  联系电话：138-1234-5678\n"
@@ -157,3 +157,24 @@ def test_terminal_states(spark):
     rows = [(1, 0, 0, 0, 0, 0), (0, 1, 1, 1, 1, 1), (0, 0, 2, 1, 1, 1), (0, 0, 0, 1, 0, 1), (0, 0, 0, 0, 1, 1), (0, 0, 0, 0, 0, 1), (0, 0, 0, 0, 0, 0)]
     got = [r.terminal_state for r in report.terminal_state(spark.createDataFrame(rows, columns)).collect()]
     assert got == ["human_review_required", "human_review_required", "coverage_gap", "model_conflict", "suspected_error", "confirmed_error", "covered"]
+
+
+@pytest.mark.parametrize(
+    ("kind", "text", "canonical", "want"),
+    [("COMPANY_NAME", "示例科技有限公司", None, "ORGANIZATION"), ("ORGANIZATION", "某市人民法院", None, "GOVERNMENT"), ("ORGANIZATION", "某银行公司", None, None), ("BANK_NAME", "示例银行", None, None), ("COURT", "某区人民法院", None, "GOVERNMENT"), ("ALIAS", "示例", "示例公司", "ORGANIZATION"), ("ALIAS", "甲方", "示例公司", None), ("ALIAS", "示例", None, None), ("DATE", "2024年", None, None), ("SIGNATORY", "张三", None, "PERSON")],
+)
+def test_families(spark, kind, text, canonical, want):
+    df = spark.createDataFrame([(kind, text, canonical)], "k string, t string, c string")
+    assert df.select(gate.family(F.col("k"), F.col("t"), F.col("c"))).first()[0] == want
+
+
+def test_parallel_names_are_split(spark):
+    spans = spans_of(spark, [(1, "PERSON", 3, 12, 0.5, "ner", 1), (1, "PERSON", 20, 23, 0.5, "ner", 1)])
+    spans = spans.withColumn("text", F.when(F.col("start") == 3, "张三、李四和王小五").otherwise("独名者"))
+    got = sorted((r.start, r.end, r.text, r.score) for r in gate.split_parallel(spans).collect())
+    assert got == [(3, 5, "张三", 0.82), (6, 8, "李四", 0.82), (9, 12, "王小五", 0.82), (20, 23, "独名者", 0.5)]
+
+
+def test_org_core(spark):
+    df = spark.createDataFrame([("北京示例科技有限公司",), ("示例（上海）集团",), ("公司",)], "n string")
+    assert [r[0] for r in df.select(gate.org_core(F.col("n"))).collect()] == ["示例科技", "示例", "公司"]
