@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -110,6 +111,12 @@ def _merged(lists: list[list]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+def _items(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string")).where("item is not null and text is not null")
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return items, max(1, -(-int(total) // block_bytes))
+
+
 def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of docs: doc_id, n_words, the spans of words hit and the items (as strings) that occur.
 
@@ -117,9 +124,7 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes:
     of it at a time; the hits of further blocks, which few documents have, are joined to those of the first.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("string"))
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string")).where("item is not null and text is not null")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(total) // block_bytes))
+    items, blocks = _items(benchmark, block_bytes)
     scans = []
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block) if blocks > 1 else items
@@ -146,10 +151,22 @@ def summary(hits: DataFrame) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, in which no window of the benchmark occurs."""
-    hit = find(docs, benchmark).where(F.size("spans") > 0).select(F.col("doc_id").alias("__hit"))
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["__hit"]), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, in which no window of the benchmark occurs. A benchmark of one block is
+    searched for where the rows are, so nothing is shuffled."""
+    items, blocks = _items(benchmark, block_bytes)
+    if blocks > 1:
+        hit = find(docs, benchmark, block_bytes=block_bytes).where(F.size("spans") > 0).select(F.col("doc_id").alias("__hit"))
+        return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(hit["__hit"]), "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in items.collect()])
+
+    @F.pandas_udf("boolean")
+    def untouched(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        search = WuManber(shared.value)
+        for texts in parts:
+            yield pd.Series([not search.search(search_words(t))[0] for t in texts], dtype=bool)
+
+    return docs.where(untouched(docs["text"].cast("string")))
 
 
 def brute_force(text: str | None, items: list[tuple[str, str]], size: int = WINDOW) -> tuple[int, int, list[str], str]:
