@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import RangeHash, mix, partitions, stored, words
+from .common import RangeHash, giving_back, mix, partitions, stored, words
 from .graph import components
 
 SIZE = 5
@@ -112,7 +112,7 @@ def _bucket_counts(hashes: DataFrame, make: Callable[[pa.RecordBatch], Iterator[
         most = np.minimum(total, np.uint64(0xFFFFFFFF)).astype(np.uint32)
         return pa.table({"chunk": table.column("chunk")[:1].cast(pa.int32()), "counts": pa.array([most.tobytes()])})
 
-    sums = hashes.mapInArrow(count, "chunk int, group int, counts binary").groupBy("chunk", "group").applyInArrow(add_up, "chunk int, counts binary")
+    sums = hashes.mapInArrow(giving_back(count), "chunk int, group int, counts binary").groupBy("chunk", "group").applyInArrow(add_up, "chunk int, counts binary")
     found = np.zeros(1 << bits, dtype=np.uint32)
     for at, counts in sums.groupBy("chunk").applyInArrow(add_up, "chunk int, counts binary").collect():
         found[at * chunk : (at + 1) * chunk] = np.frombuffer(counts, dtype=np.uint32)
@@ -142,7 +142,7 @@ def _bloom(keys: DataFrame, spark: SparkSession) -> Callable[[np.ndarray], np.nd
             all_ |= np.frombuffer(x.as_buffer(), dtype=np.uint8)
         return pa.table({"chunk": table.column("chunk")[:1].cast(pa.int32()), "bits": pa.array([all_.tobytes()])})
 
-    united = keys.mapInArrow(mark, "chunk int, group int, bits binary").groupBy("chunk", "group").applyInArrow(unite, "chunk int, bits binary")
+    united = keys.mapInArrow(giving_back(mark), "chunk int, group int, bits binary").groupBy("chunk", "group").applyInArrow(unite, "chunk int, bits binary")
     found = np.zeros(1 << bits - 3, dtype=np.uint8)
     for at, own in united.groupBy("chunk").applyInArrow(unite, "chunk int, bits binary").collect():
         found[at * chunk : (at + 1) * chunk] = np.frombuffer(own, dtype=np.uint8)
@@ -231,7 +231,7 @@ def features(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> DataFrame
             n, v, w, minhash, prefix, last, bits = zip(*rows, strict=True) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(v, pa.int64()), pa.array(w, pa.int64()), pa.array(minhash, pa.binary()), pa.array(prefix, pa.binary()), pa.array(last, pa.int32()), pa.array(bits, pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, FEATURES)
+    return docs.mapInArrow(giving_back(run), FEATURES)
 
 
 # --- verification ---
@@ -262,7 +262,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int = SIZ
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(f, pa.int32()), pa.array(n, pa.int32()), pa.array(part, pa.binary())], names=["v", "fragment", "n", "part"])
 
     # rows that the filter lets pass by chance meet no pair, unless their set is that of a representative: once is enough
-    parts = docs.select("doc_id", "text").mapInArrow(cut, "v bigint, fragment int, n int, part binary")
+    parts = docs.select("doc_id", "text").mapInArrow(giving_back(cut), "v bigint, fragment int, n int, part binary")
     parts = stored(parts.groupBy("v", "fragment").agg(F.first("n").alias("n"), F.first("part").alias("part")).join(used, "v", "left_semi"), "fragments")
     each = pairs.select("a", "b", F.explode(F.array(*[F.lit(f) for f in range(FRAGMENTS)])).alias("fragment"))
     one = parts.select(F.col("v").alias("a"), "fragment", F.col("n").alias("na"), F.col("part").alias("pa"))
@@ -277,7 +277,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int = SIZ
             ]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(common, pa.int32())], names=["a", "b", "na", "nb", "common"])
 
-    counted = met.mapInArrow(overlap, "a bigint, b bigint, na int, nb int, common int")
+    counted = met.mapInArrow(giving_back(overlap), "a bigint, b bigint, na int, nb int, common int")
     sums = counted.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
     return sums.where(F.col("common") * (100 + least) >= F.lit(least).cast("long") * (F.col("na") + F.col("nb"))).select("a", "b")
 
@@ -384,7 +384,7 @@ def _mixed(sets: DataFrame, parts: int, special: Callable[[np.ndarray], np.ndarr
         mixed = np.minimum.reduceat(comps, start) != np.maximum.reduceat(comps, start)
         return pa.table({"key": pa.array((fragment << 32) + keys[start[mixed]].astype(np.int64), pa.int64())})
 
-    return sets.select("v", "comp", "prefix").mapInArrow(deal, "fragment int, keys binary, comps binary").groupBy("fragment").applyInArrow(differing, "key bigint")
+    return sets.select("v", "comp", "prefix").mapInArrow(giving_back(deal), "fragment int, keys binary, comps binary").groupBy("fragment").applyInArrow(differing, "key bigint")
 
 
 def _postings(sets: DataFrame, parts: int, mixed: Callable[[np.ndarray], np.ndarray], hot: Callable[[np.ndarray], np.ndarray] | None, special: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
@@ -427,7 +427,7 @@ def _postings(sets: DataFrame, parts: int, mixed: Callable[[np.ndarray], np.ndar
     schema = "key bigint, v bigint, comp bigint, n int, pos int, most int"
     if hot is not None:
         schema += ", before array<bigint>, free int, full boolean" + "".join(f", b{i} bigint" for i in range(SET_BITS // 64))
-    return sets.select("v", "comp", "n", "prefix", "bits").mapInArrow(post, schema)
+    return sets.select("v", "comp", "n", "prefix", "bits").mapInArrow(giving_back(post), schema)
 
 
 def _met(postings: DataFrame, main: DataFrame, least: int) -> DataFrame:
@@ -504,7 +504,7 @@ def _promising(pairs: DataFrame, found: DataFrame, least: int) -> DataFrame:
                 keep.append(min(common, len(np.intersect1d(x, y, assume_unique=True)) + rest) * (100 + least) >= least * (na + nb))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
-    return met.mapInArrow(bounded, "a bigint, b bigint")
+    return met.mapInArrow(giving_back(bounded), "a bigint, b bigint")
 
 
 def join(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> DataFrame:

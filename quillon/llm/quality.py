@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import giving_back, stored
 
 FOLDS, HELD_OUT = 3, 1
 #: Share of a class covariance that its diagonal replaces, and the least variance, in units of the transformed statistics.
@@ -84,7 +84,7 @@ def featured(docs: DataFrame) -> DataFrame:
             x = [statistics(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], schema=schema)
 
-    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, x array<double>")
+    return rows.mapInArrow(giving_back(run), "doc_id bigint, held_out boolean, x array<double>")
 
 
 def train(features: DataFrame, labels: DataFrame) -> Model:
@@ -137,9 +137,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that the classifier doesn't reject. It learns from the same rows as classify."""
-    known = labels.select(F.col("doc_id").cast("long").alias("__doc")).distinct()
-    rows = docs.select("doc_id", "text")
-    model = train(featured(rows.join(known, rows["doc_id"] == known["__doc"], "left_semi")), labels)
+    # statistics of all rows are read again for the learning alone: they are small, so no text is shuffled to its label
+    model = train(featured(docs), labels)
 
     @F.pandas_udf("boolean")
     def good(texts: pd.Series) -> pd.Series:

@@ -16,14 +16,14 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, partitions
+from .common import RangeHash, giving_back, new_path, partitions
 
 #: Ids in a word and bits of an id, by selector; the escape has the last selector.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -33,7 +33,7 @@ END_ID = 2
 #: A block is closed at this many ids, after the document that reaches it.
 BLOCK_IDS = 1 << 16
 #: Pieces of text whose ids a worker remembers.
-CACHE = 600_000
+CACHE = 1_000_000
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -130,7 +130,10 @@ def _simplified(text: str) -> str:
 
 class Encoder:
     """Ids of whole texts. The tokenizer's pre-tokenizer drops white space and splits at it, so pieces between spaces and
-    line ends are encoded once and remembered, as long as a worker lives or CACHE pieces are reached."""
+    line ends are encoded once and remembered, as long as a worker lives or CACHE pieces are reached.
+
+    A piece is known by a 64-bit hash and its length; for each the ids stand in one array. That is about 30 bytes a piece.
+    """
 
     def __init__(self, name: str = TOKENIZER) -> None:
         import os
@@ -144,61 +147,76 @@ class Encoder:
         #: whether an id closes a word
         self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.hash = RangeHash()
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.keys = np.zeros(0, dtype=np.uint64)
+        self.sizes = np.zeros(0, dtype=np.int32)
+        self.first = np.zeros(0, dtype=np.int64)
+        self.counts = np.zeros(0, dtype=np.int32)
         self.flat = np.zeros(1 << 20, dtype=np.uint32)
-        self.ends = np.zeros(CACHE + 1, dtype=np.int64)
+        self.used = 0
 
-    def _learn(self, new: list[str]) -> None:
+    def _encoded(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one after another, and how many each has."""
         # pieces of letters alone are one word each, whose last id closes it: many can be encoded as one text
-        plain = [p for p in new if p.isalpha() and len(p) < 64]
-        own, counts = self._together(plain)
-        if own is None:
-            plain, own, counts = [], np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
-        if len(plain) < len(new):
-            taken = set(plain)
-            rest = [p for p in new if p not in taken]
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
-            more = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            own = np.concatenate([own, np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(more.sum()))])
-            counts = np.concatenate([counts, more])
-            new = plain + rest
-        n = len(self.known)
-        if n + len(new) >= len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros(len(self.ends) + len(new), dtype=np.int64)])
-        first = int(self.ends[n])
-        if first + len(own) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + len(own), dtype=np.uint32)])
-        self.flat[first : first + len(own)] = own
-        self.ends[n + 1 : n + 1 + len(new)] = first + np.cumsum(counts)
-        self.known.update(zip(new, range(n, n + len(new)), strict=True))
-
-    def _together(self, plain: list[str]) -> tuple[np.ndarray | None, np.ndarray | None]:
-        """The ids of pieces that are one word each, and how many each has; None if the ids don't show as many words."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        plain = [i for i, p in enumerate(new) if p.isalpha() and len(p) < 64]
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join([new[i] for i in plain])], add_special_tokens=False)[0].ids, dtype=np.uint32)
         ends = np.flatnonzero(self.closes[ids]) + 1
-        return (ids, np.diff(ends, prepend=0)) if len(ends) == len(plain) and (not plain or ends[-1] == len(ids)) else (None, None)
+        each: list[np.ndarray | list[int]] = [[]] * len(new)
+        if len(ends) == len(plain) and (not plain or ends[-1] == len(ids)):
+            for i, own in zip(plain, np.split(ids, ends[:-1]), strict=True) if plain else ():
+                each[i] = own
+            taken = set(plain)
+            rest = [i for i in range(len(new)) if i not in taken]
+        else:
+            rest = list(range(len(new)))
+        for i, own in zip(rest, self.tokenizer.encode_batch_fast([new[i] for i in rest], add_special_tokens=False), strict=True):
+            each[i] = own.ids
+        counts = np.fromiter(map(len, each), dtype=np.int32, count=len(each))
+        return np.fromiter(chain.from_iterable(x.tolist() if isinstance(x, np.ndarray) else x for x in each), dtype=np.uint32, count=int(counts.sum())), counts
+
+    def _learn(self, keys: np.ndarray, sizes: np.ndarray, new: list[str]) -> None:
+        ids, counts = self._encoded(new)
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + len(ids), dtype=np.uint32)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        first = self.used + np.cumsum(counts) - counts
+        self.used += len(ids)
+        place = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, place, keys)
+        self.sizes = np.insert(self.sizes, place, sizes)
+        self.first = np.insert(self.first, place, first)
+        self.counts = np.insert(self.counts, place, counts)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, followed by none: ends are the caller's."""
-        pieces = [_simplified(t).replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHE:
+        """The ids of each text."""
+        if len(self.keys) > CACHE:
             self._forget()
-        flat = list(chain.from_iterable(pieces))
-        index = np.fromiter(map(self.known.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
-        missing = np.flatnonzero(index < 0).tolist()
-        new = list({flat[i] for i in missing})
-        for at in range(0, len(new), 4096):
-            self._learn(new[at : at + 4096])
-        index[missing] = [self.known[flat[i]] for i in missing]
-        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
-        first = self.ends[index]
-        counts = self.ends[index + 1] - first
-        ends = np.cumsum(counts)
-        ids = self.flat[np.repeat(first - ends + counts, counts) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        return np.split(ids, np.concatenate([[0], ends])[np.cumsum(sizes)][:-1])
+        raw = [_simplified(t).encode("utf-8", "surrogatepass") for t in texts]
+        data = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
+        ends = np.flatnonzero((data == 32) | (data == 10))
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        some = ends > starts
+        starts, ends = starts[some], ends[some]
+        keys, place, inverse = np.unique(self.hash(data, starts, ends), return_index=True, return_inverse=True)
+        sizes = (ends - starts)[place].astype(np.int32)
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        known = (self.keys[at] == keys) & (self.sizes[at] == sizes) if len(self.keys) else np.zeros(len(keys), dtype=bool)
+        missing = np.flatnonzero(~known)
+        if len(missing):
+            whole = data.tobytes()
+            # two pieces of one key but other lengths stand next to each other
+            self._learn(keys[missing], sizes[missing], [whole[starts[i] : ends[i]].decode("utf-8", "surrogatepass") for i in place[missing]])
+            at = np.searchsorted(self.keys, keys)
+            at = np.where(self.sizes[at] == sizes, at, np.minimum(at + 1, len(self.keys) - 1))
+        first, counts = self.first[at][inverse], self.counts[at][inverse].astype(np.int64)
+        stop = np.cumsum(counts)
+        ids = self.flat[np.repeat(first - stop + counts, counts) + np.arange(int(stop[-1]) if len(stop) else 0)]
+        # pieces of each text, by where it ends
+        limits = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in raw]))
+        return np.split(ids, np.concatenate([[0], stop])[limits][:-1])
 
 
 @lru_cache(maxsize=1)
@@ -258,7 +276,7 @@ def write(docs: DataFrame, path: str, tokenizer: Callable[[], Callable[[list[str
         for row in _blocks(TaskContext.get().partitionId(), each()):
             yield pa.RecordBatch.from_pylist([row], schema=schema)
 
-    placed.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(path)
+    placed.mapInArrow(giving_back(run), BLOCKS).write.option("compression", "none").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -284,7 +302,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([docs, pa.array(row["before"] + row["start"] + ends - counts), pa.array(counts), pa.array(crc, pa.int64())], schema=schema)
 
     joined = blocks.join(F.broadcast(offsets), "part").select("before", "start", "docs", "has_doc", "counts", "words")
-    return joined.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return joined.mapInArrow(giving_back(run), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def round_trip(docs: DataFrame, **options: object) -> DataFrame:
