@@ -151,10 +151,12 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
+        #: keys in order, and the entry of each; entries have the piece's length and the place and number of its ids
         self.keys = np.zeros(0, dtype=np.uint64)
-        self.sizes = np.zeros(0, dtype=np.int32)
-        self.first = np.zeros(0, dtype=np.int64)
-        self.counts = np.zeros(0, dtype=np.int32)
+        self.entry = np.zeros(0, dtype=np.int32)
+        self.sizes = np.zeros(1 << 16, dtype=np.int32)
+        self.first = np.zeros(1 << 16, dtype=np.int64)
+        self.counts = np.zeros(1 << 16, dtype=np.int32)
         self.flat = np.zeros(1 << 20, dtype=np.uint32)
         self.used = 0
 
@@ -182,13 +184,22 @@ class Encoder:
         if self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + len(ids), dtype=np.uint32)])
         self.flat[self.used : self.used + len(ids)] = ids
-        first = self.used + np.cumsum(counts) - counts
+        n, more = len(self.keys), len(keys)
+        while n + more > len(self.sizes):
+            for name in ("sizes", "first", "counts"):
+                setattr(self, name, np.concatenate([getattr(self, name), np.zeros_like(getattr(self, name))]))
+        self.sizes[n : n + more] = sizes
+        self.first[n : n + more] = self.used + np.cumsum(counts) - counts
+        self.counts[n : n + more] = counts
         self.used += len(ids)
-        place = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, place, keys)
-        self.sizes = np.insert(self.sizes, place, sizes)
-        self.first = np.insert(self.first, place, first)
-        self.counts = np.insert(self.counts, place, counts)
+        # merged into order: the new ones' places among the old, then the old around them
+        place = np.searchsorted(self.keys, keys) + np.arange(more)
+        old = np.ones(n + more, dtype=bool)
+        old[place] = False
+        for name, new_ in (("keys", keys), ("entry", np.arange(n, n + more, dtype=np.int32))):
+            merged = np.empty(n + more, dtype=new_.dtype)
+            merged[place], merged[old] = new_, getattr(self, name)
+            setattr(self, name, merged)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -203,15 +214,15 @@ class Encoder:
         keys, place, inverse = np.unique(self.hash(data, starts, ends), return_index=True, return_inverse=True)
         sizes = (ends - starts)[place].astype(np.int32)
         at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-        known = (self.keys[at] == keys) & (self.sizes[at] == sizes) if len(self.keys) else np.zeros(len(keys), dtype=bool)
+        known = (self.keys[at] == keys) & (self.sizes[self.entry[at]] == sizes) if len(self.keys) else np.zeros(len(keys), dtype=bool)
         missing = np.flatnonzero(~known)
         if len(missing):
             whole = data.tobytes()
-            # two pieces of one key but other lengths stand next to each other
             self._learn(keys[missing], sizes[missing], [whole[starts[i] : ends[i]].decode("utf-8", "surrogatepass") for i in place[missing]])
+            # the last of a key's pieces that came is the first of them, so one of another length is learned again
             at = np.searchsorted(self.keys, keys)
-            at = np.where(self.sizes[at] == sizes, at, np.minimum(at + 1, len(self.keys) - 1))
-        first, counts = self.first[at][inverse], self.counts[at][inverse].astype(np.int64)
+        entry = self.entry[at]
+        first, counts = self.first[entry][inverse], self.counts[entry][inverse].astype(np.int64)
         stop = np.cumsum(counts)
         ids = self.flat[np.repeat(first - stop + counts, counts) + np.arange(int(stop[-1]) if len(stop) else 0)]
         # pieces of each text, by where it ends
@@ -268,8 +279,8 @@ def write(docs: DataFrame, path: str, tokenizer: Callable[[], Callable[[list[str
 
         def each() -> Iterator[tuple[int | None, np.ndarray]]:
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
+                for at in range(0, batch.num_rows, 500):
+                    part = batch.slice(at, 500)
                     for doc, ids in zip(part.column(0).to_pylist(), to_ids(part.column(1).to_pylist()), strict=True):
                         yield doc, np.append(ids, np.uint32(end_id))
 
