@@ -19,7 +19,11 @@ BATCH_ROWS = 1000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of batches of texts, unless the session asks for smaller ones."""
+    """Bound the memory of batches of texts, unless the session asks for smaller ones; and keep one pool of Python workers.
+
+    Spark hands its setting of short tracebacks to some Python nodes only, and starts workers anew for each environment.
+    """
+    spark.conf.set("spark.sql.execution.pyspark.udf.simplifiedTraceback.enabled", "false")
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
