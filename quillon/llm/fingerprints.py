@@ -1,9 +1,9 @@
 """Document fingerprints from closed syncmers.
 
 A K-mer of code points is chosen if its smallest inner S-mer, by hash, is its first or last: a choice that depends on
-nothing around it, so equal passages have equal anchors wherever they stand. A fingerprint holds the KEPT anchors of
-smallest hash, each with its place in the text (the same K-mer again is an anchor again); anchors of two fingerprints match by hash, and the places say by
-how far the passages moved.
+nothing around it, so equal passages have equal anchors wherever they stand. A fingerprint holds every anchor with its
+place in the text, by hash and place (the same K-mer again is an anchor again); anchors of two fingerprints match by hash,
+the first of a hash with the first, and the places say by how far the passages moved.
 
 Defined cases: a null or empty text has an empty fingerprint; a text of fewer than 2 * SHORT_S code points is one anchor; two empty
 fingerprints have likeness 1, an empty and another one 0; documents are in ascending doc_id order, null ids first, ties by
@@ -13,7 +13,6 @@ text; a table of one document has that as its own next; extra columns are not lo
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,16 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, partitions
+from .common import giving_back, mix, partitions
 
 S = 6
 K = 2 * S
 #: Texts of fewer code points than SHORT, in which an edit would hit every K-mer, use these sizes instead.
 SHORT, SHORT_S = 64, 2
-KEPT = 128
 #: Hexadecimal digits of an anchor's hash and of its place, at most the largest that fits.
 HASH_DIGITS, PLACE_DIGITS = 8, 6
 ANCHOR = HASH_DIGITS + PLACE_DIGITS
+#: Characters of fingerprints that go back to the JVM at once.
+BATCH_CHARS = 8 << 20
 
 
 def syncmers(text: str, s: int = S) -> tuple[np.ndarray, np.ndarray]:
@@ -54,55 +54,61 @@ def syncmers(text: str, s: int = S) -> tuple[np.ndarray, np.ndarray]:
         return mix(inner[place] * np.uint64(0xD1342543DE82EF95) + inner[place + s]), place
 
 
-def fingerprint(text: str | None) -> str:
+def _anchors(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, and places of the anchors of a text."""
     if not text:
-        return ""
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
     s = S if len(text) >= SHORT else SHORT_S
     if len(text) < 2 * s:
         digest = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
         hashes, places = np.frombuffer(digest, dtype="<u8"), np.zeros(1, dtype=np.int64)
     else:
         hashes, places = syncmers(text, s)
-        # a passage that repeats counts each time: its further anchors get hashes of their own
-        order = np.argsort(hashes, kind="stable")
-        ordered = hashes[order]
-        new = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        again = np.arange(len(order)) - np.repeat(new, np.diff(np.append(new, len(order))))
-        with np.errstate(over="ignore"):
-            hashes, places = mix(ordered + again.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)), places[order]
-    short, first = np.unique((hashes >> np.uint64(64 - 4 * HASH_DIGITS)).astype(np.uint64), return_index=True)
-    packed = (short[:KEPT] << np.uint64(4 * PLACE_DIGITS)) | np.minimum(places[first[:KEPT]], (1 << 4 * PLACE_DIGITS) - 1).astype(np.uint64)
-    raw = packed.astype(">u8").tobytes().hex()
-    return "".join(raw[i + 16 - ANCHOR : i + 16] for i in range(0, len(raw), 16))
+    hashes = hashes >> np.uint64(64 - 4 * HASH_DIGITS)
+    order = np.argsort(hashes, kind="stable")
+    return hashes[order], np.minimum(places[order], (1 << 4 * PLACE_DIGITS) - 1).astype(np.uint64)
+
+
+def _pack(hashes: np.ndarray, places: np.ndarray) -> str:
+    packed = (hashes << np.uint64(4 * PLACE_DIGITS)) | places
+    return packed.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - ANCHOR // 2 :].tobytes().hex()
+
+
+def _unpack(print_: str) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.zeros((len(print_) // ANCHOR, 8), dtype=np.uint8)
+    raw[:, 8 - ANCHOR // 2 :] = np.frombuffer(bytes.fromhex(print_), dtype=np.uint8).reshape(-1, ANCHOR // 2)
+    packed = raw.view(">u8").ravel().astype(np.uint64)
+    return packed >> np.uint64(4 * PLACE_DIGITS), packed & np.uint64((1 << 4 * PLACE_DIGITS) - 1)
 
 
-def anchors(print_: str) -> dict[str, int]:
-    """Hash to place, smallest hash first."""
-    return {print_[i : i + HASH_DIGITS]: int(print_[i + HASH_DIGITS : i + ANCHOR], 16) for i in range(0, len(print_), ANCHOR)}
+def _numbered(hashes: np.ndarray) -> np.ndarray:
+    """Hashes in order, each with its number among equal ones."""
+    at = np.arange(len(hashes))
+    new = np.ones(len(hashes), dtype=bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    return (hashes << np.uint64(32)) | (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
 
 
-def _hashes(print_: str) -> list[str]:
-    return [print_[i : i + HASH_DIGITS] for i in range(0, len(print_), ANCHOR)]
+def fingerprint(text: str | None) -> str:
+    return _pack(*_anchors(text))
+
+
+def _alike(one: np.ndarray, two: np.ndarray) -> float:
+    if not len(one) or not len(two):
+        return float(len(one) == len(two))
+    return 2.0 * len(np.intersect1d(one, two, assume_unique=True)) / (len(one) + len(two))
 
 
 def likeness(a: str, b: str) -> float:
-    """The share of anchors in common (Dice), estimated over the smallest hashes of both."""
-    if a == b:
-        return 1.0
-    one, two = _hashes(a), _hashes(b)
-    if not one or not two:
-        return 0.0
-    # beyond the last hash of a full fingerprint nothing is known
-    top = min([x[-1] for x in (one, two) if len(x) == KEPT], default=None)
-    if top is not None:
-        one, two = one[: bisect_left(one, top) + (top in one)], two[: bisect_left(two, top) + (top in two)]
-    return 2.0 * len(set(one).intersection(two)) / (len(one) + len(two))
+    """The share of anchors in common (Dice), over all anchors of both."""
+    return _alike(_numbered(_unpack(a)[0]), _numbered(_unpack(b)[0]))
 
 
 def shift(a: str, b: str) -> tuple[int, int] | None:
     """How far most matching anchors moved from a to b, and how many did; None if none matches."""
-    one, two = anchors(a), anchors(b)
-    moved = Counter(two[h] - one[h] for h in one.keys() & two.keys())
+    (one, from_), (two, to) = _unpack(a), _unpack(b)
+    _, i, j = np.intersect1d(_numbered(one), _numbered(two), assume_unique=True, return_indices=True)
+    moved = Counter((to[j].astype(np.int64) - from_[i].astype(np.int64)).tolist())
     return max(moved.items(), key=lambda x: (x[1], -abs(x[0]), x[0]), default=None)
 
 
@@ -139,20 +145,30 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
 
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
+    def arrow(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(types), types, strict=True)], names=[c.split()[0] for c in OUT.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
         for batch in batches:
             out: list[tuple] = []
+            chars = 0
             for range_, is_lent, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 text = text.as_py()
-                print_ = fingerprint(text)
+                hashes, places = _anchors(text)
+                own = _numbered(hashes)
                 if held and held[0] == range_:
-                    _, before, old, old_print = held
+                    _, before, old, old_print, old_own = held
                     edited = edit(old, text)
-                    new = fingerprint(edited)
+                    new_hashes, new_places = _anchors(edited)
+                    new = _pack(new_hashes, new_places)
                     digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-                    out.append((before, len(old), digest, old_print, new, likeness(old_print, new), likeness(old_print, print_)))
-                held = None if is_lent else (range_, doc, text, print_)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(types), types, strict=True)], names=[c.split()[0] for c in OUT.split(", ")])
-
-    return placed.mapInArrow(run, OUT)
+                    out.append((before, len(old), digest, old_print, new, _alike(old_own, _numbered(new_hashes)), _alike(old_own, own)))
+                    chars += len(old_print) + len(new)
+                    if chars >= BATCH_CHARS:
+                        yield arrow(out)
+                        out, chars = [], 0
+                held = None if is_lent else (range_, doc, text, _pack(hashes, places), own)
+            yield arrow(out)
+
+    return placed.mapInArrow(giving_back(run), OUT)

@@ -71,3 +71,16 @@ def test_neighbours(spark):
         assert sorted(str(tuple(r)) for r in fp.compare_neighbours(d).collect()) == brute(own)
     assert fp.compare_neighbours(empty(spark)).count() == 0
     assert docs(spark).count() == 0
+
+
+def test_long_texts_keep_all_anchors():
+    """A passage of 50 words that two texts of 20,000 words share is found, with its shift."""
+    rng = random.Random(6)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 10))) for _ in range(n))
+    passage = words(50)
+    a, b = f"{words(12_000)} {passage} {words(8_000)}", f"{words(3_000)} {passage} {words(17_000)}"
+    one, two = fp.fingerprint(a), fp.fingerprint(b)
+    assert len(one) == fp.ANCHOR * len(fp.syncmers(a)[0])
+    moved, n = fp.shift(one, two)
+    assert moved == b.index(passage) - a.index(passage) and n > 50
+    assert fp.likeness(one, two) >= 2 * n / (len(one) + len(two)) * fp.ANCHOR > 0
