@@ -3,9 +3,10 @@
 A K-mer of code points is chosen if its smallest inner S-mer, by hash, is its first or last: a choice that depends on
 nothing around it, so equal passages have equal anchors wherever they stand. A fingerprint holds every anchor with its
 place in the text, by hash and place (the same K-mer again is an anchor again); anchors of two fingerprints match by hash,
-the first of a hash with the first, and the places say by how far the passages moved.
+the first of a hash with the first, and the places say by how far the passages moved. One K serves every length: signs
+before the text make K-mers of its beginning, and its first HEAD code points are an anchor, too.
 
-Defined cases: a null or empty text has an empty fingerprint; a text of fewer than 2 * SHORT_S code points is one anchor; two empty
+Defined cases: a null or empty text has an empty fingerprint; a text of at most HEAD code points is one anchor; two empty
 fingerprints have likeness 1, an empty and another one 0; documents are in ascending doc_id order, null ids first, ties by
 text; a table of one document has that as its own next; extra columns are not looked at.
 """
@@ -25,8 +26,9 @@ from .common import giving_back, mix, partitions
 
 S = 6
 K = 2 * S
-#: Texts of fewer code points than SHORT, in which an edit would hit every K-mer, use these sizes instead.
-SHORT, SHORT_S = 64, 2
+#: Before a text stand signs that no text holds, so that its first K-mer ends HEAD + 1 code points in: short texts have anchors, too.
+HEAD = 3
+BEFORE = np.arange(0x110000, 0x110000 + K - 1 - HEAD, dtype=np.uint64)
 #: Hexadecimal digits of an anchor's hash and of its place, at most the largest that fits.
 HASH_DIGITS, PLACE_DIGITS = 8, 6
 ANCHOR = HASH_DIGITS + PLACE_DIGITS
@@ -36,7 +38,14 @@ BATCH_CHARS = 8 << 20
 
 def syncmers(text: str, s: int = S) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and places of the closed syncmers, of 2 * s code points, of a text of at least as many."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    return _syncmers(_points(text), s)
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+
+
+def _syncmers(points: np.ndarray, s: int = S) -> tuple[np.ndarray, np.ndarray]:
     n = len(points) - s + 1
     with np.errstate(over="ignore"):
         inner = points[:n].copy()
@@ -58,12 +67,11 @@ def _anchors(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, in order, and places of the anchors of a text."""
     if not text:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
-    s = S if len(text) >= SHORT else SHORT_S
-    if len(text) < 2 * s:
-        digest = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
-        hashes, places = np.frombuffer(digest, dtype="<u8"), np.zeros(1, dtype=np.int64)
-    else:
-        hashes, places = syncmers(text, s)
+    digest = hashlib.blake2b(text[:HEAD].encode("utf-8", "surrogatepass"), digest_size=8).digest()
+    hashes, places = np.frombuffer(digest, dtype="<u8"), np.zeros(1, dtype=np.int64)
+    if len(text) > HEAD:
+        more, at = _syncmers(np.concatenate([BEFORE, _points(text)]))
+        hashes, places = np.concatenate([hashes, more]), np.concatenate([places, np.maximum(at - len(BEFORE), 0)])
     hashes = hashes >> np.uint64(64 - 4 * HASH_DIGITS)
     order = np.argsort(hashes, kind="stable")
     return hashes[order], np.minimum(places[order], (1 << 4 * PLACE_DIGITS) - 1).astype(np.uint64)
