@@ -4,7 +4,8 @@ A page is read as tokens: the path of each element (tags, with classes and ids),
 the pages of a host, tokens with the same occurrence vector (how often each page has them) make an equivalence class. A
 class is valid if it is large and frequent: several tokens, on most of the host's pages. Valid classes of elements that
 each page has once nest by their paths into the host's template; valid classes of text are its constant parts. What
-remains are the slots, and the one of them that holds the article is the page's main text.
+remains are the slots, and the one of them that holds most of the text that is not constant is the page's main text: tags
+(article, main) decide only between elements that all hold most of it.
 
 Within it, menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out, by tag or
 by words of class, id or role. Pages whose host has no template (too few pages, or none alike), and pages without the
@@ -53,6 +54,8 @@ CLOSES = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr
 HOLDS = frozenset("body article section div ul ol table td th blockquote form nav aside main header footer dl details".split())
 #: A template is deduced from hosts of at least so many pages; tokens of it are on at least this share of them; its classes have so many tokens.
 LEAST_PAGES, LEAST_SHARE, LEAST_TOKENS = 3, 0.5, 2
+#: The slot holds more than this share of the host's text that is not constant.
+SLOT_SHARE = 0.5
 #: Templates of up to so many bytes are broadcast; beyond, they meet the pages in a join on the host.
 BROADCAST_BYTES = 8 << 20
 
@@ -131,6 +134,12 @@ def read(html: str | None) -> tuple[list[Block], Counter]:
     return blocks, paths
 
 
+def _above(path: str) -> list[str]:
+    """The elements that hold what stands at path, itself among them."""
+    steps = path.split("/")
+    return ["/".join(steps[:i]) for i in range(2, len(steps) + 1)]
+
+
 def _digest(path: str, text: str) -> int:
     import xxhash
 
@@ -142,60 +151,66 @@ def host(url: Column) -> Column:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """Per host with a template: host, slot (the path of the element that holds the article) and constants (digests of text).
+    """Per host with a template: host, slot (the path of the element that holds the article, or null) and constants (digests of text).
 
     pages: host, html. Occurrence vectors are compared by a digest that is pre-aggregated per task, however many pages a
     host has. A template is no larger than 1 / LEAST_SHARE pages.
     """
     keyed = pages.select("host", F.xxhash64("html").alias("page"), "html")
-    schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("path", pa.string()), ("digest", pa.int64()), ("n", pa.int32()), ("chars", pa.int64()), ("main", pa.bool_())])
+    schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("path", pa.string()), ("at", pa.string()), ("digest", pa.int64()), ("n", pa.int32()), ("chars", pa.int64()), ("main", pa.bool_())])
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for name, page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 blocks, paths = read(html.as_py())
-                out.append((name, page, "", 0, 1, 0, False))
+                out.append((name, page, "", "", 0, 1, 0, False))
                 inside: Counter = Counter()
-                texts = Counter((b.path, b.text) for b in blocks if not b.main)
+                texts = Counter((b.path, b.text, b.out) for b in blocks if not b.main)
                 for b in blocks:
                     if not b.out:
-                        steps = b.path.split("/")
-                        for i in range(2, len(steps) + 1):
-                            inside["/".join(steps[:i])] += len(b.text)
+                        for path in _above(b.path):
+                            inside[path] += len(b.text)
                 for path, n in paths.items():
-                    out.append((name, page, path, 0, n, inside[path], path.rpartition("/")[2].startswith(MAIN) or path.endswith("@main")))
-                out.extend((name, page, "", _digest(path, text), n, len(text), False) for (path, text), n in texts.items())
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 7, schema, strict=True)], schema=schema)
+                    out.append((name, page, path, "", 0, n, inside[path], path.rpartition("/")[2].startswith(MAIN) or path.endswith("@main")))
+                out.extend((name, page, "", path, _digest(path, text), n, 0 if left_out else n * len(text), False) for (path, text, left_out), n in texts.items())
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 8, schema, strict=True)], schema=schema)
 
-    found = keyed.mapInArrow(tokens, "host string, page bigint, path string, digest bigint, n int, chars bigint, main boolean")
-    vectors = found.groupBy("host", "path", "digest", "main").agg(
+    found = keyed.mapInArrow(tokens, "host string, page bigint, path string, at string, digest bigint, n int, chars bigint, main boolean")
+    vectors = found.groupBy("host", "path", "at", "digest", "main").agg(
         F.count("*").alias("support"), F.sum("n").alias("total"), F.sum("chars").alias("chars"), F.bit_xor(F.xxhash64("page", "n")).alias("vector")
     )
     vectors = stored(vectors, "page-tokens")
     sizes = vectors.where("path = '' and digest = 0").select(F.col("host").alias("__host"), F.col("support").alias("pages"))
-    classes = vectors.where("path <> '' or digest <> 0").groupBy("host", "support", "total", "vector").agg(
-        F.count("*").alias("tokens"),
-        # of the elements that each page has once, the article's; else the one that holds most text, the innermost of equal ones
-        F.max(F.when((F.col("path") != "") & (F.col("total") == F.col("support")), F.struct(F.col("main").alias("main"), F.col("chars").alias("chars"), F.length("path").alias("depth"), F.col("path").alias("slot")))).alias("best"),
-        F.collect_list(F.when((F.col("digest") != 0), F.col("digest"))).alias("digests"),
-    )
+    classes = vectors.where("path <> '' or digest <> 0").groupBy("host", "support", "total", "vector").agg(F.count("*").alias("tokens"))
     enough = (F.col("pages") >= LEAST_PAGES) & (F.col("support") >= F.col("pages") * LEAST_SHARE)
-    valid = classes.join(sizes, classes["host"] == sizes["__host"]).where(enough & (F.col("tokens") >= LEAST_TOKENS))
-    return valid.groupBy("host").agg(F.max("best")["slot"].alias("slot"), F.array_distinct(F.flatten(F.collect_list("digests"))).alias("constants"))
+    valid = classes.join(sizes, classes["host"] == sizes["__host"]).where(enough & (F.col("tokens") >= LEAST_TOKENS)).drop("__host", "pages", "tokens")
+    members = stored(vectors.join(valid, ["host", "support", "total", "vector"]), "template-tokens")
+    constants = members.where("digest <> 0")
+    # what of an element's text is not constant
+    above = F.expr("transform(sequence(2, greatest(2, size(split(at, '/')))), i -> array_join(slice(split(at, '/'), 1, i), '/'))")
+    lost = constants.where("chars > 0").select("host", F.explode(above).alias("path"), "chars").groupBy("host", "path").agg(F.sum("chars").alias("lost"))
+    elements = members.where("path <> '' and total = support").join(lost, ["host", "path"], "left").withColumn("own", F.col("chars") - F.coalesce("lost", F.lit(0)))
+    most = elements.groupBy("host").agg(F.max("own").alias("most"))
+    # of the elements that hold most of that: an article or main element, the innermost, the one with more text
+    choice = F.struct("main", F.size(F.split("path", "/")).alias("depth"), "own", F.col("path").alias("slot"))
+    slots = elements.join(most, "host").where(F.col("own") > F.col("most") * SLOT_SHARE).groupBy("host").agg(F.max(choice)["slot"].alias("slot"))
+    digests = constants.groupBy("host").agg(F.collect_set("digest").alias("constants"))
+    return slots.join(digests, "host", "full").select("host", "slot", F.coalesce("constants", F.array().cast("array<bigint>")).alias("constants"))
 
 
 def main_text(html: str | None, slot: str | None = None, constants: frozenset[int] = frozenset()) -> str:
     blocks, paths = read(html)
     keep = [b for b in blocks if not b.out]
-    most = max((b.main for b in keep), default=0)
-    if most:
-        keep = [b for b in keep if b.main == most]
+    inside = [b for b in keep if b.path == slot or b.path.startswith(f"{slot}/")] if slot and slot in paths else []
+    if inside:
+        keep = inside
     else:
-        if slot and slot in paths:
-            keep = [b for b in keep if b.path == slot or b.path.startswith(slot + "/")] or keep
-        # constant parts outside articles; what is all that a page has stays
-        keep = [b for b in keep if _digest(b.path, b.text) not in constants] or keep
+        # without a template's slot, tags decide
+        most = max((b.main for b in keep), default=0)
+        keep = [b for b in keep if b.main == most]
+    # constant parts outside articles; what is all that a page has stays
+    keep = [b for b in keep if _digest(b.path, b.text) not in constants] or keep
     return "\n\n".join(b.text for b in keep)
 
 
@@ -204,7 +219,7 @@ def extract(pages: DataFrame) -> DataFrame:
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     pages = pages.withColumn("host", host(F.col("url")))
     found = stored(templates(pages), "templates").withColumnRenamed("host", "__host")
-    size = found.agg(F.coalesce(F.sum(F.size("constants") * 8 + F.length("slot") + F.length("__host") + 64), F.lit(0))).first()[0]
+    size = found.agg(F.coalesce(F.sum(F.size("constants") * 8 + F.coalesce(F.length("slot"), F.lit(0)) + F.length("__host") + 64), F.lit(0))).first()[0]
     joined = pages.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, pages["host"] == found["__host"], "left")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 

@@ -38,3 +38,15 @@ def test_articles_keep_lines_that_all_pages_have(spark):
 def test_long_page(spark):
     html = "<article>" + "<p>word</p>" * 20_000 + "</article>"
     assert html_text.main_text(html) == "\n\n".join(["word"] * 20_000)
+
+
+def test_template_outweighs_tags(spark):
+    """The body in main, or in a plain element, stays whole where an article element is a teaser or the like."""
+    rows = []
+    for i in range(6):
+        rows.append((i, "http://m.example/", f"<body><main><p>Own {i} text of the body, which is long</p><p>And {i} more</p><article class=card><p>see {i}</p></article></main></body>", None, None, None))
+        rows.append((10 + i, "http://d.example/", f"<body><div id=c><p>Call us</p><p>Own {i} text of the body, which is long</p></div><article class=card><p>see {i}</p></article></body>", None, None, None))
+    got = {r.page_id: r.text for r in html_text.extract(pages(spark, rows)).collect()}
+    for i in range(6):
+        assert got[i] == f"Own {i} text of the body, which is long\n\nAnd {i} more\n\nsee {i}"
+        assert got[10 + i] == f"Own {i} text of the body, which is long"
