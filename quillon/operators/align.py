@@ -45,22 +45,37 @@ def candidates(left: DataFrame, right: DataFrame, anchors: Column, most_holders:
     return both.withColumn("score", score(F.col("left_text"), F.col("right_text"), F.col("shared"), F.col("shared_hard"))).where(F.col("score") >= LEAST).select("left_id", "right_id", "shared", "score")
 
 
-def assign(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def assign(pairs: DataFrame) -> DataFrame:
     """One-to-one links by descending score (ties: left_id, right_id): what a greedy walk over all sorted pairs would take.
 
     A pair that is the best of both its sides is certain; rounds of taking those and dropping what they exclude give the
-    same links in parallel, and end when no pair is left.
+    same links in parallel, and end when no pair is left. Where units of both sides are all each other's best at one score,
+    as copies of a line are, the walk pairs them by their places, so a round takes all of them.
     """
     left = checkpointed(pairs)
     taken = None
     order = [F.desc("score"), F.col("left_id"), F.col("right_id")]
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
-        ranked = left.withColumn("__l", F.row_number().over(Window.partitionBy("left_id").orderBy(*order))).withColumn("__r", F.row_number().over(Window.partitionBy("right_id").orderBy(*order)))
-        best = checkpointed(ranked.where("__l = 1 and __r = 1").drop("__l", "__r"))
+    of_left, of_right = Window.partitionBy("left_id"), Window.partitionBy("right_id")
+    while not left.isEmpty():
+        ranked = left.withColumn("__l", F.row_number().over(of_left.orderBy(*order))).withColumn("__r", F.row_number().over(of_right.orderBy(*order)))
+        ranked = ranked.withColumn("__top_l", F.col("score") == F.max("score").over(of_left)).withColumn("__top_r", F.col("score") == F.max("score").over(of_right))
+        # digests of the units that are best for the left unit, and for the right one
+        for side, other in (("l", "right_id"), ("r", "left_id")):
+            best_of = F.when(F.col(f"__top_{side}"), F.xxhash64(other))
+            over = of_left if side == "l" else of_right
+            ranked = ranked.withColumn(f"__set_{side}", F.struct(F.count(best_of).over(over), F.bit_xor(best_of).over(over)))
+        # a right unit whose best ones all have one set of best ones, it among them; a left unit all of whose best ones are such, with one set
+        closed = F.min(F.when(F.col("__top_r"), F.col("__top_l"))).over(of_right) & (F.min(F.when(F.col("__top_r"), F.col("__set_l"))).over(of_right) == F.max(F.when(F.col("__top_r"), F.col("__set_l"))).over(of_right))
+        ranked = ranked.withColumn("__closed", closed)
+        whole = F.min(F.when(F.col("__top_l"), F.col("__top_r") & F.col("__closed"))).over(of_left) & (F.min(F.when(F.col("__top_l"), F.col("__set_r"))).over(of_left) == F.max(F.when(F.col("__top_l"), F.col("__set_r"))).over(of_left))
+        ranked = ranked.withColumn("__whole", whole)
+        certain = ((F.col("__l") == 1) & (F.col("__r") == 1)) | (F.col("__whole") & F.col("__top_l") & F.col("__top_r") & (F.col("__l") == F.col("__r")))
+        best = checkpointed(ranked.where(certain).select(pairs.columns))
         taken = best if taken is None else taken.unionByName(best)
-        left = checkpointed(left.join(best.select("left_id"), "left_id", "left_anti").join(best.select("right_id"), "right_id", "left_anti"))
+        used_left, used_right = best.select(F.col("left_id").alias("__used_l")), best.select(F.col("right_id").alias("__used_r"))
+        # null-safe, or a null id would never leave
+        left = left.join(used_left, F.col("left_id").eqNullSafe(F.col("__used_l")), "left_anti").join(used_right, F.col("right_id").eqNullSafe(F.col("__used_r")), "left_anti")
+        left = checkpointed(left)
     taken = taken if taken is not None else pairs.where("false")
     return taken.withColumn("status", F.when(F.col("score") >= MATCHED, "matched").otherwise("mapping_uncertain"))
 

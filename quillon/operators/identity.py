@@ -78,14 +78,15 @@ def quality_gate(candidates: DataFrame) -> DataFrame:
     return types.unionByName(surfaces).where("n > 1 and key <> ''")
 
 
-def card_components(cards: DataFrame, rounds: int = 20) -> DataFrame:
+def card_components(cards: DataFrame) -> DataFrame:
     """Cards (doc_id, card, surface) that share surfaces, directly or by others: doc_id, card, subject (the smallest card).
 
     Labels pass over card-surface edges, both ways in a round, and cards take the label of their label, until none changes.
     """
     edges = checkpointed(cards.select("doc_id", "card", "surface").distinct())
     labels = edges.groupBy("doc_id", "card").agg(F.min("card").alias("subject"))
-    for _ in range(rounds):
+    changed = True
+    while changed:
         by_surface = edges.join(labels, ["doc_id", "card"]).groupBy("doc_id", "surface").agg(F.min("subject").alias("least"))
         reached = edges.join(by_surface, ["doc_id", "surface"]).groupBy("doc_id", "card").agg(F.min("least").alias("least"))
         root = labels.select("doc_id", F.col("card").alias("least"), F.col("subject").alias("root"))
@@ -93,8 +94,6 @@ def card_components(cards: DataFrame, rounds: int = 20) -> DataFrame:
         new = checkpointed(new.select("doc_id", "card", F.least("subject", "least", "root").alias("next"), "subject"))
         changed = not new.where("next <> subject").isEmpty()
         labels = new.select("doc_id", "card", F.col("next").alias("subject"))
-        if not changed:
-            break
     return labels
 
 

@@ -116,6 +116,20 @@ def test_assignment_is_greedy(spark):
     assert align.assign(spark.createDataFrame([], "left_id string, right_id string, score double")).count() == 0
 
 
+def test_assignment_takes_all_copies(spark):
+    """60 copies on 70 and rows that overlap them only in part: every link that the walk takes, no matter how many rounds."""
+    rng = random.Random(3)
+    pairs = [(f"l{a:02}", f"r{b:02}", 1.0) for a in range(60) for b in range(70)]
+    pairs += [(f"l{a:02}", f"s{b:02}", 0.9) for a in range(60) for b in range(5)] + [(f"m{a:02}", f"r{b:02}", 0.8) for a in range(8) for b in range(55, 70)]
+    pairs += [(f"x{a}", f"y{b}", rng.choice([0.5, 0.6])) for a in range(12) for b in range(12) if rng.random() < 0.6]
+    left, right, want = set(), set(), set()
+    for a, b, s in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
+        if a not in left and b not in right:
+            left.add(a), right.add(b), want.add((a, b, s))
+    got = align.assign(spark.createDataFrame(pairs, "left_id string, right_id string, score double"))
+    assert {tuple(r)[:3] for r in got.collect()} == want and len(want) > 70
+
+
 def test_coverage_chain(spark):
     u = units.lines(docs(spark, CONTRACT)).withColumn("container_type", F.lit("body")).withColumn("rewritable", F.lit(True))
     plan = {r.category for r in coverage.obligations(u).collect()}
