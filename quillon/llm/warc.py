@@ -13,7 +13,7 @@ no other has the payload; an empty table gives an empty archive; extra columns a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path
@@ -55,9 +55,14 @@ def write(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, date: str
     first = narrow.groupBy("digest").agg(F.min("page_id").alias("first"))
     revisit = (F.col("n") >= min_revisit) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     narrow.join(first, "digest").withColumn("revisit", revisit).select("page_id", "digest", _header(date).alias("header")).write.parquet(f"{path}/headers")
-    # one shuffle of payloads, after copies within a task have met
-    whole = pages.select(F.sha2("payload", 256).alias("digest"), "payload")
-    whole.groupBy("digest").agg(F.first("payload").alias("payload")).write.parquet(f"{path}/payloads")
+    # the page that stands for a payload is known before payloads move: each goes to its own key, however many copies there are
+    known, page = F.col("page_id").isNotNull(), F.coalesce("page_id", F.lit(0).cast("long"))
+    whole = pages.select(F.sha2("payload", 256).alias("digest"), known.alias("known"), page.alias("page"), "payload")
+    elected = first.select("digest", F.col("first").isNotNull().alias("known"), F.coalesce("first", F.lit(0).cast("long")).alias("page"))
+    keys = ["digest", "known", "page"]
+    # rows that repeat a page_id and its payload stay together, and one of them is kept
+    once = F.row_number().over(Window.partitionBy(*keys).orderBy("digest"))
+    whole.join(elected, keys).withColumn("once", once).where("once = 1").select("digest", "payload").write.parquet(f"{path}/payloads")
 
 
 def _tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
