@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,9 +36,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or an own one where that is unset, as in tests."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, local mode makes an own one, and a
+    cluster, whose executors would not see it, is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
@@ -47,12 +51,37 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written as a table in the shared folder and read back: it survives lost executors and cuts the lineage."""
+def fewer(df: DataFrame) -> DataFrame:
+    """df in an eighth of the shuffle partitions, but a task for each core: they are sized for texts, and rows of a few
+    numbers would make very many very small files of them."""
+    spark = df.sparkSession
+    return df.coalesce(max(spark.sparkContext.defaultParallelism, partitions(spark) // 8))
+
+
+def stored(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """df, written as a table in the shared folder and read back: it survives lost executors and cuts the lineage.
+
+    narrow: its rows are a few numbers, so that fewer files do.
+    """
     small_batches(df.sparkSession)
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (fewer(df) if narrow else df).write.parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.stored_at = path  # type: ignore[attr-defined]
+    return back
+
+
+def released(*tables: DataFrame) -> None:
+    """Delete stored tables. Whatever was made of them must be stored itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def meet(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:  # noqa: ANN001
+    """A join of two sides that both grow with the input: never broadcast, however small they are here."""
+    return left.join(right.hint("merge"), on, how)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -16,6 +16,7 @@ extra columns are not looked at.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import RangeHash, giving_back, mix, partitions, stored, words
+from .common import RangeHash, giving_back, meet, mix, partitions, released, stored, words
 from .graph import components
 
 SIZE = 5
@@ -119,8 +120,23 @@ def _bucket_counts(hashes: DataFrame, make: Callable[[pa.RecordBatch], Iterator[
     return found
 
 
-def _bloom(keys: DataFrame, spark: SparkSession) -> Callable[[np.ndarray], np.ndarray]:
-    """A filter of the bigints of keys (one column). It lets all of them pass, and few others while they fit its bits."""
+class Bloom:
+    """A filter of bigints, broadcast until it is dropped. It lets all of its keys pass, and few others while they fit its bits."""
+
+    def __init__(self, spark: SparkSession, packed: np.ndarray, bits: int) -> None:
+        self.packed, self.bits = spark.sparkContext.broadcast(packed), bits
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        place = (mix(values.view(np.uint64)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return (self.packed.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
+
+    def drop(self) -> None:
+        """Free it everywhere; what was made with it must be stored."""
+        self.packed.destroy()
+
+
+def _bloom(keys: DataFrame, spark: SparkSession) -> Bloom:
+    """A filter of the bigints of keys (one column)."""
     bits = min(BLOOM_BITS, max(16, (16 * max(1, keys.count())).bit_length()))
     chunk = 1 << min(bits - 3, CHUNK_BITS)
 
@@ -146,13 +162,7 @@ def _bloom(keys: DataFrame, spark: SparkSession) -> Callable[[np.ndarray], np.nd
     found = np.zeros(1 << bits - 3, dtype=np.uint8)
     for at, own in united.groupBy("chunk").applyInArrow(unite, "chunk int, bits binary").collect():
         found[at * chunk : (at + 1) * chunk] = np.frombuffer(own, dtype=np.uint8)
-    packed = spark.sparkContext.broadcast(found)
-
-    def test(values: np.ndarray) -> np.ndarray:
-        place = (mix(values.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
-        return (packed.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
-
-    return test
+    return Bloom(spark, found, bits)
 
 
 def _passes(test: Callable[[np.ndarray], np.ndarray], column: Column) -> Column:
@@ -197,10 +207,13 @@ FEATURES = "doc_id bigint, n int, v bigint, w bigint, minhash binary, prefix bin
 
 def features(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> DataFrame:
     """Per row of docs (doc_id, text): n, the set's 128-bit hash (v, w), min-hashes, the prefix in global order
-    and the frequency level of its last n-gram, and the occupied of SET_BITS buckets."""
+    and the frequency level of its last n-gram, and the occupied of SET_BITS buckets; a stored table."""
     texts = docs.select("text")
     counts = _bucket_counts(texts, lambda batch: (shingles(t.as_py(), size) for t in batch.column(0)), SKETCH_BITS)
-    level = docs.sparkSession.sparkContext.broadcast(np.round(8 * np.log2(1.0 + counts)).astype(np.uint8))
+    levels_of = np.empty(len(counts), dtype=np.uint8)
+    for at in range(0, len(counts), 1 << 16):  # in pieces: the driver's memory is small
+        levels_of[at : at + (1 << 16)] = np.round(8 * np.log2(1.0 + counts[at : at + (1 << 16)]))
+    level = docs.sparkSession.sparkContext.broadcast(levels_of)
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("v", pa.int64()), ("w", pa.int64()), ("minhash", pa.binary()), ("prefix", pa.binary()), ("last", pa.int32()), ("bits", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,21 +244,23 @@ def features(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> DataFrame
             n, v, w, minhash, prefix, last, bits = zip(*rows, strict=True) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(v, pa.int64()), pa.array(w, pa.int64()), pa.array(minhash, pa.binary()), pa.array(prefix, pa.binary()), pa.array(last, pa.int32()), pa.array(bits, pa.binary())], schema=schema)
 
-    return docs.mapInArrow(giving_back(run), FEATURES)
+    out = stored(docs.mapInArrow(giving_back(run), FEATURES), "sets")
+    level.destroy()
+    return out
 
 
 # --- verification ---
 
 
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int = SIZE, least: int = LEAST) -> DataFrame:
-    """Of pairs (a, b of reps' v) those whose whole sets are similar. reps: v, rep (its doc_id).
+    """Of pairs (a, b of reps' v) those whose whole sets are similar, as a stored table. reps: v, rep (its doc_id).
 
     The sets of all documents in pairs are cut into fragments by hash; overlaps are counted in each fragment and summed.
     """
     spark = docs.sparkSession
     used = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
-    ids = stored(reps.join(used, "v", "left_semi").select("rep"), "used")
-    wanted = _bloom(ids, spark)
+    used = stored(meet(reps.select("v", "rep"), used, "v", "left_semi"), "used", narrow=True)
+    wanted = _bloom(used.select("rep"), spark)
     shift = np.uint64(64 - (FRAGMENTS.bit_length() - 1))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,12 +277,14 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int = SIZ
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(f, pa.int32()), pa.array(n, pa.int32()), pa.array(part, pa.binary())], names=["v", "fragment", "n", "part"])
 
     # rows that the filter lets pass by chance meet no pair, unless their set is that of a representative: once is enough
-    parts = docs.select("doc_id", "text").mapInArrow(giving_back(cut), "v bigint, fragment int, n int, part binary")
-    parts = stored(parts.groupBy("v", "fragment").agg(F.first("n").alias("n"), F.first("part").alias("part")).join(used, "v", "left_semi"), "fragments")
+    parts = docs.select("doc_id", "text").mapInArrow(giving_back(cut), "v bigint, fragment int, n int, part binary").repartition("v")
+    parts = parts.groupBy("v", "fragment").agg(F.first("n").alias("n"), F.first("part").alias("part"))
+    parts = stored(meet(parts, used.select("v"), "v", "left_semi"), "fragments")
+    wanted.drop()
     each = pairs.select("a", "b", F.explode(F.array(*[F.lit(f) for f in range(FRAGMENTS)])).alias("fragment"))
     one = parts.select(F.col("v").alias("a"), "fragment", F.col("n").alias("na"), F.col("part").alias("pa"))
     two = parts.select(F.col("v").alias("b"), "fragment", F.col("n").alias("nb"), F.col("part").alias("pb"))
-    met = each.join(one, ["a", "fragment"]).join(two, ["b", "fragment"]).select("a", "b", "na", "nb", "pa", "pb")
+    met = meet(meet(each, one, ["a", "fragment"]), two, ["b", "fragment"]).select("a", "b", "na", "nb", "pa", "pb")
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,39 +296,51 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int = SIZ
 
     counted = met.mapInArrow(giving_back(overlap), "a bigint, b bigint, na int, nb int, common int")
     sums = counted.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
-    return sums.where(F.col("common") * (100 + least) >= F.lit(least).cast("long") * (F.col("na") + F.col("nb"))).select("a", "b")
+    links = stored(sums.where(F.col("common") * (100 + least) >= F.lit(least).cast("long") * (F.col("na") + F.col("nb"))).select("a", "b"), "links", narrow=True)
+    released(used, parts)
+    return links
 
 
 def _looked_up(reps: DataFrame) -> DataFrame:
     """i, h, v, central: the min-hashes of each set that are looked up, and how common they are together. The set that a
-    group of near copies goes back to has the min-hashes most of them have, so it is the most central."""
+    group of near copies goes back to has the min-hashes most of them have, so it is the most central. A stored table."""
     looked = F.array(*[F.struct(F.lit(i).alias("i"), F.substring("minhash", 4 * i + 1, 4).alias("h")) for i in range(LOOKED_UP)])
     keyed = reps.select("v", F.inline(looked))
-    common = keyed.groupBy("i", "h").agg(F.count("*").alias("members")).where("members > 1")
-    met = keyed.join(common, ["i", "h"])
+    # stored, so that nothing but the join stands above both shuffles, and a min-hash of very many sets can be split
+    common = stored(keyed.groupBy("i", "h").agg(F.count("*").alias("members")).where("members > 1"), "common", narrow=True)
+    met = stored(meet(keyed, common, ["i", "h"]), "met-minhashes", narrow=True)
     central = met.groupBy("v").agg(F.sum("members").alias("central"))
-    return met.drop("members").join(central, "v")
+    out = stored(meet(met.drop("members"), central, "v"), "minhashes", narrow=True)
+    released(common, met)
+    return out
 
 
-def _hub_pairs(looked: DataFrame, reps: DataFrame, comps: DataFrame, round_: int, least: int) -> DataFrame:
+def _hub_pairs(looked: DataFrame, reps: DataFrame, comps: DataFrame | None, round_: int, least: int) -> DataFrame:
     """Pairs of a set and a hub of another component that share a min-hash; linear in the sets, however large their groups.
 
     A min-hash's hub is of the component that most of its sets are of: the most central, in further rounds any. A set keeps
-    the hubs that most min-hashes agree with, up to three.
+    the hubs that most min-hashes agree with, up to three. A stored table.
     """
-    labelled = looked.join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+    if comps is None:
+        labelled = looked.withColumn("comp", F.col("v"))
+    else:
+        labelled = stored(meet(looked, comps, "v", "left").withColumn("comp", F.coalesce("comp", "v")), "labelled", narrow=True)
     order = F.struct("central", "v") if round_ == 0 else F.struct(F.xxhash64("v", F.lit(round_)), "v")
     sizes = labelled.groupBy("i", "h", "comp").agg(F.count("*").alias("c"), F.max_by("v", order).alias("hub"), F.max("central").alias("central"))
     hubs = sizes.groupBy("i", "h").agg(F.max_by(F.struct(F.col("comp").alias("main"), "hub"), F.struct("c", "central", "comp")).alias("x")).select("i", "h", "x.*")
-    met = labelled.join(hubs, ["i", "h"]).where("comp <> main").select("v", "hub").distinct()
+    hubs = stored(hubs, "hubs", narrow=True)  # a min-hash of very many sets can be split in the join, as no aggregate stands above it
+    met = meet(labelled, hubs, ["i", "h"]).where("comp <> main").select("v", "hub").distinct()
     own = reps.select("v", "n", "minhash")
     hub = reps.select(F.col("v").alias("hub"), F.col("n").alias("hub_n"), F.col("minhash").alias("hub_minhash"))
     agree = sum(((F.substring("minhash", 4 * i + 1, 4) == F.substring("hub_minhash", 4 * i + 1, 4)).cast("int") for i in range(MINHASHES)), F.lit(0))
-    likely = met.join(own, "v").join(hub, "hub").where(F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * least)
+    likely = meet(meet(met, own, "v"), hub, "hub").where(F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * least)
     likely = likely.select("v", "hub", agree.alias("agree")).where(F.col("agree") >= AGREE)
     first = F.slice(F.sort_array(F.collect_set(F.struct("agree", "hub")), False), 1, HUBS)
     best = likely.groupBy("v").agg(first.alias("best"))
-    return best.select("v", F.explode("best.hub").alias("hub")).select(F.least("v", "hub").alias("a"), F.greatest("v", "hub").alias("b")).distinct()
+    pairs = best.select("v", F.explode("best.hub").alias("hub")).select(F.least("v", "hub").alias("a"), F.greatest("v", "hub").alias("b")).distinct()
+    pairs = stored(pairs, "hub-pairs", narrow=True)
+    released(hubs, *([labelled] if comps is not None else []))
+    return pairs
 
 
 def _keys(tokens: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -430,10 +459,10 @@ def _postings(sets: DataFrame, parts: int, mixed: Callable[[np.ndarray], np.ndar
     return sets.select("v", "comp", "n", "prefix", "bits").mapInArrow(giving_back(post), schema)
 
 
-def _met(postings: DataFrame, main: DataFrame, least: int) -> DataFrame:
-    """Pairs of different components that meet in a key of postings, the smaller set's within its index, and may be similar."""
+def _met(marked: DataFrame, least: int) -> DataFrame:
+    """Pairs of different components that meet in a key of postings (and its main component), the smaller set's within its
+    index, and may be similar."""
     # within the component that a key's most sets are of, nothing is left to link: only others meet all
-    marked = postings.join(main, "key")
     columns = [c for c in marked.columns if c != "key"]
     index = F.col("pos") < F.col("n") - F.ceil(F.lit(2 * least) * F.col("n") / (100 + least)) + 1
     a = marked.where(index).select("key", *[F.col(c).alias(f"a_{c}") for c in columns])
@@ -455,8 +484,8 @@ def _met(postings: DataFrame, main: DataFrame, least: int) -> DataFrame:
         common = F.least(F.col("a_n") - alone("a", "b"), F.col("b_n") - alone("b", "a"))
         may = may & (common.cast("long") * (100 + least) >= F.lit(least).cast("long") * (F.col("a_n") + F.col("b_n")))
         may = may & ~F.arrays_overlap("a_before", "b_before")
-    minor_a = a.where("a_comp <> a_main").join(b, "key").where(may)
-    minor_b = a.where("a_comp = a_main").join(b.where("b_comp <> b_main"), "key").where(may)
+    minor_a = meet(a.where("a_comp <> a_main"), b, "key").where(may)
+    minor_b = meet(a.where("a_comp = a_main"), b.where("b_comp <> b_main"), "key").where(may)
     return minor_a.select("a_v", "b_v").unionByName(minor_b.select("a_v", "b_v")).select(F.least("a_v", "b_v").alias("a"), F.greatest("a_v", "b_v").alias("b"))
 
 
@@ -464,34 +493,42 @@ def _prefix_pairs(sets: DataFrame, special: Callable[[np.ndarray], np.ndarray],
     """Pairs of sets (v, comp, n, prefix, bits) of different components that meet in their prefixes and may be similar.
 
     Keys that very many sets hold are joined apart, with each set's earlier such keys, so that a pair meets in the first
-    of them alone and not in each that it shares.
+    of them alone and not in each that it shares. A stored table.
     """
     spark = sets.sparkSession
     parts = partitions(spark)
-    mixed = stored(_mixed(sets, parts, special), "mixed")
+    mixed = stored(_mixed(sets, parts, special), "mixed", narrow=True)
     is_mixed = _bloom(mixed, spark)
     postings = stored(_postings(sets, parts, is_mixed, None, special), "postings")
     counts = postings.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key")
     main = counts.agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("c").alias("holders")).where("comps > 1")
-    main = stored(main, "keys")
+    main = stored(main, "keys", narrow=True)
     # what counts as hot is the filter's word, the same for every set
-    hot = _bloom(stored(main.where(F.col("holders") >= HOT_KEY).select("key"), "hot-keys"), spark)
+    hot_keys = stored(main.where(F.col("holders") >= HOT_KEY).select("key"), "hot-keys", narrow=True)
+    hot = _bloom(hot_keys, spark)
     mains = main.select("key", "main")
-    cold = postings.where(~_passes(hot, F.col("key")))
-    return _met(cold, mains, least).unionByName(_met(_postings(sets, parts, is_mixed, hot, special), mains, least)).distinct()
+    cold = stored(meet(postings.where(~_passes(hot, F.col("key"))), mains, "key"), "cold", narrow=True)
+    warm = stored(meet(_postings(sets, parts, is_mixed, hot, special), mains, "key"), "warm")
+    pairs = stored(_met(cold, least).unionByName(_met(warm, least)).distinct(), "prefix-pairs", narrow=True)
+    is_mixed.drop()
+    hot.drop()
+    released(mixed, postings, main, hot_keys, cold, warm)
+    return pairs
 
 
 def _promising(pairs: DataFrame, found: DataFrame, least: int) -> DataFrame:
     """Of pairs those whose overlap in the first fragment, the prefixes, leaves room for similarity.
 
-    Beyond the prefix that ends first in the global order, the rest of its set bounds what may still be common.
+    Beyond the prefix that ends first in the global order, the rest of its set bounds what may still be common. A stored table.
     """
-    used = stored(pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct(), "met")
-    own = found.where(_passes(_bloom(used, found.sparkSession), F.col("v"))).groupBy("v").agg(*(F.first(c).alias(c) for c in ("n", "last", "prefix", "bits")))
-    own = stored(own.join(used, "v", "left_semi"), "prefixes")
+    used = stored(pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct(), "met", narrow=True)
+    wanted = _bloom(used, found.sparkSession)
+    own = found.where(_passes(wanted, F.col("v"))).groupBy("v").agg(*(F.first(c).alias(c) for c in ("n", "last", "prefix", "bits")))
+    own = stored(meet(own, used, "v", "left_semi"), "prefixes")
+    wanted.drop()
     one = own.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("last").alias("la"), F.col("prefix").alias("pa"), F.col("bits").alias("ba"))
     two = own.select(F.col("v").alias("b"), F.col("n").alias("nb"), F.col("last").alias("lb"), F.col("prefix").alias("pb"), F.col("bits").alias("bb"))
-    met = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "la", "lb", "pa", "pb", "ba", "bb")
+    met = meet(meet(pairs, one, "a"), two, "b").select("a", "b", "na", "nb", "la", "lb", "pa", "pb", "ba", "bb")
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -504,46 +541,52 @@ def _promising(pairs: DataFrame, found: DataFrame, least: int) -> DataFrame:
                 keep.append(min(common, len(np.intersect1d(x, y, assume_unique=True)) + rest) * (100 + least) >= least * (na + nb))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
-    return met.mapInArrow(giving_back(bounded), "a bigint, b bigint")
+    out = stored(met.mapInArrow(giving_back(bounded), "a bigint, b bigint"), "promising-pairs", narrow=True)
+    released(used, own)
+    return out
 
 
 def join(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included) and the
     class of its set (v, w: equal sets share it)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = stored(features(docs, size, least), "sets")
-    classes = found.where("n > 0 and doc_id is not null").groupBy("v", "w", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
-    classes = stored(classes, "classes")
+    found = features(docs, size, least)
+    known = found.where("n > 0 and doc_id is not null")
+    classes = stored(known.groupBy("v", "w", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "classes", narrow=True)
     keyed = classes.select("rep", F.col("v").alias("__v"), F.col("w").alias("__w"))
     is_rep = (found["doc_id"] == keyed["rep"]) & (found["v"] == keyed["__v"]) & (found["w"] == keyed["__w"])
-    narrow = found.join(keyed, is_rep).select("rep", "v", "n", "minhash").dropDuplicates(["v"])
-    narrow = stored(narrow, "signatures")
-    looked = stored(_looked_up(narrow), "minhashes")
-    links = comps = None
+    narrow = stored(meet(found, keyed, is_rep).select("rep", "v", "n", "minhash").dropDuplicates(["v"]), "signatures")
+    looked = _looked_up(narrow)
+    links: list[DataFrame] = []
+    comps = None
+    every = lambda: functools.reduce(DataFrame.unionByName, links)
     for round_ in range(HUB_ROUNDS):
-        none = narrow.select("v", F.col("v").alias("comp")).where("false")
-        pairs = stored(_hub_pairs(looked, narrow, none if comps is None else comps, round_, least), "hub-pairs")
-        new = stored(verified(pairs, docs, narrow, size, least), "links")
-        links = new if links is None else links.unionByName(new)
-        if new.isEmpty() and comps is not None:
+        pairs = _hub_pairs(looked, narrow, comps, round_, least)
+        links.append(verified(pairs, docs, narrow, size, least))
+        released(pairs)
+        if comps is not None and links[-1].isEmpty():
             break
-        comps = components(links)
+        comps = components(every())
+    released(looked)
     # prefixes stay where they are, but for those of linked sets and of sets that several rows have
-    several = classes.where("rows > 1").select("v").unionByName(comps.select("v"))
-    special = _bloom(stored(several, "special"), docs.sparkSession)
-    known = found.where("n > 0 and doc_id is not null")
+    special = stored(classes.where("rows > 1").select("v").unionByName(comps.select("v")), "special", narrow=True)
+    is_special = _bloom(special, docs.sparkSession)
     alone = known.select("v", F.lit(None).cast("long").alias("comp"), "n", "prefix", "bits")
-    others = known.where(_passes(special, F.col("v"))).groupBy("v").agg(*(F.first(c).alias(c) for c in ("n", "prefix", "bits")))
-    others = others.join(comps, "v", "left").select("v", F.coalesce("comp", "v").alias("comp"), "n", "prefix", "bits")
-    pairs = stored(_prefix_pairs(alone.unionByName(stored(others, "linked-sets")), special, least), "prefix-pairs")
-    pairs = stored(_promising(pairs, known, least), "promising-pairs")
-    more = stored(verified(pairs, docs, narrow, size, least), "links")
-    comps = components(links.unionByName(more))
-    # a component's smallest document, over the classes of its sets
-    labelled = classes.join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
-    named = labelled.join(labelled.groupBy("comp").agg(F.min("rep").alias("component")), "comp").select(F.col("v").alias("__v"), F.col("w").alias("__w"), "component")
+    others = known.where(_passes(is_special, F.col("v"))).groupBy("v").agg(*(F.first(c).alias(c) for c in ("n", "prefix", "bits")))
+    others = stored(meet(others, comps, "v", "left").select("v", F.coalesce("comp", "v").alias("comp"), "n", "prefix", "bits"), "linked-sets")
+    pairs = _prefix_pairs(alone.unionByName(others), is_special, least)
+    is_special.drop()
+    promising = _promising(pairs, known, least)
+    links.append(verified(promising, docs, narrow, size, least))
+    comps = components(every())
+    released(special, others, pairs, promising, narrow, *links)
+    # a component's smallest document, over the classes of its sets; a class that stands alone and has one row needs no name
+    linked = stored(meet(classes.select("v", "w", "rep"), comps, "v"), "linked-classes", narrow=True)
+    named = meet(linked, linked.groupBy("comp").agg(F.min("rep").alias("component")), "comp").select("v", "w", "component")
+    several = meet(classes.where("rows > 1"), comps, "v", "left_anti").select("v", "w", F.col("rep").alias("component"))
+    named = named.unionByName(several).select(F.col("v").alias("__v"), F.col("w").alias("__w"), "component")
     rows = found.select("doc_id", "n", "v", "w")
-    out = rows.join(named, (rows["v"] == named["__v"]) & (rows["w"] == named["__w"]) & (rows["n"] > 0), "left")
+    out = meet(rows, named, (rows["v"] == named["__v"]) & (rows["w"] == named["__w"]) & (rows["n"] > 0), "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"), "v", "w")
 
@@ -551,15 +594,14 @@ def join(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> DataFrame:
 def deduplicate(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> DataFrame:
     """The rows of docs, with all their columns, of which one of each component stays: that with the smallest doc_id.
     Rows without words, or without an id, all stay; of rows that repeat an id, the one with the smallest text."""
-    joined = join(docs, size, least)
-    linked = joined.where("n_shingles > 0 and doc_id is not null")
-    drop = stored(linked.where("doc_id <> component_id").select(F.col("doc_id").alias("__doc")).distinct(), "dropped")
-    kept = docs.join(drop, docs["doc_id"].cast("long") == drop["__doc"], "left_anti")
-    twice = stored(linked.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice")), "repeated")
+    linked = stored(join(docs, size, least).where("n_shingles > 0 and doc_id is not null").select("doc_id", "component_id"), "joined", narrow=True)
+    drop = linked.where("doc_id <> component_id").select(F.col("doc_id").alias("__doc")).distinct()
+    kept = meet(docs, drop, docs["doc_id"].cast("long") == drop["__doc"], "left_anti")
+    twice = stored(linked.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice")), "repeated", narrow=True)
     if twice.isEmpty():
         return kept
     # rare: ids that stand for several rows
-    once = kept.join(twice, kept["doc_id"].cast("long") == twice["__twice"], "left_anti")
-    again = kept.join(twice, kept["doc_id"].cast("long") == twice["__twice"], "left_semi")
+    once = meet(kept, twice, kept["doc_id"].cast("long") == twice["__twice"], "left_anti")
+    again = meet(kept, twice, kept["doc_id"].cast("long") == twice["__twice"], "left_semi")
     first = again.withColumn("__n", F.row_number().over(Window.partitionBy(again["doc_id"]).orderBy(again["text"]))).where("__n = 1").drop("__n")
     return once.unionByName(first)
