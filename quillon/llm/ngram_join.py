@@ -582,7 +582,8 @@ def join(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> DataFrame:
     released(special, others, pairs, promising, narrow, *links)
     # a component's smallest document, over the classes of its sets; a class that stands alone and has one row needs no name
     linked = stored(meet(classes.select("v", "w", "rep"), comps, "v"), "linked-classes", narrow=True)
-    named = meet(linked, linked.groupBy("comp").agg(F.min("rep").alias("component")), "comp").select("v", "w", "component")
+    least_of = stored(linked.groupBy("comp").agg(F.min("rep").alias("component")), "components", narrow=True)
+    named = meet(linked, least_of, "comp").select("v", "w", "component")
     several = meet(classes.where("rows > 1"), comps, "v", "left_anti").select("v", "w", F.col("rep").alias("component"))
     named = named.unionByName(several).select(F.col("v").alias("__v"), F.col("w").alias("__w"), "component")
     rows = found.select("doc_id", "n", "v", "w")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import fewer, new_path
 
 MIN_REVISIT = 100
 DATE = "1970-01-01T00:00:00Z"
@@ -54,7 +54,7 @@ def write(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, date: str
     # pre-aggregated before the shuffle, however many copies a payload has; the join's hot keys can be split
     first = narrow.groupBy("digest").agg(F.min("page_id").alias("first"))
     revisit = (F.col("n") >= min_revisit) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    narrow.join(first, "digest").withColumn("revisit", revisit).select("page_id", "digest", _header(date).alias("header")).write.parquet(f"{path}/headers")
+    fewer(narrow.join(first, "digest").withColumn("revisit", revisit).select("page_id", "digest", _header(date).alias("header"))).write.parquet(f"{path}/headers")
     # the page that stands for a payload is known before payloads move: each goes to its own key, however many copies there are
     known, page = F.col("page_id").isNotNull(), F.coalesce("page_id", F.lit(0).cast("long"))
     whole = pages.select(F.sha2("payload", 256).alias("digest"), known.alias("known"), page.alias("page"), "payload")
@@ -99,7 +99,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         _page(_field("WARC-Record-ID")).alias("page_id"), _field("WARC-Type").alias("record_type"),
         _page(_field("WARC-Refers-To")).alias("refers_to"), F.regexp_extract(_field("WARC-Payload-Digest"), "^sha256:(.*)$", 1).alias("digest"),
     )
-    return parsed.join(measured, "digest").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return fewer(parsed.join(measured, "digest").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
