@@ -18,6 +18,7 @@ rows; extra columns are not looked at.
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
 from collections import Counter
@@ -29,10 +30,11 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*(?:>|\Z)|[^<]+|<""", re.S)
+# a quote opens a string only right after "=", as in HTML
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?)*+(?:>|\Z)|[^<]+|<""", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-MARKED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
+PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*|[0-9]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea noscript template iframe svg math canvas object audio video".split())
 BLOCKS = frozenset(
@@ -43,23 +45,45 @@ BLOCKS = frozenset(
 LEFT_OUT = frozenset("nav aside footer form head button select label option dialog menu script style textarea noscript template iframe svg math canvas object audio video title".split())
 LEFT_OUT_ABOVE = frozenset(["header"])
 MAIN = ("article", "main")
-#: Words of a class, id or role that mark parts that aren't main text.
+#: Names of parts that aren't main text, and words that say nothing of a part. A class, id or role marks a part only if it
+#: consists of such words, and not of the latter alone: "cookie-notice" and "post-comments" do, "share-price" doesn't.
 WORDS = frozenset(
     "ad ads advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer form gdpr login menu modal nav navbar navigation "
     "newsletter notice notices notification pager pagination popup promo promotion recommended related replies reply search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
-WORDS_ABOVE = frozenset("header masthead topbar top".split())
+WORDS_ABOVE = frozenset("header masthead topbar".split())
+PLAIN = frozenset(
+    "area article articles bar block body bottom box button buttons buttonbar center col column container content fixed global group inner item items left link links list main outer page panel post posts "
+    "right row section site slot sticky story top unit wrap wrapper".split()
+)
 #: An open element that a start tag closes, up to the elements that hold it.
 CLOSES = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}, "head": {"body"}}
 HOLDS = frozenset("body article section div ul ol table td th blockquote form nav aside main header footer dl details".split())
-#: A template is deduced from hosts of at least so many pages; tokens of it are on at least this share of them; its classes have so many tokens.
-LEAST_PAGES, LEAST_SHARE, LEAST_TOKENS = 3, 0.5, 2
+#: A template is deduced from hosts of at least so many pages, two of them different; tokens of it are on different pages, and on at least
+#: this share of all; its classes have so many tokens.
+LEAST_PAGES, LEAST_SHARE, LEAST_TOKENS = 2, 0.5, 2
 #: The slot holds more than this share of the host's text that is not constant.
 SLOT_SHARE = 0.5
 #: Templates of up to so many bytes are broadcast; beyond, they meet the pages in a join on the host.
 BROADCAST_BYTES = 8 << 20
 
 
+SIGNS = {"class": ".", "id": "#", "role": "@"}
+
+
+@functools.lru_cache(maxsize=4096)
+def _marks(value: str) -> frozenset[str]:
+    """out, if a name in value is that of a part that never is main text; above, if of one that is none outside articles."""
+    found = set()
+    for name in value.split():
+        words = {x.lower() for x in PARTS.findall(name) if not x.isdigit()}
+        if words & WORDS and words <= WORDS | PLAIN:
+            found.add("out")
+        elif words & WORDS_ABOVE and words <= WORDS | WORDS_ABOVE | PLAIN:
+            found.add("above")
+    return frozenset(found)
+
+
 class Block:
     __slots__ = ("path", "text", "out", "main")
 
@@ -114,15 +138,16 @@ def read(html: str | None) -> tuple[list[Block], Counter]:
             if open_ in HOLDS:
                 break
         _, path, out, main = stack[-1]
-        step, words = tag, set()
-        for key, value in MARKED.findall(token):
-            value, key = value.strip("\"'"), key.lower()
-            if key in ("hidden", "aria-hidden"):
-                continue
-            words |= {x.lower() for x in PARTS.findall(value)}
-            step += ("." if key == "class" else "#" if key == "id" else "@") + ".".join(sorted(value.split()))
+        step, marks = tag, set()
+        for key, value in ATTRIBUTE.findall(token, name.end()) if name.end() < len(token) - 1 else ():
+            if (key := key.lower()) in SIGNS:
+                value = value.strip("\"'")
+                marks |= _marks(value)
+                step += SIGNS[key] + ".".join(sorted(value.split()))
         main = 2 if tag == "article" else main or int(tag in MAIN or step.endswith("@main"))
-        out = out or tag in LEFT_OUT or bool(words & WORDS and tag not in ("html", "body")) or (not main and (tag in LEFT_OUT_ABOVE or bool(words & WORDS_ABOVE and tag not in ("html", "body"))))
+        if tag in ("html", "body"):
+            marks = set()
+        out = out or tag in LEFT_OUT or "out" in marks or (not main and (tag in LEFT_OUT_ABOVE or "above" in marks))
         full = f"{path}/{step}"
         paths[full] += 1
         if tag in VOID or token.endswith("/>"):
@@ -153,18 +178,19 @@ def host(url: Column) -> Column:
 def templates(pages: DataFrame) -> DataFrame:
     """Per host with a template: host, slot (the path of the element that holds the article, or null) and constants (digests of text).
 
-    pages: host, html. Occurrence vectors are compared by a digest that is pre-aggregated per task, however many pages a
-    host has. A template is no larger than 1 / LEAST_SHARE pages.
+    pages: page_id, host, html. Occurrence vectors are compared by two sums of hashes of page and count, pre-aggregated per
+    task, however many pages a host has; equal pages add up like others, but what only they have is no template. A
+    template is no larger than 1 / LEAST_SHARE pages.
     """
-    keyed = pages.select("host", F.xxhash64("html").alias("page"), "html")
-    schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("path", pa.string()), ("at", pa.string()), ("digest", pa.int64()), ("n", pa.int32()), ("chars", pa.int64()), ("main", pa.bool_())])
+    keyed = pages.select("host", F.xxhash64("page_id", "html").alias("page"), F.xxhash64("html").alias("content"), "html")
+    schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("content", pa.int64()), ("path", pa.string()), ("at", pa.string()), ("digest", pa.int64()), ("n", pa.int32()), ("chars", pa.int64()), ("main", pa.bool_())])
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for name, page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for name, page, content, html in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
                 blocks, paths = read(html.as_py())
-                out.append((name, page, "", "", 0, 1, 0, False))
+                out.append((name, page, content, "", "", 0, 1, 0, False))
                 inside: Counter = Counter()
                 texts = Counter((b.path, b.text, b.out) for b in blocks if not b.main)
                 for b in blocks:
@@ -172,20 +198,22 @@ def templates(pages: DataFrame) -> DataFrame:
                         for path in _above(b.path):
                             inside[path] += len(b.text)
                 for path, n in paths.items():
-                    out.append((name, page, path, "", 0, n, inside[path], path.rpartition("/")[2].startswith(MAIN) or path.endswith("@main")))
-                out.extend((name, page, "", path, _digest(path, text), n, 0 if left_out else n * len(text), False) for (path, text, left_out), n in texts.items())
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 8, schema, strict=True)], schema=schema)
+                    out.append((name, page, content, path, "", 0, n, inside[path], path.rpartition("/")[2].startswith(MAIN) or path.endswith("@main")))
+                out.extend((name, page, content, "", path, _digest(path, text), n, 0 if left_out else n * len(text), False) for (path, text, left_out), n in texts.items())
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 9, schema, strict=True)], schema=schema)
 
-    found = keyed.mapInArrow(tokens, "host string, page bigint, path string, at string, digest bigint, n int, chars bigint, main boolean")
+    found = keyed.mapInArrow(tokens, "host string, page bigint, content bigint, path string, at string, digest bigint, n int, chars bigint, main boolean")
     vectors = found.groupBy("host", "path", "at", "digest", "main").agg(
-        F.count("*").alias("support"), F.sum("n").alias("total"), F.sum("chars").alias("chars"), F.bit_xor(F.xxhash64("page", "n")).alias("vector")
-    )
+        F.count("*").alias("support"), F.sum("n").alias("total"), F.sum("chars").alias("chars"), (F.min("content") < F.max("content")).alias("differ"),
+        *(F.sum(F.pmod(F.xxhash64("page", "n", F.lit(i)), F.lit(1 << 31))).alias(f"vector{i}") for i in (1, 2)),
+    )
     vectors = stored(vectors, "page-tokens")
-    sizes = vectors.where("path = '' and digest = 0").select(F.col("host").alias("__host"), F.col("support").alias("pages"))
-    classes = vectors.where("path <> '' or digest <> 0").groupBy("host", "support", "total", "vector").agg(F.count("*").alias("tokens"))
+    vector = ["support", "total", "vector1", "vector2"]
+    sizes = vectors.where("path = '' and digest = 0 and differ").select(F.col("host").alias("__host"), F.col("support").alias("pages"))
+    classes = vectors.where("(path <> '' or digest <> 0) and differ").groupBy("host", *vector).agg(F.count("*").alias("tokens"))
     enough = (F.col("pages") >= LEAST_PAGES) & (F.col("support") >= F.col("pages") * LEAST_SHARE)
     valid = classes.join(sizes, classes["host"] == sizes["__host"]).where(enough & (F.col("tokens") >= LEAST_TOKENS)).drop("__host", "pages", "tokens")
-    members = stored(vectors.join(valid, ["host", "support", "total", "vector"]), "template-tokens")
+    members = stored(vectors.where("differ").join(valid, ["host", *vector]), "template-tokens")
     constants = members.where("digest <> 0")
     # what of an element's text is not constant
     above = F.expr("transform(sequence(2, greatest(2, size(split(at, '/')))), i -> array_join(slice(split(at, '/'), 1, i), '/'))")

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from quillon.llm import html_text
@@ -50,3 +52,77 @@ def test_template_outweighs_tags(spark):
     for i in range(6):
         assert got[i] == f"Own {i} text of the body, which is long\n\nAnd {i} more\n\nsee {i}"
         assert got[10 + i] == f"Own {i} text of the body, which is long"
+
+
+def test_attributes_as_html_has_them():
+    """A quote opens a string only after "=", and a name marks a part only as a whole."""
+    assert html_text.main_text("<article><p title=it's>Hello world</p><p>It's good</p><p>End</p></article>") == "Hello world\n\nIt's good\n\nEnd"
+    assert html_text.main_text("<article><p class='share-price'>a</p><p class=notice-period>b</p><p title='class=ad'>c</p><p class=\"cookie-notice\">d</p><p class=shareButtons>e</p></article>") == "a\n\nb\n\nc"
+    assert html_text.main_text("<p a=\"x>y\" b='>'>in</p><p c=\"open>out") == "in\n\nout"
+    assert html_text.main_text("<p " + "a= b=\"" * 5000 + ">x") is not None
+
+
+def test_small_hosts_and_copies(spark):
+    """Two pages make a template, and so do two pages that occur twice each; copies of one page alone make none."""
+    body = "<html><body><div id=top>Our company</div><div id=c><p>{0} first</p><p>{0} second</p></div><div id=low>Call us today</div></body></html>"
+    rows = [(i, f"http://two.example/{i}", body.format(f"unique{i}"), None, None, None) for i in range(2)]
+    rows += [(10 + i, f"http://four.example/{i}", body.format(f"unique{i % 2}"), None, None, None) for i in range(4)]
+    rows += [(20 + i, "http://same.example/", body.format("same"), None, None, None) for i in range(4)]
+    got = {r.page_id: r.text for r in html_text.extract(pages(spark, rows)).collect()}
+    assert all(got[i] == f"unique{i} first\n\nunique{i} second" for i in range(2))
+    assert all(got[10 + i] == f"unique{i % 2} first\n\nunique{i % 2} second" for i in range(4))
+    assert all(got[20 + i] == "Our company\n\nsame first\n\nsame second\n\nCall us today" for i in range(4))
+
+
+def slow_templates(rows):
+    """Slot and constants of each host, from whole occurrence vectors."""
+    hosts = {}
+    for page, url, html in rows:
+        hosts.setdefault((url or "").split("/")[2] if url else "", []).append((page, html))
+    out = {}
+    for name, own in hosts.items():
+        if len(own) < html_text.LEAST_PAGES or len({h for _, h in own}) < 2:
+            continue
+        vectors, chars, main = {}, {}, {}
+        for at, (_, html) in enumerate(own):
+            blocks, paths = html_text.read(html)
+            for path, n in paths.items():
+                vectors.setdefault((path, "", ""), {})[at] = n
+                inside = sum(len(b.text) for b in blocks if not b.out and (b.path + "/").startswith(path + "/"))
+                chars[path, "", ""] = chars.get((path, "", ""), 0) + inside
+                main[path, "", ""] = path.rpartition("/")[2].startswith(html_text.MAIN)
+            for b in blocks:
+                if not b.main:
+                    key = ("", b.path, b.text)
+                    vectors.setdefault(key, {}).setdefault(at, 0)
+                    vectors[key][at] += 1
+                    chars[key] = chars.get(key, 0) + (0 if b.out else len(b.text))
+        classes = {}
+        for key, v in vectors.items():
+            if len({own[at][1] for at in v}) > 1 and len(v) >= len(own) * html_text.LEAST_SHARE:
+                classes.setdefault(tuple(sorted(v.items())), []).append(key)
+        valid = [(k, v) for v, ks in classes.items() if len(ks) >= html_text.LEAST_TOKENS for k in ks]
+        constants = {k for k, _ in valid if k[1]}
+        left = {}
+        for k, v in valid:
+            if k[0] and all(n == 1 for _, n in v):
+                left[k[0]] = chars[k] - sum(chars[c] for c in constants if (c[1] + "/").startswith(k[0] + "/"))
+        most = max(left.values(), default=0)
+        best = [(main[p, "", ""], p.count("/") + 1, n, p) for p, n in left.items() if n > most * html_text.SLOT_SHARE]
+        out[name] = (max(best)[3] if best else None, {html_text._digest(c[1], c[2]) for c in constants})
+    return out
+
+
+def test_templates_against_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    for h in range(12):
+        wide, parts = rng.choice(["div", "main", "article", "section"]), [f"<div class=k{k}>constant {h} {k}</div>" for k in range(rng.randrange(4))]
+        for i in range(rng.choice([1, 2, 3, 7])):
+            own = "".join(f"<p>{' '.join(rng.choice('abcdefg') * 4 for _ in range(rng.randrange(1, 12)))}</p>" for _ in range(rng.randrange(6)))
+            html = f"<body>{''.join(p for p in parts if rng.random() < 0.9)}<{wide} id=c>{own}</{wide}><ul>{'<li>item' * rng.randrange(3)}</ul></body>"
+            rows += [(len(rows), f"http://h{h}/", html)] * rng.choice([1, 1, 1, 2])
+    own = pages(spark, [(*r, None, None, None) for r in rows]).select("page_id", "html", html_text.host(html_text.F.col("url")).alias("host"))
+    got = {r.host: (r.slot, set(r.constants)) for r in html_text.templates(own).collect()}
+    want = {k: v for k, v in slow_templates(rows).items() if v[0] or v[1]}
+    assert got == want and len(want) > 5
