@@ -1,6 +1,6 @@
 """Stupid-backoff language model scores, computed relationally.
 
-Documents are dealt into batches by hash. A batch sends the counts of its n-grams, of every order up to ``order``, to
+Documents are dealt into batches by hash, of about BATCH_BYTES of text at most. A batch sends the counts of its n-grams, of every order up to ``order``, to
 fragments of the hash space; a fragment adds up each n-gram's counts over all batches and answers every batch with the
 totals of what it asked for; the batch joins them to its documents' n-grams in order and sums per document. The counts
 that score a document leave the document itself out.
@@ -10,6 +10,9 @@ the longest context, of fewer than ``order`` words, after which it occurs elsewh
 context was shortened by. With no context it scores ln c(word) / N, N being the words of all other documents; a word that
 occurs nowhere else counts as UNSEEN.
 
+An n-gram's key has 56 bits of its hash besides those that name its fragment, so that two of a billion share one with a chance
+of about one in a thousand million each.
+
 Defined cases: a null or empty text, or one without words, has score and mean 0; if there are no other words, N is 1; rows
 that repeat are documents of their own; an empty table has no rows; extra columns are not looked at.
 """
@@ -23,7 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import RangeHash, partitions, words
 
-ORDER = 2
+ORDER = 3
+#: Text of a batch, which one process holds with its n-grams.
+BATCH_BYTES = 16 << 20
 BACKOFF = 0.4
 UNSEEN = 0.5
 
@@ -80,29 +85,39 @@ def _score(own: list[np.ndarray], place: list[np.ndarray], totals: np.ndarray, w
 def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_backed_off, n_unseen, log_score (natural, summed) and mean_log_score."""
     parts = partitions(docs.sparkSession)
-    batch = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
+    batches = max(parts, -(-int(total) // BATCH_BYTES))
+    batch = F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).select(batch.alias("batch"), "doc_id", "text")
 
+    # where each fragment's hashes begin
+    starts = [-(-(f << 64) // parts) for f in range(parts)]
+
     def cuts(keys: np.ndarray) -> np.ndarray:
-        fragment = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        return np.searchsorted(fragment, np.arange(parts + 1, dtype=np.uint64))
+        return np.append(np.searchsorted(keys, np.array(starts, dtype=np.uint64)), len(keys))
+
+    def sent(keys: np.ndarray, fragment: int) -> bytes:
+        """Sorted hashes of a fragment: 56 bits after its beginning, as counts of the first 8 and the other 48 of each."""
+        with np.errstate(over="ignore"):
+            own = _scaled(keys - np.uint64(starts[fragment]), parts)
+        firsts = np.bincount((own >> np.uint64(48)).astype(np.int64), minlength=256).astype("<u4")
+        return firsts.tobytes() + own.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
     def ask(table: pa.Table) -> pa.Table:
         docs, keys, _, counts = _asked(table.column("text"), order)
         ends = cuts(keys)
         n_words = sum(len(own[0]) for own in docs)
-        counts = counts.astype("<u4")
         return pa.table({
             "fragment": pa.array(range(parts), pa.int32()),
             "batch": pa.array([table.column("batch")[0].as_py()] * parts, pa.int32()),
             "n_words": pa.array([n_words] * parts, pa.int64()),
-            "keys": pa.array([keys[ends[f] : ends[f + 1]].tobytes() for f in range(parts)], pa.binary()),
-            "counts": pa.array([counts[ends[f] : ends[f + 1]].tobytes() for f in range(parts)], pa.binary()),
+            "keys": pa.array([sent(keys[ends[f] : ends[f + 1]], f) for f in range(parts)], pa.binary()),
+            "counts": pa.array([_packed(counts[ends[f] : ends[f + 1]]) for f in range(parts)], pa.binary()),
         })
 
     def add_up(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("keys")]
-        counts = np.concatenate([np.frombuffer(x.as_buffer(), dtype="<u4") for x in table.column("counts")])
+        keys = [_received(x.as_buffer()) for x in table.column("keys")]
+        counts = np.concatenate([_unpacked(x.as_buffer()) for x in table.column("counts")])
         _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         totals = np.bincount(inverse, weights=counts).astype(np.int64)[inverse]
         ends = np.cumsum([0, *map(len, keys)])
@@ -136,6 +151,20 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(sum_up, "doc_id bigint, n_words bigint, n_backed_off bigint, n_unseen bigint, log_score double, mean_log_score double")
 
 
+def _scaled(offsets: np.ndarray, parts: int) -> np.ndarray:
+    """Offsets in a fragment of 2**64 / parts hashes, with as many low bits dropped as leave 56."""
+    return offsets >> np.uint64(max(0, ((1 << 64) // parts).bit_length() - 56))
+
+
+def _received(data: pa.Buffer) -> np.ndarray:
+    raw = np.frombuffer(data, dtype=np.uint8)
+    firsts = raw[:1024].view("<u4")
+    whole = np.zeros((int(firsts.sum()), 8), dtype=np.uint8)
+    whole[:, :6] = raw[1024:].reshape(-1, 6)
+    whole[:, 6] = np.repeat(np.arange(256, dtype=np.uint8), firsts)
+    return whole.view("<u8").ravel()
+
+
 def _packed(totals: np.ndarray) -> bytes:
     """Counts in as few bytes each as the largest needs, after that number."""
     top = int(totals.max()) if len(totals) else 0
