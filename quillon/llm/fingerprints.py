@@ -2,8 +2,9 @@
 
 A K-mer of code points is chosen if its smallest inner S-mer, by hash, is its first or last: a choice that depends on
 nothing around it, so equal passages have equal anchors wherever they stand. A fingerprint holds every anchor with its
-place in the text, by hash and place (the same K-mer again is an anchor again); anchors of two fingerprints match by hash,
-the first of a hash with the first, and the places say by how far the passages moved. One K serves every length: signs
+place in the text, by hash and place (the same K-mer again is an anchor again). Matching is positional: anchors of two
+fingerprints match by hash, the first of a hash with the first, their places say by how far they moved, and a match counts
+if others moved as far (at least RUN together, or as many as the smaller fingerprint has). One K serves every length: signs
 before the text make K-mers of its beginning, and its first HEAD code points are an anchor, too.
 
 Defined cases: a null or empty text has an empty fingerprint; a text of at most HEAD code points is one anchor; two empty
@@ -18,6 +19,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,9 +31,11 @@ K = 2 * S
 #: Before a text stand signs that no text holds, so that its first K-mer ends HEAD + 1 code points in: short texts have anchors, too.
 HEAD = 3
 BEFORE = np.arange(0x110000, 0x110000 + K - 1 - HEAD, dtype=np.uint64)
-#: Hexadecimal digits of an anchor's hash and of its place, at most the largest that fits.
-HASH_DIGITS, PLACE_DIGITS = 8, 6
+#: Hexadecimal digits of an anchor's hash and of its place, which so holds any place that a text has.
+HASH_DIGITS, PLACE_DIGITS = 8, 8
 ANCHOR = HASH_DIGITS + PLACE_DIGITS
+#: So many matches that moved equally far make a run.
+RUN = 2
 #: Characters of fingerprints that go back to the JVM at once.
 BATCH_CHARS = 8 << 20
 
@@ -74,18 +78,15 @@ def _anchors(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         hashes, places = np.concatenate([hashes, more]), np.concatenate([places, np.maximum(at - len(BEFORE), 0)])
     hashes = hashes >> np.uint64(64 - 4 * HASH_DIGITS)
     order = np.argsort(hashes, kind="stable")
-    return hashes[order], np.minimum(places[order], (1 << 4 * PLACE_DIGITS) - 1).astype(np.uint64)
+    return hashes[order], places[order].astype(np.uint64)
 
 
 def _pack(hashes: np.ndarray, places: np.ndarray) -> str:
-    packed = (hashes << np.uint64(4 * PLACE_DIGITS)) | places
-    return packed.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - ANCHOR // 2 :].tobytes().hex()
+    return ((hashes << np.uint64(4 * PLACE_DIGITS)) | places).astype(">u8").tobytes().hex()
 
 
 def _unpack(print_: str) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.zeros((len(print_) // ANCHOR, 8), dtype=np.uint8)
-    raw[:, 8 - ANCHOR // 2 :] = np.frombuffer(bytes.fromhex(print_), dtype=np.uint8).reshape(-1, ANCHOR // 2)
-    packed = raw.view(">u8").ravel().astype(np.uint64)
+    packed = np.frombuffer(bytes.fromhex(print_), dtype=">u8").astype(np.uint64)
     return packed >> np.uint64(4 * PLACE_DIGITS), packed & np.uint64((1 << 4 * PLACE_DIGITS) - 1)
 
 
@@ -101,22 +102,32 @@ def fingerprint(text: str | None) -> str:
     return _pack(*_anchors(text))
 
 
-def _alike(one: np.ndarray, two: np.ndarray) -> float:
-    if not len(one) or not len(two):
-        return float(len(one) == len(two))
-    return 2.0 * len(np.intersect1d(one, two, assume_unique=True)) / (len(one) + len(two))
+def _moves(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """By how far each matching anchor moved from one to two (numbered hashes, places)."""
+    _, i, j = np.intersect1d(one[0], two[0], assume_unique=True, return_indices=True)
+    return two[1][j].astype(np.int64) - one[1][i].astype(np.int64)
+
+
+def _alike(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> float:
+    sizes = len(one[0]), len(two[0])
+    if not min(sizes):
+        return float(sizes[0] == sizes[1])
+    _, together = np.unique(_moves(one, two), return_counts=True)
+    return 2.0 * int(together[together >= min(RUN, *sizes)].sum()) / sum(sizes)
+
+
+def _matchable(hashes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return _numbered(hashes), places
 
 
 def likeness(a: str, b: str) -> float:
-    """The share of anchors in common (Dice), over all anchors of both."""
-    return _alike(_numbered(_unpack(a)[0]), _numbered(_unpack(b)[0]))
+    """The share of anchors in common (Dice), over all anchors of both: those that moved in runs."""
+    return _alike(_matchable(*_unpack(a)), _matchable(*_unpack(b)))
 
 
 def shift(a: str, b: str) -> tuple[int, int] | None:
     """How far most matching anchors moved from a to b, and how many did; None if none matches."""
-    (one, from_), (two, to) = _unpack(a), _unpack(b)
-    _, i, j = np.intersect1d(_numbered(one), _numbered(two), assume_unique=True, return_indices=True)
-    moved = Counter((to[j].astype(np.int64) - from_[i].astype(np.int64)).tolist())
+    moved = Counter(_moves(_matchable(*_unpack(a)), _matchable(*_unpack(b))).tolist())
     return max(moved.items(), key=lambda x: (x[1], -abs(x[0]), x[0]), default=None)
 
 
@@ -139,9 +150,14 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     n = partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     edges = sorted(set(rows.select("doc_id").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
-    bounds = F.array(*[F.lit(int(e)) for e in edges]) if edges else F.array().cast("array<bigint>")
-    part = F.coalesce(F.size(F.filter(bounds, lambda b: b <= F.col("doc_id"))), F.lit(0))
-    dealt = rows.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(part))
+    bounds = np.array(edges, dtype=np.int64)
+
+    @F.pandas_udf("int")
+    def part(ids: pd.Series) -> pd.Series:
+        # a null id is the first of all
+        return pd.Series(np.where(ids.isna(), 0, np.searchsorted(bounds, ids.fillna(0).to_numpy(dtype=np.int64), side="right")), dtype=np.int32)
+
+    dealt = rows.withColumn("part", part("doc_id"))
     # one id for each range; a null id is the first of all
     firsts = sorted((tuple(r) for r in dealt.groupBy("part").agg(F.when(F.max(F.col("doc_id").isNull()), None).otherwise(F.min("doc_id"))).collect()))
     to = [(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)]
@@ -164,14 +180,14 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
             for range_, is_lent, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 text = text.as_py()
                 hashes, places = _anchors(text)
-                own = _numbered(hashes)
+                own = _matchable(hashes, places)
                 if held and held[0] == range_:
                     _, before, old, old_print, old_own = held
                     edited = edit(old, text)
                     new_hashes, new_places = _anchors(edited)
                     new = _pack(new_hashes, new_places)
                     digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-                    out.append((before, len(old), digest, old_print, new, _alike(old_own, _numbered(new_hashes)), _alike(old_own, own)))
+                    out.append((before, len(old), digest, old_print, new, _alike(old_own, _matchable(new_hashes, new_places)), _alike(old_own, own)))
                     chars += len(old_print) + len(new)
                     if chars >= BATCH_CHARS:
                         yield arrow(out)

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from quillon.llm import fingerprints as fp
 
 from .helpers import clashing, docs, empty
@@ -46,6 +48,11 @@ def test_likeness():
     assert moved == 12 and n > 60
     assert fp.likeness("", "") == 1 and fp.likeness("", fp.fingerprint("x")) == 0
     assert fp.fingerprint("abc") != fp.fingerprint("abd") and len(fp.fingerprint("abc")) == fp.ANCHOR
+    words_ = a.split()
+    rng.shuffle(words_)
+    halves = " ".join(words[300:600] + words[:300])
+    assert fp.likeness(fp.fingerprint(a), fp.fingerprint(halves)) > 0.9  # two runs
+    assert fp.likeness(fp.fingerprint(a), fp.fingerprint(" ".join(words_))) < 0.1
     rep = "spam " * 500
     assert fp.likeness(fp.fingerprint(rep), fp.fingerprint(fp.edit(rep, a))) > 0.5
 
@@ -97,3 +104,11 @@ def test_one_scheme_at_every_length():
     assert fp.likeness(fp.fingerprint(text[:63]), fp.fingerprint(text[:70])) > 0.8
     assert fp.likeness(fp.fingerprint(text[:63]), fp.fingerprint("zz" + text[:68])) > 0.5
     assert fp.likeness(fp.fingerprint(text[:63]), fp.fingerprint(text[200:270])) < 0.1
+
+
+def test_matches_by_chance_do_not_count():
+    """A lone equal anchor elsewhere in the text is no likeness; equal anchors of one movement are."""
+    a, b = fp._pack(np.array([5, 9], dtype=np.uint64), np.array([0, 40], dtype=np.uint64)), fp._pack(np.array([5, 7], dtype=np.uint64), np.array([300, 2], dtype=np.uint64))
+    assert fp.likeness(a, b) == 0 and fp.likeness(a, a) == 1
+    moved = fp._pack(np.array([5, 9], dtype=np.uint64), np.array([300, 340], dtype=np.uint64))
+    assert fp.likeness(a, moved) == 1 and fp.shift(a, moved) == (300, 2)
