@@ -18,12 +18,16 @@ from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 WINDOW = 10
-#: Items are searched for in blocks of about this many bytes of text: what is broadcast is bounded by it.
-BLOCK_BYTES = 2 << 20
+#: Items are searched for in blocks of about this many bytes of text, one after another: what the driver holds and
+#: broadcasts is bounded by it. Longer items are cut into pieces of so many windows.
+BLOCK_BYTES, PIECE_WINDOWS = 2 << 20, 1 << 14
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 HITS = "doc_id bigint, key bigint, n_words bigint, spans array<struct<first:int,end:int>>, items array<string>"
 
@@ -83,9 +87,7 @@ class WuManber:
         return spans, items
 
 
-def _scan(docs: DataFrame, items: list[tuple[str, str]], size: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-
+def _scan(docs: DataFrame, shared: Broadcast, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = WuManber(shared.value, size)
         for batch in batches:
@@ -101,43 +103,70 @@ def _scan(docs: DataFrame, items: list[tuple[str, str]], size: int) -> DataFrame
     return docs.mapInArrow(run, HITS)
 
 
-def _merged(lists: list[list]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for first, end in sorted((s["first"], s["end"]) for spans in lists for s in spans):
-        if out and first <= out[-1][1]:
-            out[-1][1] = max(end, out[-1][1])
-        else:
-            out.append([first, end])
-    return [tuple(x) for x in out]
+def _merged(spans: Column) -> Column:
+    """Spans, overlapping or touching ones united."""
+
+    def merged(own: Iterable[dict]) -> list[dict]:
+        out: list[dict] = []
+        for first, end in sorted((s["first"], s["end"]) for s in own):
+            if out and first <= out[-1]["end"]:
+                out[-1]["end"] = max(end, out[-1]["end"])
+            else:
+                out.append({"first": first, "end": end})
+        return out
+
+    @F.pandas_udf("array<struct<first:int,end:int>>")
+    def each(lists: pd.Series) -> pd.Series:
+        return lists.map(merged)
+
+    return each(spans)
+
 
+def _items(benchmark: DataFrame, block_bytes: int, size: int) -> tuple[DataFrame, int]:
+    """Pieces of items (item, piece), which have all of its windows between them, and in how many blocks they are."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[str, str]] = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = search_words(text.as_py())
+                for at in range(0, len(found) and max(1, len(found) - size + 1), PIECE_WINDOWS):
+                    out.append((item, b" ".join(found[at : at + PIECE_WINDOWS + size - 1]).decode("utf-8", "surrogatepass")))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in (0, 1)], names=["item", "piece"])
 
-def _items(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string")).where("item is not null and text is not null")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    return items, max(1, -(-int(total) // block_bytes))
+    pieces = items.mapInArrow(cut, "item string, piece string")
+    total = pieces.agg(F.coalesce(F.sum(F.octet_length("piece")), F.lit(0))).first()[0]
+    return pieces, max(1, -(-int(total) // block_bytes))
+
+
+def _shared(pieces: DataFrame) -> Broadcast:
+    return pieces.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in pieces.collect()])
 
 
 def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of docs: doc_id, n_words, the spans of words hit and the items (as strings) that occur.
 
-    The benchmark is searched for in blocks of about block_bytes, so that neither the driver nor an executor holds more
-    of it at a time; the hits of further blocks, which few documents have, are joined to those of the first.
+    The benchmark is searched for in blocks of about block_bytes, one after another, so that neither the driver nor an
+    executor holds more of it at a time. Where there are several, the hits of each, which few documents have, are stored,
+    and united with what the first block says of every document.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("string"))
-    items, blocks = _items(benchmark, block_bytes)
+    pieces, blocks = _items(benchmark, block_bytes, size)
+    if blocks == 1:
+        return _scan(docs, _shared(pieces), size).drop("key")
     scans = []
     for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        scans.append(_scan(docs, [(r[0], r[1]) for r in own.collect()], size))
-    if blocks == 1:
-        return scans[0].drop("key")
+        shared = _shared(pieces.where(F.pmod(F.xxhash64("item", "piece"), F.lit(blocks)) == block))
+        found = _scan(docs, shared, size)
+        scans.append(stored(found if block == 0 else found.where(F.size("spans") > 0), "benchmark-hits"))
+        shared.destroy()
     first, *rest = scans
-    more = reduce(DataFrame.unionByName, rest).where(F.size("spans") > 0)
-    union = F.udf(_merged, "array<struct<first:int,end:int>>")
-    more = more.groupBy(F.col("key").alias("__key")).agg(F.collect_set("spans").alias("__spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("__items"))
+    more = reduce(DataFrame.unionByName, rest)
+    more = more.groupBy(F.col("key").alias("__key")).agg(F.flatten(F.collect_set("spans")).alias("__spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("__items"))
     none = F.array().cast("array<string>")
     return first.join(more, first["key"] == more["__key"], "left").select(
-        "doc_id", "n_words", union(F.concat(F.array("spans"), F.coalesce("__spans", F.array().cast("array<array<struct<first:int,end:int>>>")))).alias("spans"),
+        "doc_id", "n_words", _merged(F.concat("spans", F.coalesce("__spans", F.array().cast("array<struct<first:int,end:int>>")))).alias("spans"),
         F.array_sort(F.array_union("items", F.coalesce("__items", none))).alias("items"),
     )
 
@@ -154,11 +183,11 @@ def summary(hits: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, with all their columns, in which no window of the benchmark occurs. A benchmark of one block is
     searched for where the rows are, so nothing is shuffled."""
-    items, blocks = _items(benchmark, block_bytes)
+    pieces, blocks = _items(benchmark, block_bytes, WINDOW)
     if blocks > 1:
         hit = find(docs, benchmark, block_bytes=block_bytes).where(F.size("spans") > 0).select(F.col("doc_id").alias("__hit"))
         return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(hit["__hit"]), "left_anti")
-    shared = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in items.collect()])
+    shared = _shared(pieces)
 
     @F.pandas_udf("boolean")
     def untouched(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -43,3 +43,19 @@ def test_clean(spark):
     assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2]
     assert dc.find(empty(spark), bench).count() == 0
     assert dc.summary(dc.find(d, spark.createDataFrame([], BENCH))).where("contaminated").count() == 0
+
+
+def test_long_items_and_several_blocks(spark, monkeypatch):
+    """Items are cut into pieces that keep all their windows; clean finds the hits of every block."""
+    monkeypatch.setattr(dc, "PIECE_WINDOWS", 7)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(400)]
+    long = " ".join(rng.choice(words) for _ in range(300))
+    texts = [" ".join(long.split()[i : i + 10]) for i in range(0, 290, 13)] + [long, None, "", "nothing here", "x " * 50_000]
+    bench = spark.createDataFrame([(1, long, 0, "x"), (2, "alone", 0, "x"), (3, "x y", 0, "x")], BENCH)
+    d = clashing(docs(spark, *texts), "__hit", "key")
+    for block_bytes in (1 << 20, 300):
+        got = sorted(tuple(r)[:4] for r in dc.summary(dc.find(d, bench, block_bytes=block_bytes)).collect())
+        assert got == [(i, *((n := dc.brute_force(t, [(1, long), (2, "alone")]))[0], n[1], len(n[2]))) if i < len(texts) - 1 else (i, 50_000, 0, 0) for i, t in enumerate(texts)]
+        kept = dc.clean(d, bench, block_bytes=block_bytes)
+        assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [i for i, n in enumerate(got) if not n[2]]
