@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import partitions, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -90,7 +90,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0,
         targets(sizes, weights, share, most)
         .withColumn("passes", passes)
         .withColumn("rest", F.when(F.col("passes") < most, F.col("target") - F.col("passes") * F.col("source_size")).otherwise(0.0))
-        .withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / block_docs)).cast("long"))
+        # blocks grow with the square root of a source, and so does their number: neither a block nor a list of blocks is large
+        .withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / F.greatest(F.lit(float(block_docs)), F.sqrt("n_docs")))).cast("long"))
     )
     plan = stored(plan.withColumnRenamed("source", "__source"), "mix-plan")
     placed = rows.join(plan, rows["source"].eqNullSafe(plan["__source"])).withColumn("block", F.pmod("key", F.col("n_blocks")))
@@ -127,9 +128,11 @@ def totals(mixed: DataFrame) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"))
 
 
-def draw(docs: DataFrame, **options: int) -> DataFrame:
-    """The rows of docs, with all their columns, each as often as the mix takes it, shuffled within shards."""
-    copies = mix(docs, **options).select("doc_id", "source", "size", "key", "shards").dropDuplicates(["key", "doc_id"])  # rows that agree in id, source and size are taken alike
+def draw(docs: DataFrame, shards: int | None = None, **options: int) -> DataFrame:
+    """The rows of docs, with all their columns, each as often as the mix takes it: a shard's rows, of the composition that
+    the tree gave it, stand together and are shuffled there. Shards are as many as the shuffle partitions unless given."""
+    shards = shards or partitions(docs.sparkSession)
+    copies = mix(docs, shards=shards, **options).select("doc_id", "source", "size", "key", "shards").dropDuplicates(["key", "doc_id"])  # rows that agree in id, source and size are taken alike
     # the row as one column, so that its names meet no others
     rows = docs.select(
         F.col("doc_id").cast("long").alias("r_id"), F.col("source").cast("string").alias("r_source"), n_words(F.col("text").cast("string")).alias("r_size"), F.struct(*docs.columns).alias("row")
@@ -137,4 +140,5 @@ def draw(docs: DataFrame, **options: int) -> DataFrame:
     same = F.col("r_id").eqNullSafe(F.col("doc_id")) & F.col("r_source").eqNullSafe(F.col("source")) & (F.col("r_size") == F.col("size"))
     repeated = rows.join(copies.where(F.size("shards") > 0), same).select("row", "key", F.posexplode("shards").alias("copy", "shard"))
     # a shard's rows by hash: its local shuffle
-    return repeated.withColumn("place", F.xxhash64("key", "copy", "shard")).sortWithinPartitions("shard", "place").select("row.*")
+    dealt = repeated.repartition(shards, "shard").withColumn("place", F.xxhash64("key", "copy", "shard"))
+    return dealt.sortWithinPartitions("shard", "place").select("row.*")

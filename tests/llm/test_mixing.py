@@ -75,3 +75,17 @@ def test_draw(spark):
     twice = rows(spark, 20).unionByName(rows(spark, 20))
     assert mixing.mix(twice).count() == 42 and mixing.draw(twice).count() > 0
     assert mixing.mix(spark.createDataFrame([(1, None, "en", None, 0)], DOCS)).select(F.size("shards")).count() == 1
+
+
+def test_shards_stand_together(spark):
+    """Each shard's rows are in one partition, and as many as the mix gave it; a very long text is one document."""
+    d = rows(spark, 800, 2).unionByName(spark.createDataFrame([(9_000, "w " * 200_000, "en", "a", 0)], DOCS))
+    given = mixing.mix(d, shards=5, block_docs=16).select("doc_id", F.posexplode("shards").alias("copy", "shard"))
+    want = {r.shard: r["count"] for r in given.groupBy("shard").count().collect()}
+    out = mixing.draw(d, shards=5, block_docs=16).withColumn("part", F.spark_partition_id())
+    sizes = sorted(r["count"] for r in out.groupBy("part").count().collect())
+    assert sum(sizes) == sum(want.values()) and len(want) == 5
+    homes = [{r.shard for r in out.join(given, "doc_id").where(F.col("part") == p).select("shard").distinct().collect()} for p in range(5)]
+    assert sum(len(h) > 0 for h in homes) == len(sizes)
+    # shards have equal numbers of blocks, so of rows about
+    assert max(want.values()) < 2 * min(want.values())
