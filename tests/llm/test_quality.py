@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+
 from quillon.llm import quality
 
 from .helpers import clashing, docs, empty
@@ -49,3 +51,23 @@ def test_few_labels(spark):
     one = spark.createDataFrame([(i, 1, 0, "c") for i in range(3)], LABELS)
     assert {r.predicted for r in quality.classify(d, one).collect()} == {1}
     assert quality.classify(empty(spark), none).count() == 0
+
+
+def test_against_plain_densities(spark):
+    """Scores from class densities written out: shrunk covariances, their inverses and determinants."""
+    texts, marks = corpus(spark, 300)
+    texts += [None, "", "word " * 100_000]
+    labels = spark.createDataFrame([(i, m, 0, "c") for i, m in enumerate(marks)], LABELS)
+    got = {r.doc_id: r.score for r in quality.classify(docs(spark, *texts), labels).collect()}
+    x = np.array([quality.statistics(t) for t in texts])
+    log = []
+    for c in (0, 1):
+        own = np.array([x[i] for i, m in enumerate(marks) if m == c and not held(i)])
+        known = sum(not held(i) for i in range(len(marks)))
+        cov = np.cov(own.T)
+        cov = (1 - quality.SHRINKAGE) * cov + quality.SHRINKAGE * np.diag(np.diag(cov)) + quality.LEAST * np.eye(quality.N)
+        off = x - own.mean(axis=0)
+        log.append(np.log(len(own) / known) - 0.5 * np.einsum("ij,jk,ik->i", off, np.linalg.inv(cov), off) - 0.5 * np.linalg.slogdet(cov)[1])
+    want = 1 / (1 + np.exp(-np.clip((log[1] - log[0]) / quality.TEMPER, -500, 500)))
+    assert all(abs(got[i] - want[i]) < 1e-6 for i in range(len(texts)))
+    assert quality.keep(docs(spark), labels).count() == 0
