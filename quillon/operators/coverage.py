@@ -38,7 +38,7 @@ CONTAINERS = (
     (("textbox",), "textbox_block", "textbox_visible_text", ("ORGANIZATION", "PERSON", "ADDRESS"), ALL_PARTIES),
     (("footnote", "endnote", "comment"), "footnote_comment_block", "note_or_comment_visible_text", ("ORGANIZATION", "PERSON", "ADDRESS"), ALL_PARTIES),
 )
-#: The shapes end in one of these; texts without are not tried, as the shapes are slow to fail.
+#: Shapes of organisations and people. The shapes end in one of these; texts without are not tried, as the shapes are slow to fail.
 ORG_ENDS = "公司|集团|银行|法院|检察院|仲裁委员会|中心|研究院|事务所|商行|工作室|合作社"
 PERSON_ENDS = "先生|女士|经理|主任|负责人|联系人|代表"
 ORG_SHAPE = r"[一-龥A-Za-z0-9·（）()\-]{2,}(?:公司|集团|银行|法院|检察院|仲裁委员会|中心|研究院|事务所|商行|工作室|合作社)"
@@ -73,7 +73,10 @@ def obligations(units: DataFrame, families: tuple[Family, ...] = FAMILIES) -> Da
 
 
 #: Names of one type.
-TYPE_ALIASES = {"COMPANY_NAME": "ORGANIZATION", "PERSON_NAME": "PERSON", "LOCATION": "ADDRESS"}
+TYPE_ALIASES = {
+    "PERSON_NAME": "PERSON", "LEGAL_REPRESENTATIVE": "PERSON", "CONTACT_PERSON": "PERSON", "SIGNATORY": "PERSON", "COMPANY_NAME": "ORGANIZATION", "ORG": "ORGANIZATION", "COMPANY": "ORGANIZATION",
+    "LOCATION": "ADDRESS",
+}
 RULE_SOURCES = ("regex", "custom", "contract_structure_backfill")
 
 

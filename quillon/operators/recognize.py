@@ -29,14 +29,14 @@ class Rule:
 #: Formats, scores and priorities of identifiers in contracts.
 CONTRACT_RULES = (
     Rule("CN_ID_CARD", r"(?<!\d)[1-9]\d{5}(?:18|19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\d{3}[\dXx](?!\d)", 0.95, 1),
-    Rule("CN_PHONE", r"(?<!\d)1[3-9]\d(?:[ \t \-－—–]?\d{4}){2}(?!\d)", 0.92, 2),
+    Rule("CN_PHONE", r"(?<!\d)1[3-9]\d(?:[ \t\u00a0\-－—–]?\d{4}){2}(?!\d)", 0.92, 2),
     Rule("LANDLINE_PHONE", r"(?<!\d)(?:0\d{2,3}[-－—–]\d{7,8}|0\d{9,11}|400[-－—–]\d{3}[-－—–]\d{4}|400\d{7})(?!\d)", 0.88, 3),
     Rule("CN_CREDIT_CODE", r"(?<![0-9A-Z])(?!\d{18}(?![0-9A-Z]))[0-9A-HJ-NPQRTUWXY]{18}(?![0-9A-Z])", 0.95, 1),
     Rule("CN_BANK_CARD", r"(?<!\d)\d{16,20}(?!\d)", 0.90, 4),
     Rule("COURT", r"[一-龥]{2,40}(?:人民法院|仲裁委员会|人民检察院)", 0.88, 6),
     Rule("EMAIL_ADDRESS", r"(?<![\w.-])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?![\w.-])", 0.92, 2),
-    Rule("AMOUNT", r"\d[\d,]*(?:\.\d+)?\s*(?:亿元|万元|元|万|亿)|[零〇一二两三四五六七八九十百千万亿壹贰叁肆伍陆柒捌玖拾佰仟]+(?:元|圆)(?:整|正)?", 0.86, 5),
-    Rule("DATE", r"\d{4}[年/-]\d{1,2}[月/-](?:\d{1,2}|xx|XX)[日号]?", 0.88, 5),
+    Rule("AMOUNT", r"(?:[¥￥]\s*)?\d[\d,]*(?:\.\d+)?\s*(?:亿元|万元|元|万|亿)|(?:人民币)?[零〇一二两三四五六七八九十百千万亿壹贰叁肆伍陆柒捌玖拾佰仟]+(?:元|圆)(?:整|正)?", 0.86, 5),
+    Rule("DATE", r"(?:\d{4}[年/-]\d{1,2}[月/-](?:\d{1,2}|xx|XX)[日号]?|\d{4}年\d{1,2}月(?:\d{1,2}|xx|XX)日?)", 0.88, 5),
 )
 #: The same kinds in Latin text.
 LATIN_RULES = (

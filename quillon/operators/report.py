@@ -32,13 +32,21 @@ def clusters(rows: DataFrame, keys: list[str], flags: dict[str, Column]) -> Data
     return found
 
 
+#: What makes a page a high risk, what a medium one, and labels that make it a medium one.
+HIGH_RISK = ("confirmed", "coverage_gap", "model_conflict")
+MEDIUM_RISK = ("suspected", "review_task", "unresolved_coverage")
+MEDIUM_LABELS = ("image_pdf_page", "scan_like", "table_heavy", "table_image_page")
+
+
 def page_risk(spine: DataFrame, tables: dict[str, DataFrame], by: str = "page_no") -> DataFrame:
-    """Counts of each table's rows per page, over all pages of the spine, and the level of risk they make."""
+    """Counts of each table's rows per page, over all pages of the spine, and the level of risk: high for any row of a table
+    of HIGH_RISK, medium for any of MEDIUM_RISK or a label (array labels of the spine, if it has one)."""
     out = spine
     for name, rows in tables.items():
         out = out.join(rows.groupBy(by).agg(F.count("*").alias(f"{name}_count")), by, "left").withColumn(f"{name}_count", F.coalesce(f"{name}_count", F.lit(0).cast("long")))
-    total = sum((F.col(f"{name}_count") for name in tables), F.lit(0))
-    return out.withColumn("risk_level", F.when(total >= 6, "high").when(total > 0, "medium").otherwise("low"))
+    any_of = lambda names: sum((F.col(f"{name}_count") for name in tables if name in names), F.lit(0)) > 0
+    labelled = F.arrays_overlap("labels", F.array(*map(F.lit, MEDIUM_LABELS))) if "labels" in spine.columns else F.lit(False)
+    return out.withColumn("risk_level", F.when(any_of(HIGH_RISK), "high").when(any_of(MEDIUM_RISK) | labelled, "medium").otherwise("low"))
 
 
 REVIEW_STATES = ("human_review_required", "coverage_gap", "model_conflict", "suspected_error")
@@ -59,9 +67,14 @@ def state_summary(pages: DataFrame) -> DataFrame:
     return pages.groupBy("terminal_state").agg(F.count("*").alias("pages"), F.sum("open_issue_count").alias("open_issues"), F.count_if("requires_human_review").alias("to_review"))
 
 
-def high_risk(pages: DataFrame, limits: dict[str, int]) -> DataFrame:
+#: From how many unresolved, table, visual and mapping rows a page is a high risk.
+HIGH_RISK_LIMITS = {"unresolved_count": 12, "table_count": 8, "visual_count": 6, "mapping_count": 6}
+
+
+def high_risk(pages: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
     """Pages on which any count reaches its limit."""
     test = None
+    limits = limits or HIGH_RISK_LIMITS
     for column, limit in limits.items():
         one = F.col(column) >= limit
         test = one if test is None else test | one
@@ -93,10 +106,21 @@ def compact_for_review(rows: DataFrame, most: int = 512, by: str = "doc_id") ->
 
 
 def routes(pages: DataFrame) -> DataFrame:
-    """Kind of each document from shares of its page kinds: one kind on 80 % of pages, else mixed; images on 20 % need OCR."""
-    shares = pages.groupBy("doc_id").agg(F.count("*").alias("pages"), *[(F.count_if(F.col("page_kind") == k) / F.count("*")).alias(k) for k in ("text", "table", "image")])
-    kind = F.when(F.col("text") >= 0.8, "native_text").when(F.col("image") >= 0.8, "scanned").when(F.col("table") >= 0.55, "table_document").otherwise("mixed")
-    return shares.withColumn("document_kind", kind).withColumn("needs_ocr", F.col("image") >= 0.2)
+    """Type and layout of each document from shares of its page types (doc_id, page_type): native or image pages on 80 % and
+    the other on at most 20 % decide the type; tables, then images, then native pages on 55 % the layout."""
+    n = lambda types: F.count_if(F.col("page_type").isin(*types))
+    counts = pages.groupBy("doc_id").agg(F.count("*").alias("pages"), n(IMAGE_PAGES).alias("image_pages"), n(NATIVE_PAGES).alias("native_pages"), n(TABLE_PAGES).alias("table_pages"))
+    share = lambda c: F.col(c) / F.col("pages")
+    image, native = share("image_pages"), share("native_pages")
+    kind = F.when((native >= 0.8) & (image <= 0.2), "text_pdf").when((image >= 0.8) & (native <= 0.2), "image_pdf").otherwise("mixed_pdf")
+    layout = F.when(share("table_pages") >= 0.55, "table_heavy").when(image >= 0.55, "image_text_heavy").when(native >= 0.55, "native_text_heavy").otherwise("mixed_layout")
+    return counts.withColumn("document_type", kind).withColumn("layout_family", layout)
+
+
+#: Page types.
+IMAGE_PAGES = ("image_text_page", "image_table_page", "image_form_field_page", "mixed_complex_page")
+NATIVE_PAGES = ("native_text_page", "native_table_page")
+TABLE_PAGES = ("image_table_page", "native_table_page")
 
 
 def lifecycle(ledger: DataFrame) -> DataFrame:

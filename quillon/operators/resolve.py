@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from ..functions.text import bind
 
 
-
-
 def dedupe(spans: DataFrame) -> DataFrame:
     """One span of each type, place and text: that of the highest score, then the smallest source."""
     order = Window.partitionBy("doc_id", "entity_type", "start", "end", "text").orderBy(F.desc("score"), "source")
@@ -68,25 +66,40 @@ def by_priority(spans: DataFrame) -> DataFrame:
     return _fold(spans, order, prefer)
 
 
-#: Sources in order of trust, and those that others don't replace.
-SOURCE_ORDER = ("custom", "regex", "rule_format", "contract", "uie", "ner", "llm")
-AUTHORITATIVE = ("custom", "regex", "rule_format")
+#: How far sources are trusted (the lower the more), how specific types are, and types that others don't replace.
+SOURCE_PRIORITY = {
+    "regex": 1, "rule_format": 1, "rule_organization": 2, "rule_person": 2, "rule_address": 2, "rule_bank": 2, "rule_alias": 2, "custom": 2, "contract": 3, "contract_structure_backfill": 4,
+    "high_quality_lowmem": 5, "uie": 6, "ner": 7, "secondary_ner": 7, "qwen_fragment_review": 8, "alias_propagation": 9, "llm": 10, "ollama": 10, "propagate": 11,
+}
+TYPE_SPECIFICITY = {
+    "BANK_NAME": 1, "ACCOUNT_NAME": 1, "CONTRACT_NO": 1, "CN_PHONE": 1, "LANDLINE_PHONE": 1, "CN_BANK_CARD": 1, "CN_ID_CARD": 1, "CN_CREDIT_CODE": 1, "EMAIL_ADDRESS": 1, "CASE_NO": 1,
+    "AMOUNT": 1, "DATE": 1, "ADDRESS": 2, "COURT": 2, "PROJECT": 2, "LOCATION": 2, "GOVERNMENT": 2, "POSITION": 2, "PERSON": 2, "PERSON_NAME": 2, "ORGANIZATION": 3, "COMPANY_NAME": 3, "ALIAS": 3,
+}
+AUTHORITATIVE_TYPES = ("CN_ID_CARD", "CN_PHONE", "LANDLINE_PHONE", "CN_BANK_CARD", "CN_CREDIT_CODE", "EMAIL_ADDRESS", "CONTRACT_NO", "CASE_NO")
+
+
+def ranked(ranks: dict[str, int], value: Column, other: int = 99) -> Column:
+    """The rank of a value."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in ranks.items() for x in pair]), value), F.lit(other))
 
 
 def by_source(spans: DataFrame) -> DataFrame:
-    """Order (source, score, longer, start, end). An authoritative source replaces another; of one type the longer stays
-    unless its source is over two places less trusted; on one place the higher score stays."""
-    rank = lambda c: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, SOURCE_ORDER)), c), F.lit(0).cast("long")), F.lit(len(SOURCE_ORDER) + 1).cast("long"))
-    sure = lambda s: s["source"].isin(*AUTHORITATIVE)
+    """Order (source, score, longer, start, end). Of overlapping spans at different places one of an authoritative type wins
+    over another; of one type the longer wins unless its source is over two ranks less trusted; else the first stays. At
+    one place the more specific type wins, then the higher score."""
+    sure = lambda s: s["entity_type"].isin(*AUTHORITATIVE_TYPES)
     size = lambda s: s["end"] - s["start"]
 
     def prefer(new: Column, old: Column) -> Column:
         same_place = (new["start"] == old["start"]) & (new["end"] == old["end"])
-        longer = (new["entity_type"] == old["entity_type"]) & (size(new) > size(old)) & (rank(new["source"]) <= rank(old["source"]) + 2)
-        return F.when(same_place, new["score"] > old["score"]).when(sure(new) != sure(old), sure(new)).otherwise(longer)
-
-    order = F.struct(rank(F.col("source")).alias("r"), (-F.col("score")).alias("c"), (F.col("start") - F.col("end")).alias("l"), "start", "end", "entity_type")
-    return _fold(spans, order, prefer)
+        longer = (new["entity_type"] == old["entity_type"]) & (size(new) > size(old)) & (new["__rank"] <= old["__rank"] + 2)
+        apart = F.when(sure(new) != sure(old), sure(new)).otherwise(longer)
+        together = F.when(new["__specific"] != old["__specific"], new["__specific"] < old["__specific"]).otherwise(new["score"] > old["score"])
+        return F.when(same_place, together).otherwise(apart)
+
+    known = spans.withColumn("__rank", ranked(SOURCE_PRIORITY, F.col("source"))).withColumn("__specific", ranked(TYPE_SPECIFICITY, F.col("entity_type")))
+    order = F.struct(F.col("__rank").alias("r"), (-F.col("score")).alias("c"), (F.col("start") - F.col("end")).alias("l"), "start", "end", "entity_type")
+    return _fold(known, order, prefer).drop("__rank", "__specific")
 
 
 def keep_free(spans: DataFrame, order: list[Column]) -> DataFrame:

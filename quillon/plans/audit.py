@@ -26,10 +26,13 @@ def align_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unmatched_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of one source without an equal line in the other, both ways."""
-    a, b = _side(spark, sf_dir, "src0"), _side(spark, sf_dir, "src1")
+    """Lines of documents of even ids without an equal line in those of odd ids, both ways."""
+    rows = lines(spark, sf_dir).select("doc_id", "unit_id", "text")
+    a, b = (rows.where(F.col("doc_id") % 2 == i).select("unit_id", "text") for i in (0, 1))
     left, right = a.select(F.col("unit_id").alias("left_id"), normalize(F.col("text")).alias("k")), b.select(F.col("unit_id").alias("right_id"), normalize(F.col("text")).alias("k"))
-    return align.unmatched(a, b, left.join(right, "k").select("left_id", "right_id"))
+    # one partner for each unit says that it is matched: a line that stands everywhere makes no pairs of all its places
+    links = left.join(right.groupBy("k").agg(F.min("right_id").alias("right_id")), "k").unionByName(right.join(left.groupBy("k").agg(F.min("left_id").alias("left_id")), "k"))
+    return align.unmatched(a, b, links.select("left_id", "right_id"))
 
 
 def linked_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +55,7 @@ def token_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nearby_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First words of documents in the texts of documents with near ids."""
-    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("int").alias("page_no"), F.left("text", F.lit(4000)).alias("page_text"))
+    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("int").alias("page_no"), F.col("text").alias("page_text"))
     units = docs.select(F.col("page_no").cast("string").alias("unit_id"), "page_no", F.left("page_text", F.lit(14)).alias("text"), (F.col("page_no") % 2 == 0).alias("cell"))
     pages = docs.withColumn("page_no", F.col("page_no") + F.when(F.col("page_no") % 5 == 0, 1).otherwise(0)).groupBy("page_no").agg(F.array_join(F.array_sort(F.collect_list("page_text")), "\n").alias("page_text"))
     return align.nearby(units, pages)
@@ -60,7 +63,7 @@ def nearby_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def table_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order comments as tables of cells, found again on the pages that hold them."""
-    items = table(spark, sf_dir, "lineitem").where("l_orderkey < 2000")
+    items = table(spark, sf_dir, "lineitem")
     blocks = items.select(F.col("l_orderkey").cast("int").alias("table_index"), F.col("l_orderkey").cast("int").alias("page_no"), F.col("l_partkey").cast("string").alias("text"))
     pages = items.groupBy((F.col("l_orderkey") + 2).cast("int").alias("page_no")).agg(F.array_join(F.array_sort(F.collect_list(F.col("l_partkey").cast("string"))), " ").alias("page_text"))
     return align.remap(blocks, pages).withColumn("total", F.round("total", 6))
@@ -79,13 +82,13 @@ def page_risk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their numbers of spans, labels and repeated lines, and the risk that makes."""
     spine = documents(spark, sf_dir).select("doc_id")
     labels = table(spark, sf_dir, "labels").where("quality = 0 or toxic = 1").select("doc_id")
-    return report.page_risk(spine, {"span": spans(spark, sf_dir), "label": labels, "table": lines(spark, sf_dir).where("container_type = 'table_row'")}, "doc_id")
+    return report.page_risk(spine, {"suspected": spans(spark, sf_dir), "confirmed": labels, "review_task": lines(spark, sf_dir).where("container_type = 'table_row'")}, "doc_id")
 
 
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
     risk = page_risk_summary(spark, sf_dir)
     n = lambda c, k: F.pmod(F.col(c), F.lit(k))
-    return report.terminal_state(risk.select("doc_id", n("span_count", 3).alias("review_task_count"), F.lit(0).alias("unresolved_coverage_count"), n("table_count", 2).alias("coverage_gap_count"), F.col("label_count").alias("model_conflict_count"), n("doc_id", 3).alias("suspected_count"), n("doc_id", 2).alias("confirmed_count")))
+    return report.terminal_state(risk.select("doc_id", n("suspected_count", 3).alias("review_task_count"), F.lit(0).alias("unresolved_coverage_count"), n("review_task_count", 2).alias("coverage_gap_count"), F.col("confirmed_count").alias("model_conflict_count"), n("doc_id", 3).alias("suspected_count"), n("doc_id", 2).alias("confirmed_count")))
 
 
 def page_terminal_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +100,13 @@ def terminal_state_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def high_risk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.high_risk(page_risk_summary(spark, sf_dir), {"span_count": 3, "label_count": 1, "table_count": 12})
+    """Documents as pages: their lines, table rows, spans and labels as unresolved, table, visual and mapping rows."""
+    n = lambda name, rows: rows.groupBy("doc_id").agg(F.count("*").alias(name))
+    own = lines(spark, sf_dir)
+    out = documents(spark, sf_dir).select("doc_id")
+    for one in (n("unresolved_count", own), n("table_count", own.where("container_type = 'table_row'")), n("visual_count", spans(spark, sf_dir)), n("mapping_count", table(spark, sf_dir, "labels").where("quality = 0"))):
+        out = out.join(one, "doc_id", "left")
+    return report.high_risk(out.na.fill(0))
 
 
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,12 +116,12 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def candidate_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mentions(spark, sf_dir).withColumn("must_keep", F.col("start") < 20)
-    return report.compact_for_review(rows, 12).select("doc_id", "entity_type", "start", "text", "must_keep", "risk", "place")
+    return report.compact_for_review(rows).select("doc_id", "entity_type", "start", "text", "must_keep", "risk", "place")
 
 
 def document_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.when(F.col("container_type") == "table_row", "table").when(F.length("text") < 20, "image").otherwise("text")
-    return report.routes(lines(spark, sf_dir).withColumn("page_kind", kind)).select("doc_id", "pages", F.round("text", 6).alias("text"), F.round("table", 6).alias("table"), F.round("image", 6).alias("image"), "document_kind", "needs_ocr")
+    kind = F.when(F.col("container_type") == "table_row", "native_table_page").when(F.length("text") < 20, "image_text_page").otherwise("native_text_page")
+    return report.routes(lines(spark, sf_dir).withColumn("page_type", kind))
 
 
 def ledger_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +179,7 @@ def distinct_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tasks = table(spark, sf_dir, "events").select(F.col("event_id").alias("task_id"), F.when(F.col("event_type") == "purchase", F.col("ts")).alias("ended")).where("ended is not null or task_id % 50 = 0")
+    tasks = table(spark, sf_dir, "events").select(F.col("event_id").alias("task_id"), F.when(F.col("event_type") == "purchase", F.col("ts")).alias("ended"))
     return masking.kept_tasks(tasks).select("task_id", F.col("ended").isNull().alias("open"))
 
 
@@ -181,17 +190,19 @@ QUERIES = {
         high_risk_pages, review_queue, candidate_compaction, document_routes, ledger_lifecycle, eval_prf, entity_outcomes, label_suite, subject_errors, artifact_checks, event_sessions, distinct_events, kept_tasks,
     )
 }
-SIDES = f"""u AS ({SQL_LINES}), a AS (SELECT unit_id, u."text" FROM u JOIN documents USING (doc_id) WHERE source = 'src0'), b AS (SELECT unit_id, u."text" FROM u JOIN documents USING (doc_id) WHERE source = 'src1')"""
+SIDES = f"""u AS ({SQL_LINES}), a AS (SELECT unit_id, u."text" FROM u WHERE doc_id % 2 = 0), b AS (SELECT unit_id, u."text" FROM u WHERE doc_id % 2 = 1)"""
 RISK = f"""s AS (SELECT doc_id, count(*) AS n FROM ({sql_spans()}) GROUP BY doc_id), l AS (SELECT doc_id, count(*) AS n FROM labels WHERE quality = 0 OR toxic = 1 GROUP BY doc_id), t AS (SELECT doc_id, count(*) AS n FROM ({SQL_LINES}) WHERE container_type = 'table_row' GROUP BY doc_id),
-  risk AS (SELECT doc_id, coalesce(s.n, 0) AS span_count, coalesce(l.n, 0) AS label_count, coalesce(t.n, 0) AS table_count FROM documents LEFT JOIN s USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN t USING (doc_id)),
-  risked AS (SELECT *, CASE WHEN span_count + label_count + table_count >= 6 THEN 'high' WHEN span_count + label_count + table_count > 0 THEN 'medium' ELSE 'low' END AS risk_level FROM risk)"""
-STATES = f"""{RISK}, st AS (SELECT doc_id, CASE WHEN span_count % 3 > 0 THEN 'human_review_required' WHEN table_count % 2 > 0 THEN 'coverage_gap' WHEN label_count > 0 THEN 'model_conflict' WHEN doc_id % 3 > 0 THEN 'suspected_error' WHEN doc_id % 2 > 0 THEN 'confirmed_error' ELSE 'covered' END AS terminal_state,
-   CAST(span_count % 3 + table_count % 2 + label_count + doc_id % 3 AS BIGINT) AS open_issue_count FROM risked)"""
+  risk AS (SELECT doc_id, coalesce(s.n, 0) AS suspected_count, coalesce(l.n, 0) AS confirmed_count, coalesce(t.n, 0) AS review_task_count FROM documents LEFT JOIN s USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN t USING (doc_id)),
+  risked AS (SELECT *, CASE WHEN confirmed_count > 0 THEN 'high' WHEN suspected_count + review_task_count > 0 THEN 'medium' ELSE 'low' END AS risk_level FROM risk)"""
+STATES = f"""{RISK}, st AS (SELECT doc_id, CASE WHEN suspected_count % 3 > 0 THEN 'human_review_required' WHEN review_task_count % 2 > 0 THEN 'coverage_gap' WHEN confirmed_count > 0 THEN 'model_conflict' WHEN doc_id % 3 > 0 THEN 'suspected_error' WHEN doc_id % 2 > 0 THEN 'confirmed_error' ELSE 'covered' END AS terminal_state,
+   CAST(suspected_count % 3 + review_task_count % 2 + confirmed_count + doc_id % 3 AS BIGINT) AS open_issue_count FROM risked)"""
 GOLD = f"""e AS ({sql_spans()}), ac AS (SELECT doc_id, CASE WHEN "start" % 7 = 0 THEN 'OTHER' ELSE entity_type END AS entity_type, "start", "end" + CASE WHEN "start" % 11 = 0 THEN 1 ELSE 0 END AS "end" FROM e WHERE "start" % 5 <> 0)"""
 ORACLES = {
     "unmatched_units": f"""WITH {SIDES}, an AS (SELECT unit_id, regexp_replace("text", '\\s+', '', 'g') AS k FROM a), bn AS (SELECT unit_id, regexp_replace("text", '\\s+', '', 'g') AS k FROM b)
   SELECT unit_id, 'missing_content' AS kind, CAST(0.72 AS DOUBLE) AS confidence FROM an WHERE length(k) >= 12 AND k NOT IN (SELECT k FROM bn) UNION ALL SELECT unit_id, 'extra_content', CAST(0.68 AS DOUBLE) FROM bn WHERE length(k) >= 12 AND k NOT IN (SELECT k FROM an)""",
-    "token_coverage": """WITH t AS (SELECT source, doc_id % 2 AS side, unnest(list_filter(string_split_regex(lower(regexp_replace(text, '[^A-Za-z0-9]', ' ', 'g')), '[^a-z0-9]+'), lambda t: length(t) >= 3)) AS token FROM documents),
+    "token_coverage": """WITH c0 AS (SELECT source, doc_id % 2 AS side, lower(regexp_replace(text, '[^A-Za-z0-9]', ' ', 'g')) AS x FROM documents), w AS (SELECT source, side, unnest(string_split(x, ' ')) AS k FROM c0),
+  t AS (SELECT source, side, k AS token FROM w WHERE length(k) BETWEEN 4 AND 40 UNION ALL SELECT source, side, replace(x, ' ', '') FROM c0 WHERE length(replace(x, ' ', '')) >= 3
+    UNION ALL SELECT source, side, p FROM (SELECT source, side, unnest(list_transform(generate_series(0, length(k) - 1, 18), lambda i: substr(k, i + 1, 18))) AS p FROM w WHERE length(k) > 40) WHERE length(p) >= 6),
   d AS (SELECT source, token, bool_or(side = 0) AS l, bool_or(side = 1) AS r FROM t GROUP BY ALL), c AS (SELECT source, count(*) FILTER (WHERE l) AS left_tokens, count(*) FILTER (WHERE r) AS right_tokens, count(*) FILTER (WHERE l AND r) AS common FROM d GROUP BY source)
   SELECT *, CASE WHEN left_tokens = 0 OR right_tokens = 0 THEN 'missing_side_text' WHEN common / left_tokens < 0.55 OR common / right_tokens < 0.45 THEN 'page_text_coverage_gap' ELSE 'page_text_coverage_supported' END AS verdict,
    CASE WHEN left_tokens = 0 OR right_tokens = 0 THEN 'medium' WHEN common / left_tokens < 0.55 OR common / right_tokens < 0.45 THEN 'high' ELSE 'low' END AS risk FROM c""",
@@ -200,10 +211,10 @@ ORACLES = {
   s AS (SELECT *, CASE WHEN ln = rn THEN 1 WHEN contains(ln, rn) OR contains(rn, ln) THEN 0.92 ELSE 1 - levenshtein(ln, rn) / greatest(length(ln), length(rn)) END AS alike FROM j)
   SELECT left_id, right_id, 'critical_field_changed' AS kind, 'number' AS field, CAST(0.8 AS DOUBLE) AS confidence FROM s WHERE NOT list_has_any(lf, rf)
   UNION ALL SELECT left_id, right_id, CASE WHEN cell THEN 'table_cell_mismatch_suspect' ELSE 'text_substitution' END, NULL, round(greatest(0.55, 0.8 * (1 - alike)), 6) FROM s WHERE alike < 0.98 AND length(lt) >= 8 AND length(rt) >= 8""",
-    "nearby_pages": """WITH d AS (SELECT CAST(doc_id AS INTEGER) AS page_no, left(text, 4000) AS t FROM documents), p AS (SELECT page_no + CASE WHEN page_no % 5 = 0 THEN 1 ELSE 0 END AS page, string_agg(t, chr(10) ORDER BY t) AS page_text FROM d GROUP BY 1),
+    "nearby_pages": """WITH d AS (SELECT CAST(doc_id AS INTEGER) AS page_no, text AS t FROM documents), p AS (SELECT page_no + CASE WHEN page_no % 5 = 0 THEN 1 ELSE 0 END AS page, string_agg(t, chr(10) ORDER BY t) AS page_text FROM d GROUP BY 1),
   m AS (SELECT CAST(page_no AS VARCHAR) AS unit_id, page_no % 2 = 0 AS cell, page, abs(page - page_no) AS dist FROM d JOIN p ON abs(page - page_no) <= CASE WHEN page_no % 2 = 0 THEN 3 ELSE 0 END AND contains(page_text, left(t, 14))),
   b AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY dist, page) AS rn FROM m) SELECT unit_id, page AS found_page, dist AS distance, CAST(CASE WHEN dist > 0 THEN 0.68 WHEN cell THEN 0.74 ELSE 0.78 END AS DOUBLE) AS confidence FROM b WHERE rn = 1""",
-    "table_remap": """WITH i AS (SELECT l_orderkey AS k, CAST(l_partkey AS VARCHAR) AS t FROM lineitem WHERE l_orderkey < 2000), p AS (SELECT k + 2 AS page, string_agg(t, ' ' ORDER BY t) AS page_text FROM i GROUP BY 1),
+    "table_remap": """WITH i AS (SELECT l_orderkey AS k, CAST(l_partkey AS VARCHAR) AS t FROM lineitem), p AS (SELECT k + 2 AS page, string_agg(t, ' ' ORDER BY t) AS page_text FROM i GROUP BY 1),
   m AS (SELECT i.k, page, CASE WHEN length(t) >= 4 AND contains(page_text, t) THEN 6 + least(8, length(t) / 6) WHEN length(t) >= 3 AND contains(page_text, t) THEN CASE WHEN length(t) <= 4 THEN 3 ELSE 4 + least(5, length(t) / 4) END ELSE 0 END AS pts FROM i JOIN p ON abs(page - i.k) <= 4),
   s AS (SELECT k, page, sum(pts) AS total, count(*) FILTER (WHERE pts > 0) AS hits FROM m GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY total DESC, abs(page - k), page) AS rn FROM s)
   SELECT CAST(k AS INTEGER) AS table_index, CAST(k AS INTEGER) AS page_no, CAST(page AS INTEGER) AS page, round(CAST(total AS DOUBLE), 6) AS total, hits FROM b WHERE rn = 1""",
@@ -212,15 +223,20 @@ ORACLES = {
     "page_risk_summary": f"WITH {RISK} SELECT * FROM risked",
     "page_terminal_state": f"WITH {STATES} SELECT doc_id, terminal_state, terminal_state NOT IN ('covered', 'confirmed_error') AS requires_human_review, open_issue_count FROM st",
     "terminal_state_summary": f"WITH {STATES} SELECT terminal_state, count(*) AS pages, CAST(sum(open_issue_count) AS BIGINT) AS open_issues, count(*) FILTER (WHERE terminal_state NOT IN ('covered', 'confirmed_error')) AS to_review FROM st GROUP BY 1",
-    "high_risk_pages": f"WITH {RISK} SELECT * FROM risked WHERE span_count >= 3 OR label_count >= 1 OR table_count >= 12",
+    "high_risk_pages": f"""WITH u AS (SELECT doc_id, count(*) AS unresolved_count, count(*) FILTER (WHERE container_type = 'table_row') AS table_count FROM ({SQL_LINES}) GROUP BY 1), s AS (SELECT doc_id, count(*) AS visual_count FROM ({sql_spans()}) GROUP BY 1),
+  m AS (SELECT doc_id, count(*) AS mapping_count FROM labels WHERE quality = 0 GROUP BY 1),
+  p AS (SELECT doc_id, coalesce(unresolved_count, 0) AS unresolved_count, coalesce(table_count, 0) AS table_count, coalesce(visual_count, 0) AS visual_count, coalesce(mapping_count, 0) AS mapping_count FROM documents LEFT JOIN u USING (doc_id) LEFT JOIN s USING (doc_id) LEFT JOIN m USING (doc_id))
+  SELECT * FROM p WHERE unresolved_count >= 12 OR table_count >= 8 OR visual_count >= 6 OR mapping_count >= 6""",
     "review_queue": """WITH t AS (SELECT CAST(l_quantity * 10 AS INTEGER) AS priority, l_suppkey AS page_no, l_returnflag AS task_type, l_orderkey || ':' || l_linenumber AS task_id FROM lineitem)
   SELECT *, CAST(row_number() OVER (ORDER BY priority DESC, page_no, task_type, task_id) AS INTEGER) AS place FROM t ORDER BY place LIMIT 36""",
     "candidate_compaction": f"""WITH m AS (SELECT *, "start" < 20 AS must_keep, count(*) OVER (PARTITION BY doc_id, entity_type, "text") > 1 AS rep, row_number() OVER (PARTITION BY doc_id, entity_type, "text" ORDER BY "start" < 20 DESC, "start", "end") AS rn FROM ({SQL_MENTIONS})),
   o AS (SELECT *, 50 - CASE WHEN must_keep THEN 40 ELSE 0 END - CASE WHEN entity_type = 'PERSON' AND length("text") BETWEEN 2 AND 4 THEN 8 ELSE 0 END - CASE WHEN rep THEN 5 ELSE 0 END - CASE WHEN source = 'ner' THEN 3 ELSE 0 END AS risk FROM m WHERE must_keep OR rn = 1),
   p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, must_keep ORDER BY risk, "start", length("text") DESC, entity_type, "text") AS place, count(*) FILTER (WHERE must_keep) OVER (PARTITION BY doc_id) AS kept FROM o)
-  SELECT doc_id, entity_type, "start", "text", must_keep, risk, place FROM p WHERE must_keep OR place <= 12 - kept""",
-    "document_routes": f"""WITH k AS (SELECT doc_id, CASE WHEN container_type = 'table_row' THEN 'table' WHEN length("text") < 20 THEN 'image' ELSE 'text' END AS k FROM ({SQL_LINES})), s AS (SELECT doc_id, count(*) AS pages, count(*) FILTER (WHERE k = 'text') / count(*) AS tx, count(*) FILTER (WHERE k = 'table') / count(*) AS tb, count(*) FILTER (WHERE k = 'image') / count(*) AS im FROM k GROUP BY 1)
-  SELECT doc_id, pages, round(tx, 6) AS "text", round(tb, 6) AS "table", round(im, 6) AS image, CASE WHEN tx >= 0.8 THEN 'native_text' WHEN im >= 0.8 THEN 'scanned' WHEN tb >= 0.55 THEN 'table_document' ELSE 'mixed' END AS document_kind, im >= 0.2 AS needs_ocr FROM s""",
+  SELECT doc_id, entity_type, "start", "text", must_keep, risk, place FROM p WHERE must_keep OR place <= 512 - kept""",
+    "document_routes": f"""WITH k AS (SELECT doc_id, CASE WHEN container_type = 'table_row' THEN 'table' WHEN length("text") < 20 THEN 'image' ELSE 'text' END AS k FROM ({SQL_LINES})),
+  s AS (SELECT doc_id, count(*) AS pages, count(*) FILTER (WHERE k = 'image') AS image_pages, count(*) FILTER (WHERE k <> 'image') AS native_pages, count(*) FILTER (WHERE k = 'table') AS table_pages FROM k GROUP BY 1)
+  SELECT *, CASE WHEN native_pages / pages >= 0.8 AND image_pages / pages <= 0.2 THEN 'text_pdf' WHEN image_pages / pages >= 0.8 AND native_pages / pages <= 0.2 THEN 'image_pdf' ELSE 'mixed_pdf' END AS document_type,
+    CASE WHEN table_pages / pages >= 0.55 THEN 'table_heavy' WHEN image_pages / pages >= 0.55 THEN 'image_text_heavy' WHEN native_pages / pages >= 0.55 THEN 'native_text_heavy' ELSE 'mixed_layout' END AS layout_family FROM s""",
     "ledger_lifecycle": f"""WITH m AS (SELECT * FROM ({SQL_MENTIONS})) SELECT 'state' AS kind, CASE WHEN source = 'ner' THEN 'review' WHEN length("text") < 5 THEN 'reject' ELSE 'keep' END AS value, count(*) AS n FROM m GROUP BY ALL
   UNION ALL SELECT 'reason', 'short', count(*) FROM m WHERE length("text") < 5 UNION ALL SELECT 'reason', 'model', count(*) FROM m WHERE source = 'ner' UNION ALL SELECT 'reason', 'first', count(*) FROM m WHERE "start" = 0""",
     "eval_prf": f"""WITH {GOLD}, k AS (SELECT doc_id, entity_type, "start", "end", 1 AS e, 0 AS a FROM e UNION ALL SELECT doc_id, entity_type, "start", "end", 0, 1 FROM ac), g AS (SELECT doc_id, entity_type, "start", "end", sum(e) AS e, sum(a) AS a FROM k GROUP BY ALL),
@@ -235,6 +251,6 @@ ORACLES = {
     "event_sessions": """WITH e AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTES OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM e)
   SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS "start", count(*) AS n_events, round(sum(value), 3) AS value FROM s GROUP BY user_id, k""",
     "distinct_events": "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1",
-    "kept_tasks": """WITH t AS (SELECT event_id AS task_id, CASE WHEN event_type = 'purchase' THEN ts END AS ended FROM events), k AS (SELECT * FROM t WHERE ended IS NOT NULL OR task_id % 50 = 0), l AS (SELECT max(ended) AS m FROM k),
+    "kept_tasks": """WITH t AS (SELECT event_id AS task_id, CASE WHEN event_type = 'purchase' THEN ts END AS ended FROM events), k AS (SELECT * FROM t), l AS (SELECT max(ended) AS m FROM k),
   e AS (SELECT task_id FROM k, l WHERE ended >= m - INTERVAL 24 HOURS ORDER BY ended DESC, task_id LIMIT 24) SELECT task_id, true AS open FROM k WHERE ended IS NULL UNION ALL SELECT task_id, false FROM e""",
 }

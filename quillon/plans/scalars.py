@@ -22,7 +22,7 @@ def scalar_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.col("p_name"), F.col("p_type")
     return table(spark, sf_dir, "part").select(
         "p_partkey", F.levenshtein(a, b).alias("distance"), text.bounded_distance(a, b, 12).alias("bounded"),
-        F.round(text.edit_similarity(a, b), 6).alias("alike"), F.round(text.similarity(a, F.left(a, F.lit(4))), 6).alias("held"), F.round(text.text_score(a, b), 6).alias("score"),
+        F.round(text.edit_similarity(a, b), 6).alias("alike"), F.round(text.similarity(a, F.left(a, F.lit(4))), 6).alias("held"), F.round(text.text_score(a, F.substr(a, F.lit(3))), 6).alias("score"),
     )
 
 
@@ -66,11 +66,12 @@ ALIKE = "1 - levenshtein(p_name, p_type) / greatest(length(p_name), length(p_typ
 GREEK = "αβγδεζηθικλμνξοπρστυφχψω"
 ORACLES = {
     "scalar_text": r"""SELECT doc_id, CAST(length(regexp_replace(text, '\s+', '', 'g')) AS INTEGER) AS n_compact, md5(regexp_replace(text, '\s+', '', 'g')) AS compact_md5,
-        CAST(len(regexp_extract_all(text, '[0-9]{2,}')) AS INTEGER) AS n_numbers, CAST(len(list_distinct(list_filter(string_split_regex(lower(regexp_replace(text, '[^A-Za-z0-9]', ' ', 'g')), '[^a-z0-9]+'), lambda t: length(t) >= 3))) AS INTEGER) AS n_tokens,
+        CAST(len(regexp_extract_all(text, '[0-9]{2,}')) AS INTEGER) AS n_numbers, CAST(len(list_distinct(list_concat(list_concat(list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z0-9]', ' ', 'g')), ' '), lambda t: length(t) BETWEEN 4 AND 40), list_filter([lower(regexp_replace(text, '[^A-Za-z0-9]', '', 'g'))], lambda t: length(t) >= 3)),
+          flatten(list_transform(list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z0-9]', ' ', 'g')), ' '), lambda t: length(t) > 40), lambda t: list_filter(list_transform(generate_series(0, length(t) - 1, 18), lambda i: substr(t, i + 1, 18)), lambda c: length(c) >= 6)))))) AS INTEGER) AS n_tokens,
         CAST(length(left(trim(regexp_replace(text, '\s+', ' ', 'g')), 120)) AS INTEGER) AS n_clean FROM documents""",
     "scalar_similarity": f"""SELECT p_partkey, CAST(levenshtein(p_name, p_type) AS INTEGER) AS distance, CAST(least(levenshtein(p_name, p_type), 13) AS INTEGER) AS bounded, round({ALIKE}, 6) AS alike,
         round(CASE WHEN left(p_name, 4) = p_name THEN 1 ELSE 4 / length(p_name) END, 6) AS held,
-        round(CASE WHEN p_name = p_type THEN 1 WHEN contains(p_name, p_type) OR contains(p_type, p_name) THEN 0.92 ELSE {ALIKE} END, 6) AS score FROM part""",
+        CAST(CASE WHEN substr(p_name, 3) = '' THEN 0 ELSE 0.92 END AS DOUBLE) AS score FROM part""",
     "scalar_masks": """SELECT c_custkey, CASE WHEN length(c_name) <= 4 THEN repeat('*', length(c_name)) ELSE repeat('*', length(c_name) - 4) || right(c_name, 4) END AS masked,
         CASE WHEN length(c_name) <= 4 THEN repeat('*', length(c_name)) ELSE left(c_name, length(c_name) - 3) || '***' END AS tail,
         CASE WHEN length(c_name) <= 7 THEN c_name ELSE left(c_name, 3) || repeat('*', length(c_name) - 7) || right(c_name, 4) END AS ends,

@@ -66,6 +66,9 @@ def test_similarity(spark):
     assert one(spark, text.similarity(a, b), a="abcd", b="abcd") == 1
     assert one(spark, text.similarity(a, b), a="abcd", b="ab") == 0.5
     assert one(spark, text.similarity(a, b), a="abcd", b="abxd") == 0.75
+    assert one(spark, text.similarity(a, b), a="", b="") == 1 and one(spark, text.similarity(a, b), a="", b="x") == 0
+    assert one(spark, text.similarity(a, b), a="abcd efgh", b="efgh abcd") == pytest.approx(2 * 4 / 18)
+    assert one(spark, text.similarity(a, b), a="abxcd", b="abcd") == pytest.approx(8 / 9)
     assert one(spark, text.text_score(a, b), a="abcd", b="ab") == 0.92
     assert one(spark, text.bounded_distance(a, b, 1), a="abcd", b="xyzw") == 2
 
@@ -74,3 +77,16 @@ def test_matches_are_code_points(spark):
     found = one(spark, text.matches(F.col("v"), "b+"), v="😀abbéb")
     assert [tuple(x) for x in found] == [(2, 4, "bb"), (5, 6, "b")]
     assert one(spark, text.matches(F.col("v"), "b+"), v="") == []
+
+
+def test_page_tokens(spark):
+    got = one(spark, text.page_tokens(F.col("v")), v="北京示例科技有限公司，No.12 abc ￥1234")
+    cjk = "北京示例科技有限公司"
+    assert got == [cjk, "no12", "￥1234", "no12abc", cjk[:8], cjk[:6], cjk[3:9], cjk[:4], cjk[2:6], cjk[4:8], cjk[6:]]
+    assert one(spark, text.page_tokens(F.col("v")), v="x" * 45) == ["x" * 18, "x" * 9, "x" * 45]
+    assert one(spark, text.page_tokens(F.col("v")), v="") == []
+
+
+def test_semantic_and_normalize(spark):
+    assert one(spark, text.normalize(F.col("v")), v="（甲） 方：A；！") == "(甲)方:A;！"
+    assert one(spark, text.semantic(F.col("v")), v="二〇24年 与 2024年03月05日，2024-3-5") == "二024与202435202435"

@@ -65,12 +65,16 @@ def test_resolution_is_the_greedy_fold(spark, seed):
     want = [t for d in range(20) for t in fold([r for r in rows if r[0] == d], lambda r: (r[2], r[6], -size(r), -r[4], r[1], r[5]), by_priority)]
     got = [tuple(r[c] for c in ("doc_id", "entity_type", "start", "end", "score", "source", "priority")) for r in resolve.by_priority(spans_of(spark, rows)).collect()]
     assert sorted(got) == sorted(want)
-    rank = {s: i + 1 for i, s in enumerate(resolve.SOURCE_ORDER)}
-    sure = lambda r: r[5] in resolve.AUTHORITATIVE
+    kinds = {"A": "CN_PHONE", "B": "PERSON"}
+    rows = [(r[0], "ALIAS" if r[2] % 5 == 0 else kinds[r[1]], *r[2:]) for r in rows]
+    rows = list({r[:6]: r for r in rows}.values())
+    rank = resolve.SOURCE_PRIORITY
+    sure = lambda r: r[1] == "CN_PHONE"
+    specific = {"CN_PHONE": 1, "PERSON": 2, "ALIAS": 3}
 
     def by_source(n, o):
         if n[2:4] == o[2:4]:
-            return n[4] > o[4]
+            return specific[n[1]] < specific[o[1]] if n[1] != o[1] else n[4] > o[4]
         if sure(n) != sure(o):
             return sure(n)
         return n[1] == o[1] and size(n) > size(o) and rank[n[5]] <= rank[o[5]] + 2
