@@ -105,13 +105,21 @@ def mask_default(kind: Column, value: Column) -> Column:
 
 
 def person_alias(name: Column) -> Column:
-    """The family name and 某; of names of four and more characters the last stays too."""
-    return F.when(F.length(name) >= 4, F.concat(F.left(name, F.lit(1)), F.lit("某"), F.right(name, F.lit(1)))).otherwise(F.concat(F.left(name, F.lit(1)), F.lit("某")))
+    """The family name and 某; of names of three and more characters the last stays too; 某 alone for one or none."""
+    plain = F.regexp_replace(name, r"(?U)\s+", "")
+    first = F.concat(F.left(plain, F.lit(1)), F.lit("某"))
+    return F.when(F.length(plain) <= 1, "某").when(F.length(plain) == 2, first).otherwise(F.concat(first, F.right(plain, F.lit(1))))
 
 
 def company_alias(name: Column) -> Column:
-    """The second character hidden."""
-    return F.when(F.length(name) >= 2, F.overlay(name, F.lit("某"), F.lit(2), F.lit(1))).otherwise(name)
+    """The second letter, digit or ideograph hidden; a lone one, or a name without any, is followed by 某."""
+    plain = F.regexp_replace(name, r"(?U)\s+", "")
+    seen, other = "[一-鿿A-Za-z0-9]", "[^一-鿿A-Za-z0-9]"
+    two = f"^({other}*{seen}{other}*){seen}"
+    return (
+        F.when(plain == "", "").when(plain.rlike(two), F.regexp_replace(plain, two, "$1某"))
+        .when(plain.rlike(seen), F.regexp_replace(plain, f"^({other}*{seen})", "$1某")).otherwise(F.concat(plain, F.lit("某")))
+    )
 
 
 REGISTRY: dict[str, Mask] = {

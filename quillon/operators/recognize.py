@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import identifiers
 from ..functions.text import compact, matches, valid_credit_code, valid_id_number, validation
 
 
@@ -110,6 +111,13 @@ def custom_patterns(docs: DataFrame, patterns: list[dict]) -> DataFrame:
     return recognize(docs, tuple(rules), source="custom")
 
 
+def numbered_spans(docs: DataFrame) -> DataFrame:
+    """Contract and case numbers after their labels, and case numbers anywhere: doc_id, start, end, text of the number alone."""
+    found = docs.select("doc_id", F.explode(matches(F.col("text"), identifiers.NUMBERED)).alias("m"))
+    value = identifiers.numbered_value(F.col("m.text"))
+    return found.select("doc_id", (F.col("m.end") - F.length(value)).alias("start"), F.col("m.end").alias("end"), F.trim(value).alias("text"))
+
+
 def aliases(docs: DataFrame) -> DataFrame:
     """Definitions of short names, 全称（以下简称“X”）: doc_id, canonical, alias."""
     pattern = r"([一-龥A-Za-z0-9（）()]{4,60}?)[（(](?:以下)?简称[：:]?[“\"'‘]?([一-龥A-Za-z0-9]{2,20})[”\"'’]?[）)]"

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import audit, scalars, spans, subjects
+from . import audit, fixtures, ledgers, scalars, spans, subjects
 
-MODULES = [spans, scalars, subjects, audit]
+MODULES = [spans, scalars, subjects, audit, ledgers, fixtures]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
