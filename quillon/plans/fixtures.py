@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import aliases, identifiers, masks, text
-from ..operators import coverage, recognize, resolve
+from ..operators import coverage, recognize, resolve, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -134,3 +134,61 @@ _register(
     "unit_id string, category string, priority string, rewrite_required boolean",
 )
 _scalar("canonical_type_rules", coverage.canonical_type, [("SIGNATORY", "PERSON"), ("LEGAL_REPRESENTATIVE", "PERSON"), ("CONTACT_PERSON", "PERSON"), ("COMPANY", "ORGANIZATION"), ("ORG", "ORGANIZATION"), ("LOCATION", "ADDRESS"), ("CASE_NO", "CASE_NO")])
+
+# --- views, labels, names, merging, edges, routes ---
+_scalar("recognition_views", views.recognition_view, [("示 例 公司", "示例公司"), ("a b", "a b"), ("A 公司", "A公司"), ("12 a 3", "12a3"), ("甲\n 乙", "甲\n 乙"), ("，  甲", "，  甲"), ("", "")])
+_register(
+    "original_spans", [(0, "示 例 公司", 0, 4), (1, "示 例 公司", 1, 3), (2, "abc", 1, 2), (3, "示 例", 0, 3), (4, "示 例", 1, 1), (5, "a  1 b", 1, 3)], "id int, text string, s int, e int",
+    lambda d: d.withColumn("x", views.original_span(F.col("text"), F.col("s"), F.col("e"))).select("id", F.col("x.start").alias("start"), F.col("x.end").alias("end")),
+    [(0, 0, 6), (1, 2, 5), (2, 1, 2), (3, None, None), (4, None, None), (5, 3, 6)], "id int, start int, end int",
+)
+UNIT_TEXT = "姓名\n张三\n姓名\n李 四\n末"
+_register(
+    "unit_resolution_rules", [(1, "a", 0, "姓名", 0, 2), (1, "b", 1, "张三", 9, 11), (1, "c", 2, "姓名", None, None), (1, "d", 3, "李四", None, None), (1, "e", 4, "", 0, 0), (1, "f", 5, "无", 0, 1)], "doc_id long, unit_id string, order_index int, text string, start int, end int",
+    lambda d: views.resolved_units(d.sparkSession.createDataFrame([(1, UNIT_TEXT), (2, None)], "doc_id long, text string"), d),
+    [(1, "a", 0, 2, "exact"), (1, "b", 3, 5, "ordered_forward"), (1, "c", 6, 8, "ordered_forward"), (1, "d", 9, 12, "sanitized_ordered_forward"), (1, "e", -1, -1, "missing_text"), (1, "f", -1, -1, "unresolved")],
+    "doc_id long, unit_id string, start int, end int, resolution string",
+)
+_register(
+    "token_entity_rules",
+    [(1, i, s, e, label, 0.5 + i / 100) for i, (s, e, label) in enumerate([(0, 1, "B-per"), (1, 2, "I-PER"), (2, 2, "O"), (2, 3, "I-PER"), (3, 4, "O"), (4, 5, "I-ORG"), (5, 6, "I-LOC"), (6, 7, "S-LOC"), (7, 8, "I-LOC"), (8, 9, "MISC"), (9, 10, "X-MISC"), (10, 11, None)])],
+    "doc_id long, place int, start int, end int, label string, score double",
+    lambda d: views.token_entities(d).select("doc_id", "entity_type", "start", "end", F.round("score", 4).alias("score")),
+    [(1, "PER", 0, 3, 0.5133), (1, "ORG", 4, 5, 0.55), (1, "LOC", 5, 6, 0.56), (1, "LOC", 6, 7, 0.57), (1, "LOC", 7, 8, 0.58), (1, "MISC", 8, 9, 0.59), (1, "MISC", 9, 10, 0.6)],
+    "doc_id long, entity_type string, start int, end int, score double",
+)
+_register(
+    "definition_span_rules", [(1, "示例科技有限公司（以下简称“示例”）与杭州法院 (下称 杭法) 。"), (2, "示例（简称甲）")], "doc_id long, text string", lambda d: views.definition_spans(d),
+    [(1, "ORGANIZATION", 0, 8, "示例科技有限公司", 0.92, "示例科技有限公司"), (1, "ALIAS", 14, 16, "示例", 0.9, "示例科技有限公司"), (1, "GOVERNMENT", 18, 23, "与杭州法院"[0:5], 0.92, "与杭州法院"), (1, "ALIAS", 28, 30, "杭法", 0.9, "与杭州法院")],
+    "doc_id long, entity_type string, start int, end int, text string, score double, canonical string",
+)
+_scalar("natural_names", lambda c: views.natural_name(c, ("张", "李"), ("欧阳", "诸葛")), [("张三", True), ("李 四光", True), ("欧阳锋", True), ("欧阳", False), ("欧阳一二三", False), ("王五", False), ("阿里·买买提", True), ("张", False), (None, False)], "boolean")
+_scalar("org_cores", views.org_core, [("北京示例科技有限公司", "示例科技"), ("杭州市西湖区示例贸易有限责任公司", "示例贸易"), ("示例银行", "示例"), ("甲公司", "")])
+_scalar("org_brands", views.org_brand, [("北京示例科技有限公司", "示例"), ("示例信息技术有限公司", "示例"), ("科技公司", "科技"), ("甲乙公司", "甲乙")])
+_scalar("noise_scores", views.noise_score, [("示例公司", 0), ("联系人：张三", 5), ("张为", 2), ("账号123456", 4), ("统一社会信用代码", 6)], "int")
+_register(
+    "subject_edge_rules",
+    [(1, "s1", 0, "organization", "K1", ["示例科技有限公司"]), (1, "s2", 5, "organization", "K1", ["示例"]), (1, "s3", 9, "organization", "", ["示例 科技有限公司", "甲"]), (1, "s4", 12, "organization", "LEDGER::1", ["北京示例贸易公司"]), (1, "s5", 15, "person", "LEDGER::1", ["示例"]), (2, "t1", 0, "organization", "K1", ["示例"])],
+    "doc_id long, subject_id string, place int, family string, canonical_key string, surfaces array<string>", lambda d: views.subject_edges(d),
+    [(1, "s2", "s1", "same_canonical_key", 1.0, "confirmed"), (1, "s3", "s1", "same_surface", 0.92, "observed"), (1, "s4", "s1", "same_brand", 0.8, "needs_adjudication")],
+    "doc_id long, source_id string, target_id string, relation string, confidence double, status string",
+)
+_register(
+    "recall_merge_rules",
+    [
+        (1, "ORGANIZATION", 0, 8, "a", 0.9, "rule_organization", 3), (1, "CN_PHONE", 4, 15, "b", 0.5, "ner", 0),  # a format wins
+        (2, "PERSON", 0, 3, "张三为", 0.9, "rule_person", 0), (2, "PERSON", 0, 2, "张三", 0.5, "contract_structure_backfill", 0),  # less noise, trust within 5
+        (3, "PERSON", 0, 3, "张三为", 0.9, "rule_person", 0), (3, "PERSON", 0, 2, "张三", 0.5, "uie", 0),  # less noise, but far less trust
+        (4, "ORGANIZATION", 0, 8, "示例科技有限公司", 0.6, "uie", 3), (4, "LOCATION", 0, 2, "示例", 0.9, "custom", 0),  # an organisation takes in a place
+        (5, "PERSON", 0, 4, "a", 0.5, "uie", 0), (5, "ALIAS", 2, 6, "b", 0.9, "rule_alias", 0),  # the trusted one comes first and stays
+        (6, "ORGANIZATION", 0, 4, "示例公司", 0.9, "uie", 1), (6, "ORGANIZATION", 0, 6, "示例公司付款", 0.8, "uie", 1),  # noise of the longer
+    ],
+    SPANS + ", strength int", lambda d: views.recall_merge(d).select("doc_id", "entity_type", "start", "end", "source"),
+    [(1, "CN_PHONE", 4, 15, "ner"), (2, "PERSON", 0, 2, "contract_structure_backfill"), (3, "PERSON", 0, 3, "rule_person"), (4, "ORGANIZATION", 0, 8, "uie"), (5, "ALIAS", 2, 6, "rule_alias"), (6, "ORGANIZATION", 0, 4, "uie")],
+    "doc_id long, entity_type string, start int, end int, source string",
+)
+_register(
+    "must_keep_rules",
+    [(0, "PERSON", {}), (1, "DATE", {"subject_ledger_status": "hard_conflict"}), (2, "PERSON", {"rule_first_action": "keep"}), (3, "DATE", {"rule_first_action": "keep"}), (4, "DATE", {"rule_first_action": "review"}), (5, "DATE", {"candidate_types": "PERSON"}), (6, "DATE", {"subject_ledger_status": "final"}), (7, "DATE", None)],
+    "id int, entity_type string, metadata map<string,string>", lambda d: d.select("id", views.must_keep(d).alias("kept")), [(0, False), (1, True), (2, True), (3, False), (4, True), (5, True), (6, False), (7, False)], "id int, kept boolean",
+)

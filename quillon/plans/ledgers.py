@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ledger
+from ..operators import ledger, views
 from .common import SQL_LINES, SQL_MENTIONS, lines, mentions, table
 
 
@@ -268,3 +268,40 @@ ORACLES = {
   m AS (SELECT *, CAST(CASE WHEN expected > 0 THEN round(matched / expected, 4) ELSE 1 END AS DOUBLE) AS recall, CAST(CASE WHEN confirmed > 0 THEN round((confirmed - matched) / confirmed, 4) ELSE 0 END AS DOUBLE) AS false_rate FROM s)
   SELECT *, CASE WHEN recall >= 0.95 AND false_rate <= 0.10 AND critical_missed <= 0 THEN 'passed' ELSE 'failed' END AS status FROM m""",
 }
+
+
+def canonical_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    group = F.when(F.col("start") % 7 == 0, " ").when(F.col("start") % 3 == 0, F.concat(F.lit("G"), F.length("text")))
+    rows = mentions(spark, sf_dir).withColumn("group_id", group).withColumn("canonical_key", F.when(F.col("start") % 5 != 0, F.lower(F.left("text", F.lit(4)))))
+    return views.canonical_groups(rows).withColumn("aliases", F.array_join("aliases", "|"))
+
+
+def unique_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.unique_anchors(mentions(spark, sf_dir).select("doc_id", F.left("text", F.lit(3)).alias("alias"), F.col("text").alias("anchor")))
+
+
+def review_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as pages, order lines as links and differences."""
+    k, n = F.col("s_suppkey"), F.col("l_linenumber")
+    labels = F.when(k % 4 == 0, F.array(F.lit("mapping_risk"), F.lit("x"))).otherwise(F.array(F.lit("x")))
+    pages = table(spark, sf_dir, "supplier").select(k.alias("page_no"), (k % 3 == 0).alias("needs_table_parser"), (k % 2 == 0).alias("needs_ocr"), F.when(k % 7 != 0, k % 80).alias("anchor_chars"), labels.alias("labels"))
+    rows = table(spark, sf_dir, "lineitem")
+    links = rows.select(F.col("l_suppkey").alias("page_no"), F.when(n % 3 == 0, "mapping_uncertain").when(n % 3 == 1, "matched").otherwise("other").alias("status"))
+    category = F.when(n == 1, "critical_field_changed").when(n == 2, "unlocated_hard_field").when(n == 3, "page_coverage_gap").otherwise("mapping_uncertain")
+    return views.review_routes(pages, links, rows.select(F.col("l_suppkey").alias("page_no"), category.alias("category"), F.concat_ws(":", "l_orderkey", n).alias("diff_id")))
+
+
+QUERIES |= {f.__name__: f for f in (canonical_groups, unique_anchors, review_routes)}
+ORACLES |= {
+    "canonical_groups": f"""WITH m AS (SELECT doc_id, "text", "start", CASE WHEN "start" % 7 <> 0 AND "start" % 3 = 0 THEN 'G' || length("text") WHEN "start" % 5 <> 0 THEN lower(left("text", 4)) END AS g FROM ({SQL_MENTIONS})),
+  s AS (SELECT doc_id, g AS group_id, list("text" ORDER BY length("text") DESC, "start")[1] AS primary_text, count(*) AS mentions FROM m WHERE g IS NOT NULL GROUP BY ALL),
+  a AS (SELECT doc_id, group_id, array_to_string(list("text" ORDER BY length("text") DESC, "text"), '|') AS aliases FROM (SELECT DISTINCT doc_id, g AS group_id, "text" FROM m WHERE g IS NOT NULL) GROUP BY ALL)
+  SELECT doc_id, group_id, primary_text, aliases, mentions, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY mentions DESC, length(primary_text) DESC, group_id) AS INTEGER) AS place FROM s JOIN a USING (doc_id, group_id)""",
+    "unique_anchors": f"""SELECT doc_id, left("text", 3) AS alias, min("text") AS anchor FROM ({SQL_MENTIONS}) GROUP BY ALL HAVING count(DISTINCT "text") = 1""",
+    "review_routes": """WITH c AS (SELECT l_suppkey AS p, count(*) FILTER (WHERE l_linenumber % 3 = 1) AS m, count(*) FILTER (WHERE l_linenumber % 3 = 0) AS u FROM lineitem GROUP BY 1),
+  s AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 7 <> 0 THEN s_suppkey % 80 ELSE 0 END AS n FROM supplier)
+  SELECT k AS page_no, 'needs_table_parser' AS route, 80 AS priority, CAST(NULL AS VARCHAR) AS key FROM s WHERE k % 3 = 0 UNION ALL SELECT k, 'needs_anchor_ocr', 70, NULL FROM s WHERE k % 2 = 0 AND n <= 0
+  UNION ALL SELECT k, 'needs_region_ocr', 75, NULL FROM s WHERE k % 2 = 0 AND n BETWEEN 1 AND 39 AND k % 3 <> 0 UNION ALL SELECT k, 'needs_human_mapping_review', 60, NULL FROM s WHERE k % 4 = 0
+  UNION ALL SELECT p, 'text_compare', 40, NULL FROM c WHERE m > 0 UNION ALL SELECT p, 'needs_human_mapping_review', 90, NULL FROM c WHERE u > 0 AND NOT (u < 3 AND m >= 2)
+  UNION ALL SELECT l_suppkey, CASE l_linenumber WHEN 1 THEN 'text_compare' ELSE 'needs_recall_guard_review' END, CASE l_linenumber WHEN 1 THEN 95 WHEN 2 THEN 88 ELSE 82 END, l_orderkey || ':' || l_linenumber FROM lineitem WHERE l_linenumber <= 3""",
+}

@@ -193,3 +193,32 @@ ORACLES = {
    FROM s LEFT JOIN u ON u.doc_id = s.doc_id AND u."start" <= s."start" AND s."end" <= u."end") SELECT doc_id, entity_type, "start", "end", unit_id FROM j WHERE rn = 1""",
     "mention_counts": f"""SELECT entity_type, source, count(*) AS n, count(DISTINCT text) AS surfaces FROM ({SQL_MENTIONS}) GROUP BY ALL""",
 }
+
+
+def _fold_sql(rows: str, fields: str, order: str, prefer: str) -> str:
+    """The greedy fold along each document in SQL: lists of one span each are reduced to the list of those that stay; n is the new
+    span, o the first taken one that it overlaps."""
+    at = "coalesce(list_position(list_transform(acc, lambda t: t.s < x[1].e AND t.e > x[1].s), true), 0)"
+    better = prefer.replace("n.", "x[1].").replace("o.", f"acc[{at}].")
+    return f"""WITH r AS ({rows}), g AS (SELECT doc_id, list({{{fields}}} ORDER BY {order}) AS l FROM r GROUP BY doc_id),
+  f AS (SELECT doc_id, unnest(list_reduce(list_transform(l, lambda x: [x]), lambda acc, x: CASE WHEN {at} = 0 THEN list_concat(acc, x) WHEN {better} THEN list_concat(list_concat(acc[1:{at} - 1], x), acc[{at} + 1:]) ELSE acc END)) AS s FROM g)"""
+
+
+_PLACE = """'s': "start", 'e': "end", 'k': entity_type, 'c': score"""
+ORACLES["span_priority_resolve"] = (
+    _fold_sql(sql_spans(OVERLAPPING), _PLACE + ", 'p': priority", '"start", priority, "end" DESC, score DESC, entity_type, source', "CASE WHEN n.p <> o.p THEN n.p < o.p WHEN n.e - n.s <> o.e - o.s THEN n.e - n.s > o.e - o.s ELSE n.c > o.c END")
+    + """ SELECT doc_id, s.k AS entity_type, s.s AS "start", s.e AS "end" FROM f"""
+)
+_RANK = "CASE entity_type WHEN 'LONG_NUMBER' THEN 7 ELSE 1 END"
+ORACLES["span_source_resolve"] = (
+    _fold_sql(
+        sql_spans(OVERLAPPING), _PLACE + f", 'r': {_RANK}, 'sure': entity_type = 'EMAIL_ADDRESS', 'sp': CASE entity_type WHEN 'EMAIL_ADDRESS' THEN 1 ELSE 99 END", f'{_RANK}, score DESC, "start" - "end", "start", "end", entity_type',
+        "CASE WHEN n.s = o.s AND n.e = o.e THEN CASE WHEN n.sp <> o.sp THEN n.sp < o.sp ELSE n.c > o.c END WHEN n.sure <> o.sure THEN n.sure ELSE n.k = o.k AND n.e - n.s > o.e - o.s AND n.r <= o.r + 2 END",
+    )
+    + """ SELECT doc_id, s.k AS entity_type, s.s AS "start", s.e AS "end", CASE s.r WHEN 7 THEN 'ner' ELSE 'regex' END AS source FROM f"""
+)
+ORACLES["page_groups"] = f"""WITH RECURSIVE p AS MATERIALIZED (SELECT doc_id, page_no, n, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS k FROM (SELECT doc_id, CAST(order_index // 5 AS INTEGER) AS page_no, sum(length("text")) AS n FROM ({SQL_LINES}) GROUP BY ALL)),
+  w AS (SELECT doc_id, k, page_no, 0 AS grp, 1 AS pages, n FROM p WHERE k = 1 UNION ALL
+    SELECT p.doc_id, p.k, p.page_no, CASE WHEN pages < 10 AND w.n + p.n < 20000 THEN grp ELSE grp + 1 END, CASE WHEN pages < 10 AND w.n + p.n < 20000 THEN pages + 1 ELSE 1 END, CASE WHEN pages < 10 AND w.n + p.n < 20000 THEN w.n + p.n ELSE p.n END
+    FROM w JOIN p ON p.doc_id = w.doc_id AND p.k = w.k + 1)
+  SELECT doc_id, page_no, grp AS "group" FROM w"""
