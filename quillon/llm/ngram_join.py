@@ -594,7 +594,8 @@ def join(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> DataFrame:
 
 def deduplicate(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> DataFrame:
     """The rows of docs, with all their columns, of which one of each component stays: that with the smallest doc_id.
-    Rows without words, or without an id, all stay; of rows that repeat an id, the one with the smallest text."""
+    Rows without words, or without an id, all stay; rows that repeat an id are one document, which goes if any of them is a
+    copy of another's, and of which the row with the smallest text stays."""
     linked = stored(join(docs, size, least).where("n_shingles > 0 and doc_id is not null").select("doc_id", "component_id"), "joined", narrow=True)
     drop = linked.where("doc_id <> component_id").select(F.col("doc_id").alias("__doc")).distinct()
     kept = meet(docs, drop, docs["doc_id"].cast("long") == drop["__doc"], "left_anti")
