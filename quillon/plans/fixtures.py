@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import aliases, identifiers, masks, text
 from ..operators import coverage, recognize, resolve, views
+from ..sources import docx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -192,3 +195,37 @@ _register(
     [(0, "PERSON", {}), (1, "DATE", {"subject_ledger_status": "hard_conflict"}), (2, "PERSON", {"rule_first_action": "keep"}), (3, "DATE", {"rule_first_action": "keep"}), (4, "DATE", {"rule_first_action": "review"}), (5, "DATE", {"candidate_types": "PERSON"}), (6, "DATE", {"subject_ledger_status": "final"}), (7, "DATE", None)],
     "id int, entity_type string, metadata map<string,string>", lambda d: d.select("id", views.must_keep(d).alias("kept")), [(0, False), (1, True), (2, True), (3, False), (4, True), (5, True), (6, False), (7, False)], "id int, kept boolean",
 )
+
+
+# --- packages ---
+def _package(**parts: str) -> bytearray:
+    """A DOCX package of parts: paragraphs of runs, which | and / part."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in parts.items():
+            body = "".join("<w:p>" + "".join("<w:r><w:tab/></w:r>" if run == "TAB" else f"<w:r><w:t>{run}</w:t></w:r>" for run in p.split("|")) + "</w:p>" for p in text.split("/"))
+            z.writestr(f"word/{name}.xml", f'<w:x xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main">{body}</w:x>')
+    return bytearray(out.getvalue())
+
+
+EDITS = "array<struct<start:int,end:int,source:string,replacement:string>>"
+_register(
+    "docx_rewrite_rules",
+    [
+        (1, _package(document="甲方：示|例科|技公司/电话138", header1="页眉张三"), [(3, 7, "示例科技", "某某"), (18, 20, "张三", "张某")]),
+        (2, _package(document="甲方|TAB|乙方"), [(0, 2, "甲方", "A"), (1, 4, "方\t乙", "x"), (9, 3, "", "x"), (3, 5, "丙方", "y")]),
+        (3, _package(document="a|TAB|b"), [(0, 3, "a\tb", "x")]), (4, bytearray(b"no zip"), [(0, 1, "n", "x")]), (5, _package(document="甲/乙"), [(0, 3, "甲\n乙", "x")]), (6, _package(document="甲"), None),
+    ],
+    f"doc_id long, content binary, edits {EDITS}", lambda d: d.select("doc_id", docx.rewritten(F.col("content"), F.col("edits")).alias("x")).select("doc_id", "x.done", F.array_join("x.failed", ",").alias("failed"), "x.text"),
+    [(1, 2, "", "甲方：某某公司\n电话138\n页眉张某"), (2, 1, "1:range_overlap,3:source_range_mismatch,9:invalid_range", "A\t乙方"), (3, 0, "0:unrewritable", "a\tb"), (4, 0, "damaged_package", ""), (5, 0, "0:not_in_one_unit", "甲\n乙"), (6, 0, "", "甲")],
+    "doc_id long, done int, failed string, text string",
+)
+_register(
+    "docx_string_rules", [(1, _package(document="示例|公司与示例/示例公司")), (2, _package(document="无", footer1="示例"))], "doc_id long, content binary",
+    lambda d: d.select("doc_id", docx.replaced_strings(F.col("content"), [("示例", "示例某"), ("示例公司", "甲")]).alias("x")).select("doc_id", "x.done", "x.text"),
+    [(1, 3, "甲与示例某\n甲"), (2, 1, "无\n示例某")], "doc_id long, done int, text string",
+)
+_register(
+    "docx_coverage_rules", [(1, _package(document="甲 方", extra="乙", styles="")), (2, bytearray(b"x"))], "doc_id long, content binary",
+    lambda d: d.select("doc_id", F.inline(docx.coverage(F.col("content")))), [(1, "word/document.xml", 2, 2), (1, "word/extra.xml", 1, 1)], "doc_id long, part string, visible int, covered int",
+)

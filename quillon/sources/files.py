@@ -73,16 +73,24 @@ def _paragraph(node: ElementTree.Element) -> tuple[str, int]:
 PARTS = (("word/document.xml", "body"), ("word/header", "header"), ("word/footer", "footer"), ("word/footnotes.xml", "footnote"), ("word/endnotes.xml", "endnote"), ("word/comments.xml", "comment"))
 
 
+def story_of(name: str, data: bytes) -> str | None:
+    """The story of a part of a package: by its name, or xml_text for another one that shows text; None for parts that show none."""
+    if not name.startswith("word/") or not name.endswith(".xml"):
+        return None
+    return next((s for prefix, s in PARTS if name.startswith(prefix)), "xml_text" if re.search(rb"<(?:\w+:)?t[ >]", data) else None)
+
+
 def docx_units(path: str, content: bytes) -> Iterator[dict]:
     """Units of visible text of a DOCX package: paragraphs and table cells of the body, headers, footers, notes, comments."""
     with zipfile.ZipFile(io.BytesIO(content)) as package:
         order, tables, page = 0, 0, 1
         names = sorted(package.namelist(), key=lambda n: (n != "word/document.xml", n))
         for name in names:
-            story = next((s for prefix, s in PARTS if name.startswith(prefix) and name.endswith(".xml")), None)
+            data = package.read(name)
+            story = story_of(name, data)
             if story is None:
                 continue
-            root = ElementTree.fromstring(package.read(name))  # noqa: S314
+            root = ElementTree.fromstring(data)  # noqa: S314
             in_cell: dict[ElementTree.Element, tuple[int, int, int]] = {}
             for table in root.iter(f"{W}tbl"):
                 for r, row in enumerate(table.findall(f"{W}tr")):
@@ -123,6 +131,22 @@ def read_docx(spark: SparkSession, folder: str) -> DataFrame:
     return scan(spark, folder).where("extension = 'docx'").select("path", "content").mapInPandas(run, UNIT_SCHEMA)
 
 
+def damaged_docx(spark: SparkSession, folder: str) -> DataFrame:
+    """path and reason of the DOCX files of a folder that can't be read, which read_docx has no units of."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    list(docx_units(path, bytes(content)))
+                except (zipfile.BadZipFile, ElementTree.ParseError) as e:
+                    rows.append((path, type(e).__name__))
+            yield pd.DataFrame(rows, columns=["path", "reason"])
+
+    return scan(spark, folder).where("extension = 'docx'").select("path", "content").mapInPandas(run, "path string, reason string")
+
+
 def parse_with(spark: SparkSession, folder: str, extension: str, parse: object, schema: str) -> DataFrame:
     """Files of an extension by a parser of your own (path, bytes) -> rows: PDF text layers, OCR and the like plug in here."""
 

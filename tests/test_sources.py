@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import recognize, resolve
-from quillon.sources import files, sinks
+from quillon.sources import docx, files, sinks
 from quillon.streaming import masking
 
 NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -46,6 +46,23 @@ def test_docx(spark, tmp_path):
     ]
 
 
+def test_damaged_packages_are_told(spark, tmp_path):
+    (tmp_path / "bad.docx").write_bytes(b"no zip")
+    (tmp_path / "torn.docx").write_bytes(package("<w:p>"))
+    (tmp_path / "good.docx").write_bytes(package(p("x")))
+    got = {r.path.rpartition("/")[2]: r.reason for r in files.damaged_docx(spark, str(tmp_path)).collect()}
+    assert got == {"bad.docx": "BadZipFile", "torn.docx": "ParseError"}
+
+
+def test_rewritten_package_keeps_its_other_parts():
+    content = package(p("甲") + p("张三和李四"), p("head"))
+    new, done, failed, text = docx.rewrite_package(content, [(2, 4, "张三", "X")])
+    assert (done, failed, text) == (1, [], "甲\nX和李四\nhead")
+    with zipfile.ZipFile(io.BytesIO(new)) as a, zipfile.ZipFile(io.BytesIO(content)) as b:
+        assert a.namelist() == b.namelist() and a.read("word/header1.xml") == b.read("word/header1.xml")
+    assert docx.shares(5, [1, 1, 2]) == [1, 1, 3] and docx.shares(1, [3, 3]) == [1, 0] and docx.shares(0, [2]) == [0]
+
+
 def test_rules_file(spark, tmp_path):
     (tmp_path / "rules.json").write_text(json.dumps({"patterns": [{"name": "T", "regex": "T[0-9]"}], "keywords": {"product": {"keywords": ["Alpha", " "], "score": 0.95}}}))
     patterns, words = files.read_rules(spark, str(tmp_path / "rules.json"))
