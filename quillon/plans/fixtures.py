@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import aliases, identifiers, masks, text
-from ..operators import coverage, recognize, resolve, views
+from ..operators import align, coverage, evaluate, recognize, resolve, units, views
 from ..sources import docx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -229,3 +229,37 @@ _register(
     "docx_coverage_rules", [(1, _package(document="甲 方", extra="乙", styles="")), (2, bytearray(b"x"))], "doc_id long, content binary",
     lambda d: d.select("doc_id", F.inline(docx.coverage(F.col("content")))), [(1, "word/document.xml", 2, 2), (1, "word/extra.xml", 1, 1)], "doc_id long, part string, visible int, covered int",
 )
+
+# --- alignment, evaluation, segments ---
+_register(
+    "align_score_rules",
+    [(0, "ab", "ab", 0, 0, 5), (1, "abcd", "abxd", 1, 0, 5), (2, "aaaa", "bbbb", 2, 1, 5), (3, "abcd", "ab", 0, 0, 5), (4, "abcd", "ab", 0, 0, 1), (5, "aaaa", "bbbb", 9, 0, 5), (6, "aaaa", "bbbb", 9, 5, 5), (7, "aaaa", "bbbb", 9, 5, -1), (8, "", "b", 0, 0, 5)],
+    "id int, a string, b string, shared int, hard int, apart int", lambda d: d.select("id", align.score(F.col("a"), F.col("b"), F.col("shared"), F.col("hard"), F.col("apart")).alias("score")),
+    [(0, 1.0), (1, 0.75), (2, 0.79), (3, 0.5), (4, 0.53), (5, 0.98), (6, 0.99), (7, 1.0), (8, 0.0)], "id int, score double",
+)
+
+
+def _walk(pairs: list[tuple]) -> list[tuple]:
+    """The plain greedy walk over all pairs by falling score, then ids."""
+    left, right, out = set(), set(), []
+    for a, b, score in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
+        if a not in left and b not in right:
+            left.add(a)
+            right.add(b)
+            out.append((a, b, score, "matched" if score >= align.MATCHED else "mapping_uncertain"))
+    return out
+
+
+CHAIN = [(f"p{i:02d}", f"q{i:02d}", round(0.99 - 0.02 * i, 2)) for i in range(12)] + [(f"p{i + 1:02d}", f"q{i:02d}", round(0.98 - 0.02 * i, 2)) for i in range(12)]
+LINKS = [("a1", "b1", 0.9), ("a1", "b2", 0.95), ("a2", "b1", 0.8), ("a2", "b2", 0.94), ("a3", "b3", 0.5), ("a3", "b1", 0.5), *[(f"c{i}", f"d{j}", 0.9) for i in range(3) for j in range(2)], *CHAIN]
+_register("greedy_link_rules", LINKS, "left_id string, right_id string, score double", align.assign, _walk(LINKS), "left_id string, right_id string, score double, status string")
+ENTITY = "id string, doc_id long, entity_type string, text string, start int, end int"
+_register(
+    "entity_outcome_rules", [("e1", 1, "PERSON", "张三", 0, 2), ("e2", 1, "ORGANIZATION", "示例公司", 5, 9), ("e3", 1, "LOCATION", "北京", 12, 14), ("e4", 1, "PERSON", "李四", 30, 32), ("e5", 1, "PERSON", "王五", 40, 42), ("e6", 2, "PERSON", "张三", 0, 2)], ENTITY,
+    lambda d: evaluate.entity_outcomes(d, d.sparkSession.createDataFrame([("a1", 1, "PERSON", "张三", 0, 2), ("a2", 1, "PERSON", "示例公司", 5, 9), ("a3", 1, "ORGANIZATION", "北京", 20, 22), ("a4", 1, "PERSON", "四某", 31, 33), ("a5", 1, "DATE", "2024", 50, 54)], ENTITY)),
+    [("e1", "a1", "exact"), ("e2", "a2", "type_error"), ("e3", "a3", "type_error"), ("e4", "a4", "boundary_error"), ("e5", None, "missed"), ("e6", None, "missed"), (None, "a5", "false_positive")], "e_id string, a_id string, outcome string",
+)
+_register(
+    "soft_segment_rules", [(1, "a", 100, "甲甲甲甲甲，乙乙乙乙乙乙"), (1, "b", 0, "甲" * 10), (1, "c", 7, "甲甲")], "doc_id long, unit_id string, start int, text string",
+    lambda d: units.soft_segments(d, 8, 2).select("unit_id", "segment", "start", "end"), [("a", 0, 100, 106), ("a", 1, 106, 112), ("b", 0, 0, 8), ("b", 1, 6, 10), ("c", 0, 7, 9)], "unit_id string, segment int, start int, end int",
+)

@@ -225,3 +225,8 @@ ORACLES = {
     "public_families": f"""SELECT entity_type, CASE entity_type WHEN 'ALIAS' THEN 'ORGANIZATION' ELSE entity_type END AS family, count(*) AS n FROM ({SQL_MENTIONS}) GROUP BY ALL""",
     "grouped_spans": f"""WITH s AS ({sql_spans()}) SELECT doc_id, entity_type, "start" // 2000 AS "group", "start", "end", CAST("start" % 2000 AS INTEGER) AS local_start FROM s WHERE "start" // 2000 = ("end" - 1) // 2000""",
 }
+
+ORACLES["replacement_renumbered"] = f"""WITH {GROUPS}, n AS (SELECT doc_id, group_id AS subject_id, first_start, scope, CAST(row_number() OVER (PARTITION BY doc_id, scope, first_start // 1000 ORDER BY first_start, group_id) AS INTEGER) AS k FROM g),
+  m AS (SELECT *, row_number() OVER (PARTITION BY doc_id, scope, k ORDER BY first_start, subject_id) = 1 AS keeps FROM n), u AS (SELECT doc_id, scope, list(k) AS used FROM m WHERE keeps GROUP BY ALL),
+  o AS (SELECT m.doc_id, subject_id, m.scope, used, row_number() OVER (PARTITION BY m.doc_id, m.scope ORDER BY first_start, subject_id) AS i, count(*) OVER (PARTITION BY m.doc_id, m.scope) AS c FROM m JOIN u ON u.doc_id = m.doc_id AND u.scope = m.scope WHERE NOT keeps)
+  SELECT doc_id, subject_id, scope || k AS replacement FROM m WHERE keeps UNION ALL SELECT doc_id, subject_id, scope || list_filter(generate_series(1, len(used) + c + list_max(used)), lambda x: NOT list_contains(used, x))[i] FROM o"""
