@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +26,11 @@ def session(master: str | None = None, name: str = "quillon", **conf: str) -> Sp
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint, in the cluster's shared folder; an own one where none is set."""
+    """df with its lineage cut by a reliable checkpoint, in the cluster's shared folder. Where none is set, local mode makes an
+    own one, and a cluster, whose executors would not see it, is refused."""
     context = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
     return df.checkpoint()
