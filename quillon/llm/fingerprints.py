@@ -2,10 +2,11 @@
 
 A K-mer of code points is chosen if its smallest inner S-mer, by hash, is its first or last: a choice that depends on
 nothing around it, so equal passages have equal anchors wherever they stand. A fingerprint holds every anchor with its
-place in the text, by hash and place (the same K-mer again is an anchor again). Matching is positional: anchors of two
-fingerprints match by hash, the first of a hash with the first, their places say by how far they moved, and a match counts
-if others moved as far (at least RUN together, or as many as the smaller fingerprint has). One K serves every length: signs
-before the text make K-mers of its beginning, and its first HEAD code points are an anchor, too.
+place in the text, in six characters and by place: its hash, and how far it stands behind the anchor before it (the same
+K-mer again is an anchor again). Matching is positional: anchors of two fingerprints match by hash, the first of a hash with
+the first, their places say by how far they moved, and a match counts if others moved as far (at least RUN together, or as
+many as the smaller fingerprint has). One K serves every length: signs before the text make K-mers of its beginning, and its
+first HEAD code points are an anchor, too.
 
 Defined cases: a null or empty text has an empty fingerprint; a text of at most HEAD code points is one anchor; two empty
 fingerprints have likeness 1, an empty and another one 0; documents are in ascending doc_id order, null ids first, ties by
@@ -31,9 +32,17 @@ K = 2 * S
 #: Before a text stand signs that no text holds, so that its first K-mer ends HEAD + 1 code points in: short texts have anchors, too.
 HEAD = 3
 BEFORE = np.arange(0x110000, 0x110000 + K - 1 - HEAD, dtype=np.uint64)
-#: Hexadecimal digits of an anchor's hash and of its place, which so holds any place that a text has.
-HASH_DIGITS, PLACE_DIGITS = 8, 8
-ANCHOR = HASH_DIGITS + PLACE_DIGITS
+#: Bits of an anchor's hash; and those that say how far it stands behind the anchor before it. Of any S + 1 K-mers in a row
+#: one is an anchor, wherever the least S-mer of theirs stands, so that no gap of a text is wider than S + 1. For any other
+#: gap, an entry of the gap JUMP has a place instead of a hash: that of the anchor after it.
+HASH_BITS, GAP_BITS = 32, 4
+JUMP = (1 << GAP_BITS) - 1
+#: Characters of an anchor: 6 bits each.
+ANCHOR = (HASH_BITS + GAP_BITS) // 6
+DIGITS = np.frombuffer(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-_", dtype=np.uint8)
+VALUES = np.zeros(256, dtype=np.uint64)
+VALUES[DIGITS] = np.arange(64, dtype=np.uint64)
+SHIFTS = np.arange(6 * (ANCHOR - 1), -1, -6, dtype=np.uint64)
 #: So many matches that moved equally far make a run.
 RUN = 2
 #: Characters of fingerprints that go back to the JVM at once.
@@ -68,7 +77,7 @@ def _syncmers(points: np.ndarray, s: int = S) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchors(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, in order, and places of the anchors of a text."""
+    """Hashes and places, in order, of the anchors of a text."""
     if not text:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
     digest = hashlib.blake2b(text[:HEAD].encode("utf-8", "surrogatepass"), digest_size=8).digest()
@@ -76,18 +85,29 @@ def _anchors(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     if len(text) > HEAD:
         more, at = _syncmers(np.concatenate([BEFORE, _points(text)]))
         hashes, places = np.concatenate([hashes, more]), np.concatenate([places, np.maximum(at - len(BEFORE), 0)])
-    hashes = hashes >> np.uint64(64 - 4 * HASH_DIGITS)
-    order = np.argsort(hashes, kind="stable")
-    return hashes[order], places[order].astype(np.uint64)
+    return hashes >> np.uint64(64 - HASH_BITS), places.astype(np.uint64)
 
 
 def _pack(hashes: np.ndarray, places: np.ndarray) -> str:
-    return ((hashes << np.uint64(4 * PLACE_DIGITS)) | places).astype(">u8").tobytes().hex()
+    gaps = np.diff(places.astype(np.int64), prepend=0)
+    far = np.flatnonzero((gaps < 0) | (gaps >= JUMP))
+    if len(far):
+        gaps[far] = 0
+        gaps, hashes = np.insert(gaps, far, JUMP), np.insert(hashes, far, places[far])
+    packed = (gaps.astype(np.uint64) << np.uint64(HASH_BITS)) | hashes
+    return DIGITS[(packed[:, None] >> SHIFTS) & np.uint64(63)].tobytes().decode("ascii")
 
 
 def _unpack(print_: str) -> tuple[np.ndarray, np.ndarray]:
-    packed = np.frombuffer(bytes.fromhex(print_), dtype=">u8").astype(np.uint64)
-    return packed >> np.uint64(4 * PLACE_DIGITS), packed & np.uint64((1 << 4 * PLACE_DIGITS) - 1)
+    digits = VALUES[np.frombuffer(print_.encode("ascii"), dtype=np.uint8)].reshape(-1, ANCHOR)
+    packed = np.bitwise_or.reduce(digits << SHIFTS, axis=1)
+    values, gaps = packed & np.uint64((1 << HASH_BITS) - 1), (packed >> np.uint64(HASH_BITS)).astype(np.int64)
+    jumps = gaps == JUMP
+    places = np.cumsum(np.where(jumps, 0, gaps))
+    if jumps.any():
+        last = np.maximum.accumulate(np.where(jumps, np.arange(len(gaps)), -1))
+        places += np.where(last < 0, 0, values[last].astype(np.int64) - places[last])
+    return values[~jumps], places[~jumps].astype(np.uint64)
 
 
 def _numbered(hashes: np.ndarray) -> np.ndarray:
@@ -117,7 +137,8 @@ def _alike(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray
 
 
 def _matchable(hashes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return _numbered(hashes), places
+    order = np.argsort(hashes, kind="stable")
+    return _numbered(hashes[order]), places[order]
 
 
 def likeness(a: str, b: str) -> float:
@@ -165,7 +186,8 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     lent = rows.join(F.broadcast(heads), rows["doc_id"].eqNullSafe(heads["__first"])).groupBy("__part", "__first").agg(F.min("text").alias("text"))
     own = dealt.select("part", F.lit(False).alias("lent"), "doc_id", "text")
     union = own.unionByName(lent.select(F.col("__part").alias("part"), F.lit(True).alias("lent"), F.col("__first").alias("doc_id"), "text"))
-    placed = union.repartition(n, "part").sortWithinPartitions("part", "lent", "doc_id", "text")
+    # a range is a partition: by a hash of its number, several would meet in one and others stay empty
+    placed = union.repartitionById(n, "part").sortWithinPartitions("part", "lent", "doc_id", "text")
 
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 

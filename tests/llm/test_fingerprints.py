@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quillon.llm import fingerprints as fp
 
@@ -112,3 +113,22 @@ def test_matches_by_chance_do_not_count():
     assert fp.likeness(a, b) == 0 and fp.likeness(a, a) == 1
     moved = fp._pack(np.array([5, 9], dtype=np.uint64), np.array([300, 340], dtype=np.uint64))
     assert fp.likeness(a, moved) == 1 and fp.shift(a, moved) == (300, 2)
+
+
+def test_anchors_and_places_in_six_characters():
+    """All anchors of a text come back from its fingerprint, at six characters each: places stand close together."""
+    rng = random.Random(8)
+    for text in ("", "a", "abcd", "ab" * 500, "a" * 3000, "😀é" * 300, "".join(rng.choice("abcdefgh ijklmnop") for _ in range(20_000))):
+        hashes, places = fp._anchors(text)
+        print_ = fp.fingerprint(text)
+        assert len(print_) == 6 * len(hashes)
+        assert all((a == b).all() and len(a) == len(b) for a, b in zip(fp._unpack(print_), (hashes, places), strict=True))
+    odd = np.array([3, 2**32 - 1, 0, 7, 9], dtype=np.uint64), np.array([2**32 - 1, 5, 5, 40, 0], dtype=np.uint64)
+    assert all((a == b).all() for a, b in zip(fp._unpack(fp._pack(*odd)), odd, strict=True))
+
+
+def test_each_range_in_its_own_partition(spark):
+    """Ranges are dealt evenly: none shares a partition with another while partitions stay empty."""
+    d = docs(spark, *(f"text of document {i}" for i in range(400)))
+    sizes = [r[0] for r in fp.compare_neighbours(d).groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < 2 * min(sizes)
