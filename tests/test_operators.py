@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import align, coverage, evaluate, gate, identity, recognize, report, resolve, units
+from quillon.plans.common import RULES
 
 CONTRACT = (
     "甲方：北京示例科技有限公司（以下简称“示例科技”）\n统一社会信用代码：91350100M000100Y43\n联系人：张三  联系电话：138-1234-5678\n"
@@ -143,6 +144,16 @@ def test_coverage_chain(spark):
     assert status["bank_account_block"] == "satisfied_by_rule" and status["party_block"] == "uncovered"
 
 
+def test_ledger_blocks_overlaps(spark):
+    """A card number within a secret: neither can be rewritten by its exact range, as in the reference."""
+    text = "key " + "a" * 4 + "1234567890123456" + "b" * 20 + " and a@b.org"
+    u = units.lines(docs(spark, text)).withColumn("rewritable", F.lit(True))
+    found = resolve.containing(recognize.recognize(docs(spark, text), RULES), u).withColumn("replacement", F.concat(F.lit("R"), "entity_type"))
+    entries = coverage.rewrite_ledger(found, u)
+    assert {(r.entity_type, r.status, r.failure_reason) for r in entries.collect()} == {("SECRET", "failed", "range_overlap"), ("BANK_CARD", "failed", "range_overlap"), ("EMAIL_ADDRESS", "ready", None)}
+    assert tuple(coverage.export_ready(entries).first()) == (1, 2, 0, 0, False)
+
+
 def test_renumbering_uses_free_numbers(spark):
     rows = [(1, "a", 1, "公司1"), (1, "b", 2, "公司1"), (1, "c", 3, "公司3"), (1, "d", 4, "公司3"), (2, "e", 1, "公司1")]
     got = {r.subject_id: r.replacement for r in identity.renumbered(spark.createDataFrame(rows, "doc_id long, subject_id string, first_start int, replacement string")).collect()}
