@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quillon.functions.text import anchors
 from quillon.operators import align, coverage, evaluate, gate, identity, recognize, report, resolve, units
 from quillon.plans.common import RULES
 
@@ -135,6 +136,29 @@ def test_assignment_takes_all_copies(spark):
     assert {tuple(r)[:3] for r in got.collect()} == want and len(want) > 70
 
 
+def test_links_are_those_of_all_candidates(spark):
+    """Copies, ties, white space, ids of several texts and null ids: the links of the walk over all pairs of units."""
+    rng = random.Random(5)
+    starts, ends = ["Lorem ipsum dolor", "Tempor incididunt ut", "Lorem ipsum color"], ["labore et dolore.", "magna aliqua enim.", "quis nostrud exer 123456"]
+
+    def side(name, n):
+        rows = [(f"{name}{i}", f"{rng.choice(starts)} {' ' * rng.randrange(2)}{rng.choice(['sit amet', 'sed do', 'elit x', ''])} {rng.choice(ends)}") for i in range(n)]
+        rows += [(f"{name}{i}", "a different text 654321 of one id") for i in range(3)] + [(None, rows[0][1]), (f"{name}x", "short"), (f"{name}y", None)]
+        return spark.createDataFrame(rows, "unit_id string, text string")
+
+    a, b, by = side("l", 60), side("r", 45), anchors(F.col("text"))
+    want, got = align.assign(align.candidates(a, b, by)).drop("shared"), align.links(a, b, by)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 40
+    assert align.links(a.where("false"), b, by).count() == 0
+
+
+def test_copies_are_compared_once(spark):
+    """A line that stands 4,000 times on either side makes no 16,000,000 pairs."""
+    a, b = (spark.range(4000).select(F.format_string(f"{x}%04d", "id").alias("unit_id"), F.lit("the same footer on every page").alias("text")) for x in "lr")
+    got = align.links(a, b, anchors(F.col("text"))).collect()
+    assert {tuple(r) for r in got} == {(f"l{i:04}", f"r{i:04}", 1.0, "matched") for i in range(4000)} and len(got) == 4000
+
+
 def test_coverage_chain(spark):
     u = units.lines(docs(spark, CONTRACT)).withColumn("container_type", F.lit("body")).withColumn("rewritable", F.lit(True))
     plan = {r.category for r in coverage.obligations(u).collect()}
