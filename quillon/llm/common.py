@@ -97,6 +97,13 @@ def give_back() -> None:
         libc.malloc_trim(0)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Collect the garbage of the executors' JVMs, a task for each core. A heap that has grown while much was sorted stays
+    that large beside what follows, whether needed or not; a whole collection returns what is free to the system."""
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).selectExpr("reflect('java.lang.System', 'gc')").collect()
+
+
 def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, for mapInArrow, that gives memory back when its task ends."""
 

@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import give_back, giving_back, stored
 
 WINDOW = 10
 #: Items are searched for in blocks of about this many bytes of text, one after another: what the driver holds and
@@ -100,7 +100,7 @@ def _scan(docs: DataFrame, shared: Broadcast, size: int) -> DataFrame:
             schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()), ("spans", span), ("items", pa.list_(pa.string()))])
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return docs.mapInArrow(run, HITS)
+    return docs.mapInArrow(giving_back(run), HITS)
 
 
 def _merged(spans: Column) -> Column:
@@ -194,6 +194,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
         search = WuManber(shared.value)
         for texts in parts:
             yield pd.Series([not search.search(search_words(t))[0] for t in texts], dtype=bool)
+        del search
+        give_back()
 
     return docs.where(untouched(docs["text"].cast("string")))
 

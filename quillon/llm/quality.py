@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import giving_back, stored
+from .common import give_back, giving_back, meet, stored
 
 FOLDS, HELD_OUT = 3, 1
 #: Share of a class covariance that its diagonal replaces, and the least variance, in units of the transformed statistics.
@@ -88,9 +88,13 @@ def featured(docs: DataFrame) -> DataFrame:
 
 
 def train(features: DataFrame, labels: DataFrame) -> Model:
-    """Learn from the labels of rows that aren't held out. Moments meet on the driver: one number each, whatever the input."""
+    """Learn from the labels of rows that aren't held out. Moments meet on the driver: one number each, whatever the input.
+
+    Statistics go to their labels through a shuffle, even to few labels: in one stage with the sums they would take a second
+    Python worker for each core, and workers stay in memory beside all that follows.
+    """
     own = labels.select(F.col("doc_id").cast("long").alias("__doc"), F.col("quality").cast("int").alias("label")).where("label in (0, 1)")
-    known = features.where(~F.col("held_out")).join(own, F.col("doc_id") == F.col("__doc")).select("label", "x")
+    known = meet(features.where(~F.col("held_out")), own, F.col("doc_id") == F.col("__doc")).select("label", "x")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 + N + N * N))
@@ -141,8 +145,10 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(featured(docs), labels)
 
     @F.pandas_udf("boolean")
-    def good(texts: pd.Series) -> pd.Series:
-        x = np.array([statistics(t) for t in texts]).reshape(-1, N)
-        return pd.Series(model.score(x) >= 0.5, dtype=bool)
+    def good(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            x = np.array([statistics(t) for t in texts]).reshape(-1, N)
+            yield pd.Series(model.score(x) >= 0.5, dtype=bool)
+        give_back()
 
     return docs.where(good(docs["text"].cast("string")))

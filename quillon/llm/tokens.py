@@ -34,6 +34,8 @@ END_ID = 2
 BLOCK_IDS = 1 << 16
 #: Pieces of text whose ids a worker remembers.
 CACHE = 1_000_000
+#: Texts that a worker encodes at once: arrays of all their bytes and pieces are made, many times the texts themselves.
+AT_ONCE = 125
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -279,8 +281,8 @@ def write(docs: DataFrame, path: str, tokenizer: Callable[[], Callable[[list[str
 
         def each() -> Iterator[tuple[int | None, np.ndarray]]:
             for batch in batches:
-                for at in range(0, batch.num_rows, 500):
-                    part = batch.slice(at, 500)
+                for at in range(0, batch.num_rows, AT_ONCE):
+                    part = batch.slice(at, AT_ONCE)
                     for doc, ids in zip(part.column(0).to_pylist(), to_ids(part.column(1).to_pylist()), strict=True):
                         yield doc, np.append(ids, np.uint32(end_id))
 

@@ -49,3 +49,18 @@ def test_odd_rows(spark, tmp_path):
 def test_empty_tables(spark, tmp_path):
     path = tables(spark, tmp_path / "empty", [], [], [])
     assert [d.count() for d in stages(spark, path)] == [0] * 5
+
+
+def test_stages_begin_without_garbage(spark, tmp_path):
+    """Each stage has the JVMs of the executors, here the driver's, collect what the stages before it have left."""
+    path = tables(spark, tmp_path / "small", [(1, "a b c", "en", "a", 0)], [], [])
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+
+    def collections():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    for _, stage in corpus_pipeline.STAGES:
+        before = collections()
+        stage(spark, docs, path)
+        assert collections() > before

@@ -71,3 +71,22 @@ def test_against_plain_densities(spark):
     want = 1 / (1 + np.exp(-np.clip((log[1] - log[0]) / quality.TEMPER, -500, 500)))
     assert all(abs(got[i] - want[i]) < 1e-6 for i in range(len(texts)))
     assert quality.keep(docs(spark), labels).count() == 0
+
+
+def test_one_python_node_a_stage(spark, tmp_path, monkeypatch):
+    """However few the labels, the statistics and their sums are apart by a shuffle: a task needs one Python worker."""
+    rows = docs(spark, *[f"word {i} and more of it" * (1 + i % 4) for i in range(40)])
+    spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels")
+    labels = spark.read.parquet(f"{tmp_path}/labels")  # a table that Spark knows to be small
+    plans, collect = [], type(rows).collect
+
+    def collected(self):
+        out = collect(self)
+        plans.append(self._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0])
+        return out
+
+    with monkeypatch.context() as m:
+        m.setattr(type(rows), "collect", collected)
+        quality.keep(rows, labels)
+    between = [p.split("MapInArrow") for p in plans if p.count("MapInArrow") == 2]
+    assert between and all("Exchange" in middle for _, middle, _ in between)

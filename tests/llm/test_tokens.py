@@ -43,3 +43,18 @@ def test_round_trip(spark):
     assert sorted(tuple(r) for r in tokens.round_trip(d).collect()) == sorted(want)
     assert tokens.round_trip(empty(spark)).count() == 0
     assert tuple(tokens.round_trip(spark.createDataFrame([(None, "")], "doc_id long, text string")).first())[:3] == (None, 0, 1)
+
+
+def test_few_texts_at_once(spark, tmp_path):
+    """A worker's arrays are of few texts, however many a batch has."""
+
+    def encoder():
+        def ids(texts):
+            assert len(texts) <= 125
+            return [np.array([7], dtype=np.uint32) for _ in texts]
+
+        return ids
+
+    many = docs(spark, *["a text"] * 1200)
+    tokens.write(many, f"{tmp_path}/ids", tokenizer=encoder)
+    assert tokens.read(spark, f"{tmp_path}/ids").where("n_tokens = 2").count() == 1200
