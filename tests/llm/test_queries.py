@@ -15,7 +15,7 @@ def plain(value):
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     found = con.execute(registry.ORACLES[name])
     columns = [c[0] for c in found.description]
@@ -25,7 +25,7 @@ def test_oracle(spark, name):
 
 
 def test_one_query_each():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == [*range(1, 11), 12]
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == [*range(1, 13)]
 
 
 def test_pipeline(spark):
