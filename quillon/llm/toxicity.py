@@ -157,7 +157,7 @@ def moment_root(weights: np.ndarray, shares: np.ndarray) -> float:
 
 def weigh(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn the words' weights. Only words of the model, whose number is bounded, come to the driver."""
-    counts = stored(word_counts(docs, labels), "word-counts", narrow=True)
+    counts = stored(word_counts(docs, labels), "word-counts")
     of_all = counts.where(F.length("word") == 0).agg(F.sum("toxic"), F.sum("clean"), F.sum("occurrences")).first()
     toxic, clean, occurrences = (int(x or 0) for x in of_all)
     if not toxic or not clean:
