@@ -6,6 +6,8 @@ results do not depend on partitioning.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,11 +141,38 @@ def rewrite(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def containing(spans: DataFrame, units: DataFrame) -> DataFrame:
-    """Each span with the smallest unit that holds it (then the smallest unit_id), or none. An interval join per document."""
-    u = units.select(F.col("doc_id").alias("__doc"), "unit_id", F.col("start").alias("u_start"), F.col("end").alias("u_end"))
-    held = (F.col("doc_id") == F.col("__doc")) & (F.col("u_start") <= F.col("start")) & (F.col("end") <= F.col("u_end"))
+    """Each span with the smallest unit that holds it (then the smallest unit_id), or none.
+
+    Units stand in buckets of the power of two below their length, two or three each; a span looks into one bucket of each
+    size that can hold it. So only units near it are compared, however many a document has, and whatever their nesting.
+    """
+    level = lambda n: F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("int")
+    at = lambda x, k: F.shiftright(x.cast("long"), k)
+    sized = units.where("end >= start").select(F.col("doc_id").alias("__doc"), "unit_id", F.col("start").alias("u_start"), F.col("end").alias("u_end"), level(F.col("end") - F.col("start")).alias("__k"))
+    buckets = F.expr("sequence(shiftright(CAST(u_start AS BIGINT), __k), shiftright(CAST(u_end AS BIGINT), __k))")
+    placed = sized.select("*", F.explode(buckets).alias("__b"))
     keys = [c for c in spans.columns]
-    joined = spans.join(u, held, "left")
-    return joined.groupBy(*keys).agg(F.min_by("unit_id", F.struct(F.col("u_end") - F.col("u_start"), F.col("unit_id"))).alias("unit_id"))
+    used = sized.groupBy("__doc").agg(F.max("__k").alias("__most"))
+    levels = F.expr("filter(sequence(0, __most), k -> shiftleft(2L, k) > end - start)")
+    looking = spans.join(used, F.col("doc_id") == F.col("__doc"), "left").select(*keys, F.explode_outer(levels).alias("__level"))
+    looking = looking.withColumn("__at", F.expr("shiftright(CAST(start AS BIGINT), __level)"))
+    near = (F.col("doc_id") == F.col("__doc")) & (F.col("__level") == F.col("__k")) & (F.col("__at") == F.col("__b"))
+    held = looking.join(placed, near & (F.col("u_start") <= F.col("start")) & (F.col("end") <= F.col("u_end")), "left")
+    size = F.when(F.col("unit_id").isNotNull(), F.struct(F.col("u_end") - F.col("u_start"), F.col("unit_id")))
+    return held.groupBy(*keys).agg(F.min_by("unit_id", size).alias("unit_id"))
 
 
+def outside(units: DataFrame, spans: DataFrame) -> DataFrame:
+    """Units (doc_id, unit_id, start, end) that no span overlaps: an interval anti-join.
+
+    Starts and ends of both are swept in order of place: a unit is met if a span that began before its end ends after its
+    start, so the furthest end of spans that begin before the unit's end decides. One sort per document, no pairs.
+    """
+    ends = units.select("doc_id", F.col("end").alias("__at"), F.lit(1).alias("__side"), *[F.col(c).alias(f"__u_{c}") for c in units.columns], F.lit(None).cast("int").alias("__to"))
+    nothing = [F.lit(None).cast(t).alias(f"__u_{n}") for n, t in units.dtypes]
+    begins = spans.where("end > start").select("doc_id", F.col("start").alias("__at"), F.lit(2).alias("__side"), *nothing, F.col("end").cast("int").alias("__to"))
+    # at one place ends come before beginnings: a span that begins where a unit ends doesn't touch it
+    order = Window.partitionBy("doc_id").orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, -1)
+    swept = ends.unionByName(begins).withColumn("__furthest", F.max("__to").over(order)).where("__side = 1")
+    free = F.col("__furthest").isNull() | (F.col("__furthest") <= F.col("__u_start"))
+    return swept.where(free).select(*[F.col(f"__u_{c}").alias(c) for c in units.columns])
