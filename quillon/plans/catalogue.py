@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import audit, fixtures, ledgers, repairs, scalars, spans, subjects
+from . import audit, fixtures, ledgers, repairs, scalars, spans, subjects, unions
 
-MODULES = [spans, scalars, subjects, audit, ledgers, repairs, fixtures]
+MODULES = [spans, scalars, subjects, audit, ledgers, repairs, unions, fixtures]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
