@@ -1,7 +1,7 @@
 """Mixing sources to target weights, with a multivariate-hypergeometric splitting tree over output shards.
 
 Each source's documents are dealt by hash into blocks. A source takes so many whole passes over its blocks, then blocks
-in permuted order as far as its target reaches, and of the block at that edge the documents that bring it nearest. The
+in permuted order as far as its target reaches, and of the block at that edge those documents, the longest first, that bring it nearest. The
 exact numbers of block draws are the source's quota; a binary tree over the output shards splits the quotas of all
 sources at once, each split a draw without replacement (a multivariate hypergeometric), so that every shard has its exact
 size and a random composition. Shards take disjoint runs of each source's permuted draws and shuffle them locally.
@@ -24,6 +24,17 @@ MOST = 3
 BLOCK_DOCS = 512
 SHARDS = 8
 SEED = 17
+#: How many of the longest documents of an edge block may be passed over for a better fit.
+SKIPPED = 24
+#: The documents (doc_id, key) whose sizes come nearest to edge: the longest that fit first, or those before one that goes beyond
+#: and that one; the best of the choices that leave out the longest one by one.
+FITTING = f"""transform(array(array_sort(collect_list(struct(-size as o, xxhash64(key, 1) as h, doc_id, key, size)))), all ->
+    array_min(transform(sequence(0, least(size(all) - 1, {SKIPPED})), i ->
+        aggregate(slice(all, i + 1, size(all)),
+            named_struct('left', max(edge), 'out', cast(array() as array<struct<doc_id:bigint,key:bigint>>), 'best', named_struct('far', cast('inf' as double), 'out', cast(array() as array<struct<doc_id:bigint,key:bigint>>))),
+            (s, d) -> if(d.size <= s.left, named_struct('left', s.left - d.size, 'out', concat(s.out, array(struct(d.doc_id, d.key))), 'best', s.best),
+                if(d.size - s.left < s.best.far, named_struct('left', s.left, 'out', s.out, 'best', named_struct('far', d.size - s.left, 'out', concat(s.out, array(struct(d.doc_id, d.key))))), s)),
+            s -> if(s.best.far < s.left, s.best, named_struct('far', s.left, 'out', s.out))))).out)[0]"""
 
 
 def n_words(text: Column) -> Column:
@@ -110,12 +121,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0,
     quotas = plan.join(drawn, "rank").select("rank", (F.col("passes") * F.col("n_blocks") + F.col("partial")).alias("q"))
     bounds = split_tree(quotas, shards, seed)
     located = placed.join(blocks, ["rank", "block"])
-    # of an edge block (about block_docs rows) each document is taken that brings the source nearer to its target
-    taken = F.expr("""aggregate(array_sort(collect_list(struct(xxhash64(key, 1) as o, doc_id, key, size))),
-        named_struct('left', max(edge), 'out', cast(array() as array<struct<doc_id:bigint,key:bigint>>)),
-        (s, d) -> if(d.size > 0 and d.size < 2 * s.left, named_struct('left', s.left - d.size, 'out', concat(s.out, array(struct(d.doc_id, d.key)))), s),
-        s -> s.out)""")
-    edge = located.where("edge is not null").groupBy("rank", "block").agg(taken.alias("out")).select(F.inline("out")).distinct()
+    # of an edge block (about block_docs rows) the documents that bring the source nearest to its target
+    fits = located.where("edge is not null").groupBy("rank", "block", "doc_id", "key").agg(F.sum("size").alias("size"), F.max("edge").alias("edge"))
+    edge = fits.where("size > 0").groupBy("rank", "block").agg(F.expr(FITTING).alias("out")).select(F.inline("out"))
     edge = edge.select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key"))
     copies = F.col("passes") + (F.col("whole") | (F.col("edge").isNotNull() & F.col("__key").isNotNull())).cast("long")
     bound = located.join(bounds, "rank").join(edge, (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__doc")), "left")

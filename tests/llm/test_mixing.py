@@ -89,3 +89,28 @@ def test_shards_stand_together(spark):
     assert sum(len(h) > 0 for h in homes) == len(sizes)
     # shards have equal numbers of blocks, so of rows about
     assert max(want.values()) < 2 * min(want.values())
+
+
+def reached(sizes, most, target):
+    """How near any choice of documents, each up to most times, comes to target."""
+    sums = {0}
+    for n in sizes:
+        sums = {s + k * n for s in sums for k in range(most + 1)}
+    return min(abs(s - target) for s in sums)
+
+
+def test_few_long_documents(spark):
+    """Sources of some long documents come within one of their shortest, or of three hundredths, of what subset sums can reach."""
+    rng = random.Random(8)
+    sizes = {f"s{i}": [rng.choice([300, 700, 1100, 2400]) + rng.randrange(200) for _ in range(rng.randrange(3, 9))] + [rng.randrange(20, 90)] for i in range(9)}
+    table, i = [], 0
+    for s, own in sizes.items():
+        for n in own:
+            table.append((i, "w " * n, "en", s, 0))
+            i += 1
+    # rows that agree in id, source and size are taken alike
+    table += [(i, "w " * 500, "en", "s0", 0)] * 2
+    got = mixing.totals(mixing.mix(spark.createDataFrame(table, DOCS))).join(spark.createDataFrame(table, DOCS).select("doc_id", "source").distinct(), "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    for r in got:
+        own = sizes[r.source] + ([1000] if r.source == "s0" else [])
+        assert abs(r.taken - r.target) <= reached(own, 3, r.target) + max(min(own), 0.03 * r.target), (r, own)
