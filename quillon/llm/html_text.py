@@ -5,14 +5,16 @@ the pages of a host, tokens with the same occurrence vector (how often each page
 class is valid if it is large and frequent: several tokens, on most of the host's pages. Valid classes of elements that
 each page has once nest by their paths into the host's template; valid classes of text are its constant parts. What
 remains are the slots, and the one of them that holds most of the text that is not constant is the page's main text: tags
-(article, main) decide only between elements that all hold most of it.
+(article, main) decide only between elements that all hold most of it. In the slot a text is a part of the template only
+where nothing else ever stands, or if all of many different pages have it; a paragraph that several pages share is text. Near
+copies count as one page.
 
 Within it, menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out, by tag or
 by words of class, id or role. Pages whose host has no template (too few pages, or none alike), and pages without the
 template's slot, are read by their tags alone.
 
 Defined cases: a null html is empty and has an empty text; pages without a url are of one host, the empty one; truncated and
-wrongly nested markup is read as far as it goes; rows that repeat a page_id are pages of their own; an empty table has no
+wrongly nested markup is read as far as it goes, in linear time and memory however deep; rows that repeat a page_id are pages of their own; an empty table has no
 rows; extra columns are not looked at.
 """
 
@@ -58,10 +60,18 @@ PLAIN = frozenset(
 )
 #: An open element that a start tag closes, up to the elements that hold it.
 CLOSES = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}, "head": {"body"}}
+CLOSING = frozenset().union(*CLOSES.values())
 HOLDS = frozenset("body article section div ul ol table td th blockquote form nav aside main header footer dl details".split())
 #: A template is deduced from hosts of at least so many pages, two of them different; tokens of it are on different pages, and on at least
 #: this share of all; its classes have so many tokens.
 LEAST_PAGES, LEAST_SHARE, LEAST_TOKENS = 2, 0.5, 2
+#: Near copies are one page to the deduction: pages of the same least hash of blocks of so many characters.
+LONG_BLOCK = 80
+#: In the slot, what stands beside other text is a part of the template only if all pages of the host have it, so many of
+#: which are no near copies of each other.
+LEAST_CONTENTS = 4
+#: Elements deeper than this have the path of the one that deep; their text is read like any other.
+MOST_DEEP = 256
 #: The slot holds more than this share of the host's text that is not constant.
 SLOT_SHARE = 0.5
 #: Templates of up to so many bytes are broadcast; beyond, they meet the pages in a join on the host.
@@ -96,8 +106,26 @@ def read(html: str | None) -> tuple[list[Block], Counter]:
     blocks: list[Block] = []
     paths: Counter = Counter()
     stack: list[tuple[str, str, bool, int]] = [("", "", False, 0)]  # tag, path, left out, in the main part (1) or an article (2)
+    open_tags: Counter = Counter()
+    gates: list[int] = []  # places of open elements that a start tag may close, or that hold them
     held: list[str] = []
 
+    def cut(n: int) -> None:
+        """Close all elements from place n on."""
+        for tag, *_ in stack[n:]:
+            open_tags[tag] -= 1
+        del stack[n:]
+        while gates and gates[-1] >= n:
+            gates.pop()
+
+    def close(tag: str) -> None:
+        """Close the innermost element of a tag, and what it holds."""
+        if open_tags[tag] > 0:
+            n = len(stack) - 1
+            while stack[n][0] != tag:
+                n -= 1
+            cut(n)
+
     def flush() -> None:
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
@@ -118,22 +146,19 @@ def read(html: str | None) -> tuple[list[Block], Counter]:
         if raw:
             if end and tag == raw:
                 raw = ""
-                while len(stack) > 1 and stack.pop()[0] != tag:
-                    pass
+                close(tag)
             continue
         if tag in BLOCKS:
             flush()
         elif tag == "br":
             held.append(" ")
         if end:
-            if any(x[0] == tag for x in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            close(tag)
             continue
-        for at in range(len(stack) - 1, 0, -1):
+        for at in reversed(gates) if tag in CLOSING else ():
             open_ = stack[at][0]
             if tag in CLOSES.get(open_, ()):
-                del stack[at:]
+                cut(at)
                 break
             if open_ in HOLDS:
                 break
@@ -148,10 +173,13 @@ def read(html: str | None) -> tuple[list[Block], Counter]:
         if tag in ("html", "body"):
             marks = set()
         out = out or tag in LEFT_OUT or "out" in marks or (not main and (tag in LEFT_OUT_ABOVE or "above" in marks))
-        full = f"{path}/{step}"
+        full = f"{path}/{step}" if len(stack) <= MOST_DEEP else path
         paths[full] += 1
         if tag in VOID or token.endswith("/>"):
             continue
+        if tag in CLOSES or tag in HOLDS:
+            gates.append(len(stack))
+        open_tags[tag] += 1
         stack.append((tag, full, out, 0 if out else main))
         if tag in RAW:
             raw = tag
@@ -159,10 +187,23 @@ def read(html: str | None) -> tuple[list[Block], Counter]:
     return blocks, paths
 
 
-def _above(path: str) -> list[str]:
-    """The elements that hold what stands at path, itself among them."""
-    steps = path.split("/")
-    return ["/".join(steps[:i]) for i in range(2, len(steps) + 1)]
+def _inside(blocks: list[Block]) -> Counter:
+    """How much text that isn't left out stands in each element, whatever its depth."""
+    chars: Counter = Counter()
+    for b in blocks:
+        if not b.out:
+            chars[b.path] += len(b.text)
+    out: Counter = Counter()
+    for path, n in chars.items():
+        while path:
+            out[path] += n
+            path = path.rpartition("/")[0]
+    return out
+
+
+def _copies(blocks: list[Block], content: int) -> int:
+    """What near copies of a page share: the least hash of its long blocks, or else the page's own."""
+    return min((_digest("", b.text) for b in blocks if not b.out and len(b.text) >= LONG_BLOCK), default=content)
 
 
 def _digest(path: str, text: str) -> int:
@@ -176,10 +217,11 @@ def host(url: Column) -> Column:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """Per host with a template: host, slot (the path of the element that holds the article, or null) and constants (digests of text).
+    """Per host with a template: host, slot (the path of the element that holds the article, or null), constants (digests of
+    text) and fixed, those at paths where nothing but constants stands, and those that all of many different pages have.
 
     pages: page_id, host, html. Occurrence vectors are compared by two sums of hashes of page and count, pre-aggregated per
-    task, however many pages a host has; equal pages add up like others, but what only they have is no template. A
+    task, however many pages a host has; equal pages and near copies add up like others, but what only they have is no template. A
     template is no larger than 1 / LEAST_SHARE pages.
     """
     keyed = pages.select("host", F.xxhash64("page_id", "html").alias("page"), F.xxhash64("html").alias("content"), "html")
@@ -190,13 +232,11 @@ def templates(pages: DataFrame) -> DataFrame:
             out: list[tuple] = []
             for name, page, content, html in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
                 blocks, paths = read(html.as_py())
+                content = _copies(blocks, content)
                 out.append((name, page, content, "", "", 0, 1, 0, False))
-                inside: Counter = Counter()
+                out.append((name, page, content, "", str(content), 0, 1, 0, False))  # one vector for each content
+                inside = _inside(blocks)
                 texts = Counter((b.path, b.text, b.out) for b in blocks if not b.main)
-                for b in blocks:
-                    if not b.out:
-                        for path in _above(b.path):
-                            inside[path] += len(b.text)
                 for path, n in paths.items():
                     out.append((name, page, content, path, "", 0, n, inside[path], path.rpartition("/")[2].startswith(MAIN) or path.endswith("@main")))
                 out.extend((name, page, content, "", path, _digest(path, text), n, 0 if left_out else n * len(text), False) for (path, text, left_out), n in texts.items())
@@ -209,7 +249,7 @@ def templates(pages: DataFrame) -> DataFrame:
     )
     vectors = stored(vectors, "page-tokens")
     vector = ["support", "total", "vector1", "vector2"]
-    sizes = vectors.where("path = '' and digest = 0 and differ").select(F.col("host").alias("__host"), F.col("support").alias("pages"))
+    sizes = vectors.where("path = '' and digest = 0 and at = '' and differ").select(F.col("host").alias("__host"), F.col("support").alias("pages"))
     classes = vectors.where("(path <> '' or digest <> 0) and differ").groupBy("host", *vector).agg(F.count("*").alias("tokens"))
     enough = (F.col("pages") >= LEAST_PAGES) & (F.col("support") >= F.col("pages") * LEAST_SHARE)
     valid = classes.join(sizes, classes["host"] == sizes["__host"]).where(enough & (F.col("tokens") >= LEAST_TOKENS)).drop("__host", "pages", "tokens")
@@ -223,22 +263,31 @@ def templates(pages: DataFrame) -> DataFrame:
     # of the elements that hold most of that: an article or main element, the innermost, the one with more text
     choice = F.struct("main", F.size(F.split("path", "/")).alias("depth"), "own", F.col("path").alias("slot"))
     slots = elements.join(most, "host").where(F.col("own") > F.col("most") * SLOT_SHARE).groupBy("host").agg(F.max(choice)["slot"].alias("slot"))
-    digests = constants.groupBy("host").agg(F.collect_set("digest").alias("constants"))
-    return slots.join(digests, "host", "full").select("host", "slot", F.coalesce("constants", F.array().cast("array<bigint>")).alias("constants"))
+    everything = vectors.where("digest <> 0").groupBy("host", "at").agg(F.sum("total").alias("all"))
+    contents = vectors.where("path = '' and digest = 0 and at <> ''").groupBy("host").agg(F.count("*").alias("contents")).where(F.col("contents") >= LEAST_CONTENTS)
+    common = contents.join(sizes, F.col("host") == F.col("__host")).select("host", F.col("pages").alias("support"), F.lit(True).alias("common"))
+    settled = constants.groupBy("host", "at").agg(F.sum("total").alias("of")).join(everything, ["host", "at"]).where(F.col("of") == F.col("all")).select("host", "at", F.lit(True).alias("fixed"))
+    known = constants.join(settled, ["host", "at"], "left").join(common, ["host", "support"], "left")
+    digests = known.groupBy("host").agg(F.collect_set("digest").alias("constants"), F.collect_set(F.when(F.col("fixed") | F.col("common"), F.col("digest"))).alias("fixed"))
+    none = F.array().cast("array<bigint>")
+    return slots.join(digests, "host", "full").select("host", "slot", *[F.coalesce(c, none).alias(c) for c in ("constants", "fixed")])
 
 
-def main_text(html: str | None, slot: str | None = None, constants: frozenset[int] = frozenset()) -> str:
+def main_text(html: str | None, slot: str | None = None, constants: frozenset[int] = frozenset(), fixed: frozenset[int] = frozenset()) -> str:
     blocks, paths = read(html)
     keep = [b for b in blocks if not b.out]
     inside = [b for b in keep if b.path == slot or b.path.startswith(f"{slot}/")] if slot and slot in paths else []
     if inside:
-        keep = inside
+        # in the slot, only what stands where nothing but constants does, and only if it is the lesser part
+        own = [b for b in inside if b.main or _digest(b.path, b.text) not in fixed]
+        size = lambda part: sum(len(b.text) for b in part)
+        keep = own if 2 * size(own) > size(inside) else inside
     else:
         # without a template's slot, tags decide
         most = max((b.main for b in keep), default=0)
         keep = [b for b in keep if b.main == most]
-    # constant parts outside articles; what is all that a page has stays
-    keep = [b for b in keep if _digest(b.path, b.text) not in constants] or keep
+        # constant parts outside articles; what is all that a page has stays
+        keep = [b for b in keep if _digest(b.path, b.text) not in constants] or keep
     return "\n\n".join(b.text for b in keep)
 
 
@@ -247,20 +296,20 @@ def extract(pages: DataFrame) -> DataFrame:
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     pages = pages.withColumn("host", host(F.col("url")))
     found = stored(templates(pages), "templates").withColumnRenamed("host", "__host")
-    size = found.agg(F.coalesce(F.sum(F.size("constants") * 8 + F.coalesce(F.length("slot"), F.lit(0)) + F.length("__host") + 64), F.lit(0))).first()[0]
+    size = found.agg(F.coalesce(F.sum((F.size("constants") + F.size("fixed")) * 8 + F.coalesce(F.length("slot"), F.lit(0)) + F.length("__host") + 64), F.lit(0))).first()[0]
     joined = pages.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, pages["host"] == found["__host"], "left")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str | None, frozenset[int]] = {}
+        held: dict[str | None, list[frozenset[int]]] = {}
         for batch in batches:
             texts = []
-            for name, html, slot, constants in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4).to_pylist(), batch.column(5), strict=True):
+            for name, html, slot, *sets in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4).to_pylist(), batch.column(5), batch.column(6), strict=True):
                 if name not in held:
                     if len(held) > 256:
                         held.clear()
-                    held[name] = frozenset(constants.as_py() or ())
-                texts.append(main_text(html.as_py(), slot, held[name]))
+                    held[name] = [frozenset(x.as_py() or ()) for x in sets]
+                texts.append(main_text(html.as_py(), slot, *held[name]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], schema=schema)
 
-    return joined.select("page_id", "url", "host", "html", "slot", "constants").mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    return joined.select("page_id", "url", "host", "html", "slot", "constants", "fixed").mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")

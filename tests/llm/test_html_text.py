@@ -109,10 +109,26 @@ def slow_templates(rows):
                 left[k[0]] = chars[k] - sum(chars[c] for c in constants if (c[1] + "/").startswith(k[0] + "/"))
         most = max(left.values(), default=0)
         best = [(main[p, "", ""], p.count("/") + 1, n, p) for p, n in left.items() if n > most * html_text.SLOT_SHARE]
-        out[name] = (max(best)[3] if best else None, {html_text._digest(c[1], c[2]) for c in constants})
+        varied = {k[1] for k in vectors if k[1] and k not in constants}
+        many = len({html_text._copies(html_text.read(html)[0], html) for _, html in own}) >= html_text.LEAST_CONTENTS
+        fixed = {c for c in constants if c[1] not in varied or (many and len(vectors[c]) == len(own))}
+        out[name] = (max(best)[3] if best else None, *({html_text._digest(c[1], c[2]) for c in cs} for cs in (constants, fixed)), fixed, constants)
     return out
 
 
+def slow_text(html, slot, fixed, constants):
+    """The text that follows from a template, block by block."""
+    blocks, paths = html_text.read(html)
+    shown = [b for b in blocks if not b.out]
+    inside = [b for b in shown if slot and slot in paths and (b.path + "/").startswith(slot + "/")]
+    if inside:
+        own = [b.text for b in inside if b.main or ("", b.path, b.text) not in fixed]
+        whole = [b.text for b in inside]
+        return "\n\n".join(own if len("".join(own)) * 2 > len("".join(whole)) else whole)
+    shown = [b for b in shown if b.main == max(x.main for x in shown)]
+    return "\n\n".join([b.text for b in shown if ("", b.path, b.text) not in constants] or [b.text for b in shown])
+
+
 def test_templates_against_brute_force(spark):
     rng = random.Random(8)
     rows = []
@@ -123,6 +139,46 @@ def test_templates_against_brute_force(spark):
             html = f"<body>{''.join(p for p in parts if rng.random() < 0.9)}<{wide} id=c>{own}</{wide}><ul>{'<li>item' * rng.randrange(3)}</ul></body>"
             rows += [(len(rows), f"http://h{h}/", html)] * rng.choice([1, 1, 1, 2])
     own = pages(spark, [(*r, None, None, None) for r in rows]).select("page_id", "html", html_text.host(html_text.F.col("url")).alias("host"))
-    got = {r.host: (r.slot, set(r.constants)) for r in html_text.templates(own).collect()}
-    want = {k: v for k, v in slow_templates(rows).items() if v[0] or v[1]}
-    assert got == want and len(want) > 5
+    got = {r.host: (r.slot, set(r.constants), set(r.fixed)) for r in html_text.templates(own).collect()}
+    slow = slow_templates(rows)
+    assert got == {k: v[:3] for k, v in slow.items() if v[0] or v[1]} and len(got) > 5
+    texts = sorted((r.page_id, r.text) for r in html_text.extract(pages(spark, [(*r, None, None, None) for r in rows])).collect())
+    none = (None, set(), set(), set(), set())
+    assert texts == sorted((p, slow_text(html, slow.get(url.split("/")[2], none)[0], *slow.get(url.split("/")[2], none)[3:])) for p, url, html in rows)
+
+
+STORY = [f"Paragraph {i} of a story that is long enough to be told apart from the parts that all pages of a host have in common, and ends here." for i in range(6)]
+
+
+def story(title, paragraphs, user):
+    return f"<html><body><div id=top>Our company since 1900</div><div class=story><h1>{title}</h1>{''.join(f'<p>{p}</p>' for p in paragraphs)}<div class=by>Posted by {user}</div></div><div id=low>Call us</div></body></html>"
+
+
+def test_near_copies_keep_their_article(spark):
+    """A pair of near copies, three of six pages, and one shared paragraph: every paragraph stays."""
+    others = [[f"{p} Told again for the {k}th time." for p in STORY] for k in range(6)]
+    rows = [(i, "http://pair.example/", story(f"Title {i}", STORY, f"user 3{i}"), None, None, None) for i in range(2)]
+    rows += [(10 + i, "http://six.example/", story(f"Title {i}", STORY if i < 3 else others[i], f"user {i}"), None, None, None) for i in range(6)]
+    rows += [(20 + i, "http://one.example/", story(f"Title {i}", [*others[i], STORY[0]], f"user {i}"), None, None, None) for i in range(2)]
+    got = {r.page_id: r.text for r in html_text.extract(pages(spark, rows)).collect()}
+    for page, own in [(0, STORY), (1, STORY), *((10 + i, STORY if i < 3 else others[i]) for i in range(6)), *((20 + i, [*others[i], STORY[0]]) for i in range(2))]:
+        assert "\n\n".join(own) in got[page], got[page]
+    assert all("Call us" not in got[10 + i] for i in range(6))
+
+
+@pytest.mark.parametrize("tag", ["b", "div", "p class=x><i", "li", "h1", "option"])
+def test_deep_markup(tag):
+    """30,000 open tags, and as many closing ones that close nothing: text whole, in seconds and bounded memory."""
+    import time
+    import tracemalloc
+
+    began = time.time()
+    tracemalloc.start()
+    html = f"<body><div id=c>begin {f'<{tag}>w ' * 30_000}end{'</u>' * 30_000}</div>"
+    blocks, paths = html_text.read(html)
+    html_text._inside(blocks)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    text = html_text.main_text(html)
+    assert time.time() - began < 30 and (tag == "option" or text.split() == ["begin", *["w"] * 30_000, "end"])
+    assert max(map(len, paths)) < 8 << 10
