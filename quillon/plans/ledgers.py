@@ -208,7 +208,7 @@ CHECKS = (
     ("no_mandatory_alpha_numeric_replacements", f"{K} % 6 = 0", "fail"), ("no_mandatory_incomplete_numeric_replacements", f"{K} % 2 = 1 OR {K} % 8 = 0", "fail"), ("quality_inspection_passable", f"{K} % 4 <> 1", "fail"),
     ("quality_metrics_present", f"{K} % 3 = 0", "warn"), ("model_gate_metrics_present", f"{K} % 5 = 1", "warn"), ("page_taxonomy_metrics_present", f"{K} % 2 = 1", "warn"),
 )
-ALPHA = "CASE WHEN i < 26 THEN chr(CAST(65 + i AS INTEGER)) ELSE chr(CAST(64 + i // 26 AS INTEGER)) || chr(CAST(65 + i % 26 AS INTEGER)) END"
+ALPHA = "CASE WHEN i < 26 THEN chr(CAST(65 + i AS INTEGER)) WHEN i < 702 THEN chr(CAST(64 + i // 26 AS INTEGER)) || chr(CAST(65 + i % 26 AS INTEGER)) ELSE chr(CAST(64 + (i // 26 - 1) // 26 AS INTEGER)) || chr(CAST(65 + (i // 26 - 1) % 26 AS INTEGER)) || chr(CAST(65 + i % 26 AS INTEGER)) END"
 ORACLES = {
     "graph_summary": f"""WITH u AS (SELECT *, CASE WHEN order_index < 30 THEN 'word/document.xml' ELSE 'word/Unknown.xml' END AS part, CASE WHEN order_index = 0 THEN 'header' ELSE 'main' END AS story, CASE WHEN order_index % 10 = 9 THEN 'xml_text' ELSE container_type END AS container FROM ({SQL_LINES}))
   {_tally('u', unit='true', exact_rewrite='rewritable', review_required='NOT rewritable', unknown_part="container = 'xml_text' OR order_index >= 30", container='container', story='story', part='part')}""",

@@ -176,7 +176,12 @@ MATCHED = f"""{OBLIGED}, {PLACED}, w AS (SELECT unit_id, unnest(string_split(exp
   st AS (SELECT o.unit_id, category, priority, coalesce(matches, 0) AS matches, CASE WHEN rewrite_required THEN 'unrewritable' WHEN matches > 0 THEN 'satisfied_by_rule' WHEN priority = 'low' THEN 'not_sensitive_by_rule' ELSE 'uncovered' END AS status FROM o LEFT JOIN m USING (unit_id) WHERE {KEPT})"""
 ENTITIES = f"""{PLACED}, e AS (SELECT doc_id, unit_id, CASE WHEN entity_type = 'PHONE' THEN 'DATE' ELSE entity_type END AS entity_type, "start", "end", "text", ut, us, rewritable,
    CASE WHEN entity_type = 'IP_ADDRESS' THEN '' ELSE '[' || left(entity_type, 3) || left(md5("text"), 6) || ']' END AS replacement FROM p)"""
-LEDGER = f"""{ENTITIES}, r AS (SELECT *, CASE WHEN replacement = '' THEN 'missing_replacement' WHEN entity_type IN ('DATE', 'AMOUNT') THEN 'non_rewrite_type' WHEN unit_id IS NULL THEN 'missing_unit' WHEN NOT rewritable THEN 'unrewritable_policy' END AS reason FROM e)"""
+LEDGER = f"""{ENTITIES}, r0 AS (SELECT *, CASE WHEN replacement = '' THEN 'missing_replacement' WHEN entity_type IN ('DATE', 'AMOUNT') THEN 'non_rewrite_type' WHEN unit_id IS NULL THEN 'missing_unit' WHEN NOT rewritable THEN 'unrewritable_policy' END AS reason FROM e),
+  z AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY "start", "end" DESC, entity_type) AS n FROM r0 WHERE reason IS NULL),
+  v AS (SELECT *, max({{'e': "end", 'm': -n}}) OVER (PARTITION BY unit_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM z),
+  held AS (SELECT unit_id, list(DISTINCT -top.m) AS holders FROM v WHERE "start" < top.e GROUP BY unit_id),
+  r AS (SELECT v.* EXCLUDE (n, top, reason), CASE WHEN coalesce("start" < top.e, FALSE) OR coalesce(list_contains(holders, n), FALSE) THEN 'range_overlap' END AS reason FROM v LEFT JOIN held USING (unit_id)
+        UNION ALL BY NAME SELECT * FROM r0 WHERE reason IS NOT NULL)"""
 KEYED = f"""k AS (SELECT *, lower("text") AS key FROM ({SQL_MENTIONS}))"""
 DIRECTORY = f"""{KEYED}, c AS (SELECT doc_id, entity_type, key, "text", count(*) AS n, min("start") AS first FROM k GROUP BY ALL),
   g AS (SELECT doc_id, entity_type, key, list("text" ORDER BY n DESC, length("text") DESC, "text")[1:8] AS surfaces, CAST(sum(n) AS BIGINT) AS mentions, min(first) AS first_start FROM c GROUP BY ALL),
@@ -194,8 +199,8 @@ ORACLES = {
   SELECT kind, severity, count(*) AS n, min(key) AS first FROM q GROUP BY ALL""",
     "rewrite_ledger": f"""WITH {LEDGER} SELECT doc_id, unit_id, entity_type, "start", "end", replacement, CASE WHEN reason IS NULL THEN 'ready' ELSE 'failed' END AS status, reason AS failure_reason FROM r""",
     "export_summary": f"""WITH {LEDGER}, sh AS (SELECT count(*) AS n FROM (SELECT replacement FROM r GROUP BY 1 HAVING count(DISTINCT "text") > 1)), sp AS (SELECT count(*) AS n FROM (SELECT entity_type, "text" FROM r GROUP BY ALL HAVING count(DISTINCT replacement) > 1))
-  SELECT count(*) FILTER (WHERE reason IS NULL) AS ready, count(*) FILTER (WHERE reason = 'unrewritable_policy') AS blocking, any_value(sh.n) AS shared_replacements, any_value(sp.n) AS split_subjects,
-   count(*) FILTER (WHERE reason = 'unrewritable_policy') = 0 AND any_value(sh.n) = 0 AND any_value(sp.n) = 0 AS export_ready FROM r, sh, sp""",
+  SELECT count(*) FILTER (WHERE reason IS NULL) AS ready, count(*) FILTER (WHERE reason IN ('range_overlap', 'unrewritable_policy')) AS blocking, any_value(sh.n) AS shared_replacements, any_value(sp.n) AS split_subjects,
+   count(*) FILTER (WHERE reason IN ('range_overlap', 'unrewritable_policy')) = 0 AND any_value(sh.n) = 0 AND any_value(sp.n) = 0 AS export_ready FROM r, sh, sp""",
     "replacement_mapping": f"""WITH {ENTITIES}, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, entity_type, "text", replacement ORDER BY "start", "end") AS rnk FROM e)
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY "start", "end", entity_type) AS place, entity_type, "text", replacement FROM f WHERE rnk = 1""",
     "export_entries": f"""WITH {ENTITIES}, f AS (SELECT doc_id, "text", arg_min(replacement, {{'s': "start", 'e': "end"}}) AS replacement FROM e GROUP BY ALL)
