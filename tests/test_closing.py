@@ -33,7 +33,7 @@ def test_states_and_closers(spark):
 
 def test_fields_and_recall(spark):
     units = spark.createDataFrame([("u1", 3, "合同编号，签订日期 为：1996-03-02"), ("u2", 3, "1996-03-02"), ("u3", 9, "1996-03-02"), ("u4", 9, None)], "unit_id string, page_no int, text string")
-    spans = spark.createDataFrame([("u1", "date", 11, 21, "1996-03-02"), ("u2", "date", 0, 10, "1996-03-02"), ("u3", "date", 0, 10, "1996-03-02"), ("u3", "case_no", 2, 4, "x Y")], "unit_id string, entity_type string, start int, end int, text string")
+    spans = spark.createDataFrame([("u1", "date", 12, 22, "1996-03-02"), ("u2", "date", 0, 10, "1996-03-02"), ("u3", "date", 0, 10, "1996-03-02"), ("u3", "case_no", 2, 4, "x Y")], "unit_id string, entity_type string, start int, end int, text string")
     fields = closing.typed_fields(units, spans)
     assert {(r.unit_id, r.field_type, r.value, r.role) for r in fields.collect()} == {
         ("u1", "date", "1996-03-02", "合同编号，签订日期为："), ("u2", "date", "1996-03-02", "same_aligned_unit"), ("u3", "date", "1996-03-02", "same_aligned_unit"), ("u3", "case_no", "xy", "19"),
