@@ -13,7 +13,7 @@ def scalar_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     return documents(spark, sf_dir).select(
         "doc_id", F.length(text.compact(t)).alias("n_compact"), F.md5(text.compact(t)).alias("compact_md5"),
-        F.size(text.numeric_tokens(t)).alias("n_numbers"), F.size(text.page_tokens(F.regexp_replace(t, "[^A-Za-z0-9]", " "))).alias("n_tokens"),
+        F.size(text.numeric_tokens(t)).alias("n_numbers"), F.size(text.page_tokens(F.regexp_replace(t, "[^A-Za-z0-9]+", " "))).alias("n_tokens"),
         F.length(F.left(F.trim(F.regexp_replace(t, r"\s+", " ")), F.lit(120))).alias("n_clean"),
     )
 
