@@ -34,6 +34,8 @@ ORGANISATION_ENDS = (
 )
 OFFICE_VERBS = ("担任", "任职", "就职", "供职", "出任", "为", "是", "系", "兼任", "兼为", "任", "在", "加入", "服务于")
 LEAST_SCORE = 0.82
+#: Rules that one job takes on a span, before what still moves is written down.
+RULES_A_JOB = 6
 
 
 def any_of(words: tuple[str, ...]) -> str:
@@ -79,7 +81,8 @@ def _pieces(policy: Policy, pattern: str, fit: str, repair: str) -> Column:
     # places of parts: every joint is one character
     placed = lambda parts: F.transform(parts, lambda p, i: F.struct(F.length(p).alias("n"), F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda t, q: t + F.length(q) + 1).alias("at")))
     cut = bind(F.split(even, pattern, -1), lambda parts: F.transform(placed(parts), lambda p: _piece(value, p["at"], p["n"], F.col("entity_type"), repair)))
-    return bind(F.filter(cut, lambda p: F.rlike(p["text"], F.lit(fit))), lambda found: F.when(F.size(found) >= 2, found))
+    fits = bind(F.filter(cut, lambda p: F.rlike(p["text"], F.lit(fit))), lambda found: F.when(F.size(found) >= 2, found))
+    return F.when(F.rlike(even, F.lit(pattern)), fits)
 
 
 def step(policy: Policy) -> Column:
@@ -89,32 +92,30 @@ def step(policy: Policy) -> Column:
     found = lambda pattern: F.length(F.regexp_extract(value, pattern, 0))
     less = lambda left, right, repair: F.array(_piece(value, left, n - left - right, kind, repair))
     zero = F.lit(0)
-    led, trailed, labelled, noisy = found(f"^[{policy.marks}]+"), found(f"[{policy.marks}]+$"), found(f"^{policy.label}"), found(f"^{policy.noise}")
-    kept = found(f"(?s)^.*{policy.tail}")
-    named = F.substr(value, noisy + 1).rlike(policy.tail)
-    rules = F.when((led > 0) & (led < n), less(led, zero, "strip_leading_punctuation"))
-    rules = rules.when((trailed > 0) & (trailed < n), less(zero, trailed, "strip_trailing_punctuation"))
-    rules = rules.when((labelled > 0) & (labelled < n), less(labelled, zero, "strip_field_label"))
+    # each length is worked out once, and only if no rule before it fits
+    part = lambda pattern, body: bind(found(pattern), lambda k: F.when((k > 0) & (k < n), body(k)))
+    led = part(f"^[{policy.marks}]+", lambda k: less(k, zero, "strip_leading_punctuation"))
+    trailed = part(f"[{policy.marks}]+$", lambda k: less(zero, k, "strip_trailing_punctuation"))
+    labelled = part(f"^{policy.label}", lambda k: less(k, zero, "strip_field_label"))
     narrative = _pieces(policy, policy.breaks, f"(?s)^.*{policy.tail}", "split_narrative_subjects")
     parallel = _pieces(policy, policy.joints, f"(?s)^(?:{policy.piece})", "split_parallel_subject")
-    ends = F.when((kept > 0) & (kept < n), less(zero, n - kept, "trim_to_organization_shape"))
-    after = F.when((noisy > 0) & (noisy < n) & named, less(noisy, zero, "strip_leading_noise"))
+    ends = part(f"(?s)^.*{policy.tail}", lambda k: less(zero, n - k, "trim_to_organization_shape"))
+    after = part(f"^{policy.noise}", lambda k: F.when(F.substr(value, k + 1).rlike(policy.tail), less(k, zero, "strip_leading_noise")))
     bridge = F.lit(None).cast(SPAN)
     if policy.verbs:
         office = f"(?s)^({policy.person}?)({policy.verbs})(.*{policy.tail})"
-        first, verb, rest = (F.length(F.regexp_extract(value, office, i)) for i in (1, 2, 3))
-        both = F.array(_piece(value, zero, first, F.lit("PERSON"), "split_person_org_bridge"), _piece(value, first + verb, rest, F.lit("ORGANIZATION"), "split_person_org_bridge"))
-        bridge = F.when(first > 0, both)
-    return F.coalesce(rules, narrative, after, bridge, parallel, ends)
+        of = lambda i: F.length(F.regexp_extract(value, office, i))
+        both = lambda k: F.array(_piece(value, zero, k["first"], F.lit("PERSON"), "split_person_org_bridge"), _piece(value, k["first"] + k["verb"], k["rest"], F.lit("ORGANIZATION"), "split_person_org_bridge"))
+        lengths = F.when(of(1) > 0, F.struct(of(1).alias("first"), of(2).alias("verb"), of(3).alias("rest")))
+        bridge = bind(lengths, lambda k: F.when(k.isNotNull(), both(k)))
+    return F.coalesce(led, trailed, labelled, narrative, after, bridge, parallel, ends)
 
 
 def expanded(spans: DataFrame, shapes: DataFrame) -> DataFrame:
     """Spans with the bounds of the smallest shape (doc_id, start, end, text) that holds them, and expanded, whether they
     grew; the others as they are."""
-    own = shapes.select("doc_id", F.concat_ws(":", "start", "end").alias("unit_id"), "start", "end")
-    names = shapes.select(F.col("doc_id").alias("__doc"), F.concat_ws(":", "start", "end").alias("__unit"), F.col("start").alias("__s"), F.col("end").alias("__e"), F.col("text").alias("__t")).distinct()
-    held = containing(spans, own)
-    joined = held.join(names, (F.col("doc_id") == F.col("__doc")) & (F.col("unit_id") == F.col("__unit")), "left")
+    own = shapes.select("doc_id", F.concat_ws(":", "start", "end").alias("unit_id"), "start", "end", F.col("start").alias("__s"), F.col("end").alias("__e"), F.col("text").alias("__t"))
+    joined = containing(spans, checkpointed(own), ("__s", "__e", "__t"))
     grown = F.coalesce(F.col("__e") - F.col("__s") > F.col("end") - F.col("start"), F.lit(False))
     new = {"start": F.when(grown, F.col("__s")).otherwise(F.col("start")), "end": F.when(grown, F.col("__e")).otherwise(F.col("end")), "text": F.when(grown, F.col("__t")).otherwise(F.col("text"))}
     return joined.select(*[new.get(c, F.col(c)).alias(c) for c in spans.columns], grown.alias("expanded"))
@@ -130,18 +131,22 @@ def repaired(spans: DataFrame, policy: Policy = CHINESE, shapes: DataFrame | Non
     else:
         began = began.withColumn("repairs", F.array().cast("array<string>"))
     order = [*columns, "origin_start", "origin_end", "repairs"]
-    moving, done = began.select(*order), []
+    # several rules a job: a span that no rule fits passes the rest as it is
+    own = F.struct("entity_type", "start", "end", "text", "score", "repairs", F.lit(False).alias("moves"))
+    made = F.transform(
+        step(policy),
+        lambda n: F.struct(*[n[c].alias(c) for c in ("entity_type", "start", "end", "text")], F.greatest("score", F.lit(policy.floor)).alias("score"), F.concat("repairs", F.array(n["repair"])).alias("repairs"), F.lit(True).alias("moves")),
+    )
+    following = F.inline(F.when(F.col("moves"), F.coalesce(made, F.array(own))).otherwise(F.array(own)))
+    moving, done = began.select(*order, F.lit(True).alias("moves")), []
     while True:
-        now = checkpointed(moving.withColumn("next", step(policy)))
-        done.append(now.where("next is null").select(*order))
-        moved = now.where("next is not null")
-        if moved.isEmpty():
+        for _ in range(RULES_A_JOB):
+            moving = moving.select("doc_id", "origin_start", "origin_end", following)
+        now = checkpointed(moving)
+        done.append(now.where("not moves").select(*order))
+        moving = now.where("moves").select(*order, "moves")
+        if moving.isEmpty():
             break
-        each = moved.select("doc_id", "score", "origin_start", "origin_end", "repairs", F.explode("next").alias("n"))
-        moving = each.select(
-            "doc_id", *[F.col(f"n.{c}").alias(c) for c in ("entity_type", "start", "end", "text")], F.greatest("score", F.lit(policy.floor)).alias("score"),
-            "origin_start", "origin_end", F.concat("repairs", F.array("n.repair")).alias("repairs"),
-        )
     least = F.min(F.struct("origin_start", "origin_end", "repairs")).alias("o")
     whole = reduce(DataFrame.unionByName, done).groupBy("doc_id", "entity_type", "start", "end", "text").agg(F.max("score").alias("score"), least)
     return whole.select(*columns, "o.origin_start", "o.origin_end", "o.repairs")

@@ -57,10 +57,11 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_spans(texts: DataFrame) -> DataFrame:
     """What loose recognizers give: the whole clause, and the bare name in it."""
     kind = F.when(F.col("doc_id") % 17 == 3, "ADDRESS").when(F.col("doc_id") % 5 == 2, "COMPANY_NAME").otherwise("ORGANIZATION")
-    clause = texts.select("doc_id", kind.alias("entity_type"), F.lit(0).alias("start"), F.length("clause").alias("end"), F.col("clause").alias("text"), F.lit(0.6).cast("double").alias("score"))
     at = F.instr("clause", F.col("named")) - 1
-    bare = texts.select("doc_id", F.lit("ORGANIZATION").alias("entity_type"), at.alias("start"), (at + F.length("named")).alias("end"), F.col("named").alias("text"), F.lit(0.9).cast("double").alias("score"))
-    return clause.unionByName(bare)
+    span = lambda kind, start, end, text, score: F.struct(kind.alias("entity_type"), start.alias("start"), end.alias("end"), text.alias("text"), F.lit(score).cast("double").alias("score"))
+    clause = span(kind, F.lit(0), F.length("clause"), F.col("clause"), 0.6)
+    bare = span(F.lit("ORGANIZATION"), at, at + F.length("named"), F.col("named"), 0.9)
+    return texts.select("doc_id", F.inline(F.array(clause, bare)))
 
 
 def shapes(texts: DataFrame) -> DataFrame:
