@@ -46,12 +46,18 @@ def column_profiles(cells: DataFrame) -> DataFrame:
     return found.select(*GRID, "col_index", "cells", "nonempty", F.coalesce("top.kind", F.lit("empty")).alias("dominant_type"), "open", "evidence", "confirmed", "suspected", "decimal")
 
 
+def decimal_columns(cells: DataFrame) -> DataFrame:
+    """Of column_profiles what anomalies needs: columns with evidence of lost decimal points, and how much (decimal)."""
+    return cells.where(F.col("issue_type").isin(*DECIMAL_ISSUES)).groupBy(*GRID, "col_index").agg(F.count("*").alias("decimal"))
+
+
 def anomalies(cells: DataFrame, profiles: DataFrame) -> DataFrame:
     """Cells with evidence of their own, or that look misread: digits with letters like them, or a plain integer in a column
     that has lost decimal points elsewhere."""
     context = profiles.where(F.col("decimal") >= LEAST_DECIMAL).select(*GRID, "col_index", F.lit(True).alias("lossy"))
-    seen = cells.join(context, [*GRID, "col_index"], "left")
     plain = F.rlike(normalize(F.col("text")), F.lit("^[0-9]{4,8}$"))
+    # only cells that can be odd meet their columns
+    seen = cells.where(F.col("decision").isNotNull() | confusable_numeric(F.col("text")) | plain).join(context, [*GRID, "col_index"], "left")
     rule = F.when(confusable_numeric(F.col("text")), "confusable_numeric_text").when(F.col("lossy") & plain, "column_decimal_missing_candidate")
     kind = F.when(F.col("decision").isNotNull(), F.coalesce("issue_type", F.lit("table_cell_evidence"))).otherwise(rule)
     sure = F.when(F.col("decision").isNotNull(), F.col("cell_confidence")).when(kind == "confusable_numeric_text", 0.55).otherwise(0.54)
@@ -61,7 +67,7 @@ def anomalies(cells: DataFrame, profiles: DataFrame) -> DataFrame:
 
 def grids(cells: DataFrame, found: DataFrame) -> DataFrame:
     """Per grid: size, cells by state, anomalies, and its status. Cells and anomalies meet in one aggregation."""
-    own = cells.select(*GRID, "row_index", "col_index", (value_type(F.col("text")) != "empty").cast("int").alias("full"), (~F.col("covered")).cast("int").alias("open"), F.lit(0).alias("odd"), F.lit(0).alias("confirmed"), F.lit(1).alias("cell"))
+    own = cells.select(*GRID, "row_index", "col_index", (normalize(F.coalesce("text", F.lit(""))) != "").cast("int").alias("full"), (~F.col("covered")).cast("int").alias("open"), F.lit(0).alias("odd"), F.lit(0).alias("confirmed"), F.lit(1).alias("cell"))
     odd = found.select(*GRID, "row_index", "col_index", F.lit(0).alias("full"), F.lit(0).alias("open"), F.lit(1).alias("odd"), (F.col("decision") == "confirmed_error").cast("int").alias("confirmed"), F.lit(0).alias("cell"))
     total = lambda c, name: F.sum(c).alias(name)
     met = own.unionByName(odd).groupBy(*GRID).agg(

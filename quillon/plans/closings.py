@@ -99,22 +99,25 @@ FROM (SELECT CAST(l_orderkey AS BIGINT) AS page_no, 1 AS table_index, CAST(l_lin
 SQL_CELLS = CELLS.replace("AS STRING", "AS VARCHAR").replace("COLUMNS_OF_ROW", "unnest([1, 2, 3, 4]) AS col_index")
 
 
-def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(CELLS.replace("COLUMNS_OF_ROW", "explode(array(1, 2, 3, 4)) AS col_index").replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
+def _cells(spark: SparkSession, sf_dir: str, by_page: bool = False) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem")
+    # order lines are narrower than their four cells: dealt by page before, cells need not be dealt again
+    items = items.repartition("l_orderkey") if by_page else items
+    return spark.sql(CELLS.replace("COLUMNS_OF_ROW", "explode(array(1, 2, 3, 4)) AS col_index").replace("FROM lineitem", "FROM {lineitem}"), lineitem=items)
 
 
 def grid_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grids.column_profiles(_cells(spark, sf_dir))
+    return grids.column_profiles(_cells(spark, sf_dir, by_page=True))
 
 
 def grid_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _cells(spark, sf_dir)
-    return grids.anomalies(cells, grids.column_profiles(cells))
+    return grids.anomalies(cells, grids.decimal_columns(cells))
 
 
 def table_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _cells(spark, sf_dir)
-    return grids.grids(cells, grids.anomalies(cells, grids.column_profiles(cells)))
+    return grids.grids(cells, grids.anomalies(cells, grids.decimal_columns(cells)))
 
 
 QUERIES = {f.__name__: f for f in (coverage_ledger, table_closure, page_review_closure, closure_summary, coverage_backfill, typed_fields, recall_guard, grid_columns, grid_anomalies, table_grids)}
