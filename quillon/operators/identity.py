@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import alpha_index, greek_index, serial_index
 from ..session import checkpointed
+from .unions import IN_TASK, in_groups
 
 #: Order of types in a directory, and names of replacements.
 TYPE_PRIORITY = {"ORGANIZATION": 1, "COMPANY_NAME": 1, "PERSON": 2, "PERSON_NAME": 2, "ALIAS": 3, "BANK_NAME": 4, "ACCOUNT_NAME": 5, "ADDRESS": 6, "LOCATION": 6}
@@ -81,9 +82,38 @@ def quality_gate(candidates: DataFrame) -> DataFrame:
 def card_components(cards: DataFrame) -> DataFrame:
     """Cards (doc_id, card, surface) that share surfaces, directly or by others: doc_id, card, subject (the smallest card).
 
-    Labels pass over card-surface edges, both ways in a round, and cards take the label of their label, until none changes.
+    Documents of up to IN_TASK edges stream by, each united link after link; in others labels pass over card-surface edges, in rounds.
     """
     edges = checkpointed(cards.select("doc_id", "card", "surface").distinct())
+    large = checkpointed(edges.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > IN_TASK).select("doc_id"))
+    few, rest = edges, None
+    if not large.isEmpty():
+        few, rest = checkpointed(edges.join(large, "doc_id", "left_anti")), _components_in_rounds(edges.join(large, "doc_id", "left_semi"))
+
+    def each(group: list[tuple]) -> list[tuple]:
+        above = {card: card for _, card, _ in group}
+
+        def top(card: int) -> int:
+            while above[card] != card:
+                above[card] = above[above[card]]
+                card = above[card]
+            return card
+
+        first: dict = {}
+        for _, card, surface in group:
+            if surface is not None:
+                a, b = sorted((top(card), top(first.setdefault(surface, card))))
+                above[b] = a
+        return [(group[0][0], card, top(card)) for card in above]
+
+    types = dict(edges.dtypes)
+    found = in_groups(few, "doc_id", ("card", "surface"), ("card", "surface"), each, f"doc_id {types['doc_id']}, card {types['card']}, subject {types['card']}")
+    return found if rest is None else found.unionByName(rest)
+
+
+def _components_in_rounds(edges: DataFrame) -> DataFrame:
+    """card_components of edges: labels pass both ways in a round, and cards take the label of their label, until none changes."""
+    edges = checkpointed(edges)
     labels = edges.groupBy("doc_id", "card").agg(F.min("card").alias("subject"))
     changed = True
     while changed:

@@ -9,9 +9,14 @@ paired up but linked to their first member, and names within names are found by
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..session import checkpointed
 
@@ -27,7 +32,7 @@ def token_links(entities: DataFrame) -> DataFrame:
     each = entities.select("doc_id", "node", "pos", F.explode(F.array_distinct("tokens")).alias("token")).where("token is not null")
     owner = each.groupBy("doc_id", "token").agg(F.min(F.struct("pos", "node")).alias("owner"))
     linked = each.join(owner, ["doc_id", "token"]).where(F.col("node") != F.col("owner.node"))
-    return linked.select(F.col("owner.node").alias("left"), F.col("node").alias("right"), F.struct(F.lit(0).alias("phase"), F.col("pos").alias("at"), F.col("token").alias("by"), F.col("node").alias("id")).alias("ord"))
+    return linked.select("doc_id", F.col("owner.node").alias("left"), F.col("node").alias("right"), F.struct(F.lit(0).alias("phase"), F.col("pos").alias("at"), F.col("token").alias("by"), F.col("node").alias("id")).alias("ord"))
 
 
 def contained_links(entities: DataFrame) -> DataFrame:
@@ -100,8 +105,15 @@ def _round(edges: DataFrame, keys: DataFrame) -> DataFrame:
 
 def _replay(links: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
     """The unions of one component, link after link."""
-    above = {n: n for n in members["node"]}
-    held = {n: set(k) for n, k in zip(members["node"], members["keys"])}
+    order = sorted(zip(links["ord"].map(lambda o: (o["phase"], o["at"], o["by"], o["id"])), links["left"], links["right"]))
+    roots = _united(zip(members["node"], members["keys"]), (x[1:] for x in order))
+    return pd.DataFrame({"node": list(roots), "root": list(roots.values())})
+
+
+def _united(members: Iterable[tuple], links: Iterable[tuple]) -> dict:
+    """The smallest node of the union of each of members (node, keys), after links (left, right) in order."""
+    held = {n: set(k) for n, k in members}
+    above = {n: n for n in held}
 
     def top(n: str) -> str:
         while above[n] != n:
@@ -109,17 +121,67 @@ def _replay(links: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
             n = above[n]
         return n
 
-    order = sorted(zip(links["ord"].map(lambda o: (o["phase"], o["at"], o["by"], o["id"])), links["left"], links["right"]))
-    for _, left, right in order:
+    for left, right in links:
         a, b = sorted((top(left), top(right)))
         if a != b and not (held[a] and held[b] and held[a].isdisjoint(held[b])):
             above[b] = a
             held[a] |= held[b]
-    return pd.DataFrame({"node": list(above), "root": [top(n) for n in above]})
-
-
-def guarded(entities: DataFrame, links: DataFrame) -> DataFrame:
-    """entities (node, keys) with subject, the smallest node of their union, after links (left, right, ord) in order of ord."""
+    return {n: top(n) for n in above}
+
+
+def in_groups(rows: DataFrame, by: str, order: tuple[str, ...], columns: tuple[str, ...], each: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """each of the rows (by and columns) of every group, in order: groups stream through tasks one after another, sorted."""
+    out = StructType.fromDDL(schema)
+    fields = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], f.type) for i, f in enumerate(fields)], schema=fields)
+
+        group, found = [], []
+        for part in batches:
+            for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if group and group[0][0] != row[0]:
+                    found += each(group)
+                    group = []
+                    if len(found) >= 10_000:
+                        yield batch(found)
+                        found = []
+                group.append(row)
+        if group:
+            found += each(group)
+        if found:
+            yield batch(found)
+
+    return rows.repartition(by).sortWithinPartitions(by, *order).select(by, *columns).mapInArrow(run, out)
+
+
+def _guarded_within(entities: DataFrame, links: DataFrame, within: str) -> DataFrame:
+    """guarded, where no link leaves its group: groups of up to IN_TASK links are replayed as they stream by, others in rounds."""
+    nodes = checkpointed(entities.select(within, "node", F.coalesce("keys", F.array().cast("array<string>")).alias("keys")))
+    edges = checkpointed(links.where("left <> right").select(within, "left", "right", "ord"))
+    large = checkpointed(edges.groupBy(within).agg(F.count("*").alias("n")).where(F.col("n") > IN_TASK).select(within))
+    none = lambda column, df: F.lit(None).cast(dict(df.dtypes)[column]).alias(column)
+    rows = nodes.select(within, F.lit(0).alias("kind"), F.col("node").alias("left"), none("right", edges), none("ord", edges), "keys")
+    rows, rest = rows.unionByName(edges.select(within, F.lit(1).alias("kind"), "left", "right", "ord", none("keys", nodes))), None
+    if not large.isEmpty():
+        # written down: a join that adaptive execution changes would not keep the groups that a later repartition relies on
+        rows, rest = checkpointed(rows.join(large, within, "left_anti")), guarded(nodes.join(large, within, "left_semi"), edges.join(large, within, "left_semi"))
+
+    def each(group: list[tuple]) -> list[tuple]:
+        own = {x[2]: x[4] for x in group if x[1] == 0}
+        roots = _united(own.items(), ((x[2], x[3]) for x in group if x[1] == 1))
+        return [(n, keys, roots[n]) for n, keys in own.items()]
+
+    replayed = in_groups(rows, within, ("kind", "ord", "left", "right"), ("kind", "left", "right", "keys"), each, "node string, keys array<string>, subject string")
+    return replayed if rest is None else replayed.unionByName(rest)
+
+
+def guarded(entities: DataFrame, links: DataFrame, within: str | None = None) -> DataFrame:
+    """entities (node, keys) with subject, the smallest node of their union, after links (left, right, ord) in order of ord.
+    ``within`` names a column of both whose groups no link leaves."""
+    if within is not None:
+        return _guarded_within(entities, links, within)
     nodes = checkpointed(entities.select("node", F.coalesce("keys", F.array().cast("array<string>")).alias("keys")))
     # a link that was refused may come again and be taken, once its ends have more keys
     edges = checkpointed(links.where("left <> right").select("left", "right", "ord").distinct())

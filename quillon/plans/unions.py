@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import unions
+from ..session import checkpointed
 from .common import SQL_MENTIONS, mentions
 
 #: The letters that begin a word make it a candidate for the subjects of others that begin so; the last two are a stable
@@ -30,8 +31,8 @@ def identity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def guarded_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = surfaces(spark, sf_dir)
-    return unions.guarded(own, unions.token_links(own)).select("node", "subject")
+    own = checkpointed(surfaces(spark, sf_dir))
+    return unions.guarded(own, unions.token_links(own), "doc_id").select("node", "subject")
 
 
 def contained_names(spark: SparkSession, sf_dir: str) -> DataFrame:
