@@ -25,32 +25,31 @@ def standing(decisions: DataFrame, by: str) -> DataFrame:
 
 
 def _jumped(steps: DataFrame) -> DataFrame:
-    """steps (source, target) with the target as far as it leads, and least, the smallest id on the way (the source left out of
-    a circle's way comes back as its last step)."""
+    """steps (source, target) as source, at and least: a place as far as they lead, and the smallest id on the way there. What
+    leads into a circle ends somewhere in it, what stands in one has gone all around.
+
+    Circles never end. A round that leaves as many sources under way, at as many places, as the one before has only such
+    left as lead into circles, all of them there by now (what ends does so at every distance below the longest); one that
+    finds no smaller id either has gone around. So rounds follow the longest way, not the number of steps.
+    """
     now = checkpointed(steps.select("source", F.col("target").alias("at"), F.col("target").alias("least")))
-    rounds = max(1, now.count()).bit_length()
-    for _ in range(rounds):
+    before = None
+    while True:
         ahead = now.select(F.col("source").alias("at"), F.col("at").alias("further"), F.col("least").alias("lower"))
-        joined = now.join(ahead, "at", "left")
-        if joined.where("further is not null").isEmpty():
-            break
-        now = checkpointed(joined.select("source", F.coalesce("further", "at").alias("at"), F.least("least", "lower").alias("least")))
-    return now
+        joined = checkpointed(now.join(ahead, "at", "left"))
+        under_way, places, smaller = joined.where("further is not null").agg(F.count("*"), F.countDistinct("at"), F.count_if(F.col("lower") < F.col("least"))).first()
+        if not under_way or ((under_way, places) == before and not smaller):
+            return now
+        now, before = joined.select("source", F.coalesce("further", "at").alias("at"), F.least("least", "lower").alias("least")), (under_way, places)
 
 
 def id_map(decisions: DataFrame) -> DataFrame:
     """source, target: what each merged subject finally is. decisions: seq, edge_id, action, source_subject_id, target_subject_id."""
     merges = standing(decisions, "edge_id").where((F.col("action") == MERGE) & (F.col("source_subject_id") != F.col("target_subject_id")))
-    steps = checkpointed(merges.groupBy(F.col("source_subject_id").alias("source")).agg(F.max_by("target_subject_id", "seq").alias("target")))
-    ends = _jumped(steps)
-    # what still has a step where it ended goes round in a circle, and whoever ends at itself or is ended at is part of one
-    circling = ends.join(steps.select(F.col("source").alias("at")), "at", "left_semi")
-    members = circling.select(F.col("at").alias("source")).distinct()
-    roots = checkpointed(circling.join(members, "source", "left_semi").where(F.col("least") == F.col("source")).select("source"))
-    if roots.isEmpty():
-        return ends.select("source", F.col("at").alias("target"))
-    open_ = steps.join(roots, "source", "left_anti")
-    return _jumped(open_).select("source", F.col("at").alias("target"))
+    ends = _jumped(merges.groupBy(F.col("source_subject_id").alias("source")).agg(F.max_by("target_subject_id", "seq").alias("target")))
+    # a place that has a step is part of a circle, which its smallest id stands for
+    circles = ends.select(F.col("source").alias("at"), F.col("least").alias("root"))
+    return ends.join(circles, "at", "left").select("source", F.coalesce("root", "at").alias("target")).where("source <> target")
 
 
 def resolved_edges(edges: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -62,9 +61,9 @@ def resolved_edges(edges: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def resolved_occurrences(occurrences: DataFrame, decisions: DataFrame, ids: DataFrame) -> DataFrame:
     """occurrences (occurrence_id, subject_id, text, status) with their final subject: a merge comes before any decision of their own."""
-    own = standing(decisions, "occurrence_id").select("occurrence_id", "action")
+    own = standing(decisions.select("occurrence_id", "seq", "action"), "occurrence_id").select("occurrence_id", "action")
     map_ = ids.select(F.col("source").alias("subject_id"), "target")
-    joined = occurrences.join(map_, "subject_id", "left").join(own, "occurrence_id", "left")
+    joined = occurrences.join(map_.hint("shuffle_hash"), "subject_id", "left").join(own.hint("shuffle_hash"), "occurrence_id", "left")
     status = F.element_at(F.create_map(*[F.lit(x) for p in OCCURRENCE_STATUS.items() for x in p]), F.col("action"))
     return joined.select(
         "occurrence_id", F.coalesce("target", "subject_id").alias("subject_id"), F.when(F.col("target").isNotNull(), F.col("subject_id")).alias("original_subject_id"), "text",

@@ -43,3 +43,23 @@ def test_order_of_decisions(spark):
     assert {(r.occurrence_id, r.subject_id, r.original_subject_id, r.status) for r in done.collect()} == {("o1", "z", None, "confirmed_subject"), ("o2", "c", "b", "confirmed_subject"), ("o3", "z", None, "rejected_subject"), ("o4", None, None, "s")}
     assert {(r.subject_id, r.occurrences, r.surfaces, r.merged) for r in adjudicate.resolved_subjects(done, ids).collect()} == {("z", 2, 2, 0), ("c", 1, 1, 2), (None, 1, 0, 0)}
     assert adjudicate.id_map(log.where("false")).count() == 0
+
+
+def test_rounds_follow_the_longest_way(spark, monkeypatch):
+    # circles of 1 to 4 ids with ways of up to 3 into them, the smallest id anywhere, and short chains: 16 ids at most on a way
+    rng, steps = random.Random(14), {}
+    for g in range(120):
+        ids = rng.sample([f"g{g:03}n{i}" for i in range(9)], 9)
+        if g % 3:
+            circle = ids[: 2 + g % 3]
+            steps |= dict(zip(circle, circle[1:] + circle[:1], strict=True)) | {ids[5]: ids[6], ids[6]: ids[7], ids[7]: rng.choice(circle)}
+        else:
+            steps |= dict(zip(ids, ids[1:], strict=False))
+    log = [(i, f"e{i}", None, "merge_to_canonical", a, b) for i, (a, b) in enumerate(steps.items())]
+    written = []
+    cut = adjudicate.checkpointed
+    monkeypatch.setattr(adjudicate, "checkpointed", lambda df: written.append(df) or cut(df))
+    got = {r.source: r.target for r in adjudicate.id_map(spark.createDataFrame(log, LOG)).collect()}
+    assert got == slow(steps)
+    # four rounds reach 16 ids, one or two more tell that nothing but circles is left; that many sources would take ten
+    assert len(steps) > 512 and len(written) <= 8
