@@ -8,6 +8,7 @@ and what was done to it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -69,44 +70,45 @@ CHINESE = Policy(
 SPAN = "array<struct<entity_type:string,start:int,end:int,text:string,repair:string>>"
 
 
-def _piece(value: Column, at: Column, n: Column, kind: Column, repair: str) -> Column:
-    start = F.col("start") + at
+def _piece(of: Callable[[str], Column], at: Column, n: Column, kind: Column, repair: str) -> Column:
+    value, start = of("text"), of("start") + at
     return F.struct(kind.alias("entity_type"), start.cast("int").alias("start"), (start + n).cast("int").alias("end"), F.substr(value, at + 1, n).alias("text"), F.lit(repair).alias("repair"))
 
 
-def _pieces(policy: Policy, pattern: str, fit: str, repair: str) -> Column:
+def _pieces(policy: Policy, of: Callable[[str], Column], pattern: str, fit: str, repair: str) -> Column:
     """The parts of a value between what fits pattern that fit as a whole, if there are several."""
-    value = F.col("text")
+    value = of("text")
     even = reduce(lambda v, j: F.replace(v, F.lit(j[0]), F.lit(j[1])), policy.joined, value)
     # places of parts: every joint is one character
     placed = lambda parts: F.transform(parts, lambda p, i: F.struct(F.length(p).alias("n"), F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda t, q: t + F.length(q) + 1).alias("at")))
-    cut = bind(F.split(even, pattern, -1), lambda parts: F.transform(placed(parts), lambda p: _piece(value, p["at"], p["n"], F.col("entity_type"), repair)))
+    cut = bind(F.split(even, pattern, -1), lambda parts: F.transform(placed(parts), lambda p: _piece(of, p["at"], p["n"], of("entity_type"), repair)))
     fits = bind(F.filter(cut, lambda p: F.rlike(p["text"], F.lit(fit))), lambda found: F.when(F.size(found) >= 2, found))
     return F.when(F.rlike(even, F.lit(pattern)), fits)
 
 
-def step(policy: Policy) -> Column:
-    """What the first rule that fits makes of a span: an array of spans, or null where none fits."""
-    value, kind = F.col("text"), F.col("entity_type")
+def step(policy: Policy, of: Callable[[str], Column] = F.col) -> Column:
+    """What the first rule that fits makes of a span, whose fields are those of a row or what ``of`` gives: an array of spans,
+    or null where none fits."""
+    value, kind = of("text"), of("entity_type")
     n = F.length(value)
     found = lambda pattern: F.length(F.regexp_extract(value, pattern, 0))
-    less = lambda left, right, repair: F.array(_piece(value, left, n - left - right, kind, repair))
+    less = lambda left, right, repair: F.array(_piece(of, left, n - left - right, kind, repair))
     zero = F.lit(0)
     # each length is worked out once, and only if no rule before it fits
     part = lambda pattern, body: bind(found(pattern), lambda k: F.when((k > 0) & (k < n), body(k)))
     led = part(f"^[{policy.marks}]+", lambda k: less(k, zero, "strip_leading_punctuation"))
     trailed = part(f"[{policy.marks}]+$", lambda k: less(zero, k, "strip_trailing_punctuation"))
     labelled = part(f"^{policy.label}", lambda k: less(k, zero, "strip_field_label"))
-    narrative = _pieces(policy, policy.breaks, f"(?s)^.*{policy.tail}", "split_narrative_subjects")
-    parallel = _pieces(policy, policy.joints, f"(?s)^(?:{policy.piece})", "split_parallel_subject")
+    narrative = _pieces(policy, of, policy.breaks, f"(?s)^.*{policy.tail}", "split_narrative_subjects")
+    parallel = _pieces(policy, of, policy.joints, f"(?s)^(?:{policy.piece})", "split_parallel_subject")
     ends = part(f"(?s)^.*{policy.tail}", lambda k: less(zero, n - k, "trim_to_organization_shape"))
     after = part(f"^{policy.noise}", lambda k: F.when(F.substr(value, k + 1).rlike(policy.tail), less(k, zero, "strip_leading_noise")))
     bridge = F.lit(None).cast(SPAN)
     if policy.verbs:
         office = f"(?s)^({policy.person}?)({policy.verbs})(.*{policy.tail})"
-        of = lambda i: F.length(F.regexp_extract(value, office, i))
-        both = lambda k: F.array(_piece(value, zero, k["first"], F.lit("PERSON"), "split_person_org_bridge"), _piece(value, k["first"] + k["verb"], k["rest"], F.lit("ORGANIZATION"), "split_person_org_bridge"))
-        lengths = F.when(of(1) > 0, F.struct(of(1).alias("first"), of(2).alias("verb"), of(3).alias("rest")))
+        group = lambda i: F.length(F.regexp_extract(value, office, i))
+        both = lambda k: F.array(_piece(of, zero, k["first"], F.lit("PERSON"), "split_person_org_bridge"), _piece(of, k["first"] + k["verb"], k["rest"], F.lit("ORGANIZATION"), "split_person_org_bridge"))
+        lengths = F.when(group(1) > 0, F.struct(group(1).alias("first"), group(2).alias("verb"), group(3).alias("rest")))
         bridge = bind(lengths, lambda k: F.when(k.isNotNull(), both(k)))
     return F.coalesce(led, trailed, labelled, narrative, after, bridge, parallel, ends)
 
@@ -160,22 +162,90 @@ def repair_counts(raw: DataFrame, spans: DataFrame, accepted: Column) -> DataFra
     return reduce(DataFrame.unionByName, [count(raw, "raw"), count(spans, "boundary_normalized"), count(spans.where(F.size("repairs") > 0), "boundary_repaired"), by_repair, gated])
 
 
+def _settled(spans: Column, policy: Policy) -> Column:
+    """Spans (an array of entity_type, start, end, text, origin_start, origin_end, repairs) until no rule fits, within the row: what repaired does in jobs."""
+    own = ("entity_type", "start", "end", "text", "origin_start", "origin_end", "repairs")
+    fields = lambda s, moves: F.struct(*[s[c].alias(c) for c in own], F.lit(moves).alias("moves"))
+
+    def moved(s: Column) -> Column:
+        then = lambda n: F.struct(
+            *[n[c].alias(c) for c in own[:4]], *[s[c].alias(c) for c in own[4:6]], F.concat(s["repairs"], F.array(n["repair"])).alias("repairs"), F.lit(True).alias("moves")
+        )
+        made = F.transform(step(policy, s.__getitem__), then)
+        return F.when(s["moves"], F.coalesce(made, F.array(fields(s, False)))).otherwise(F.array(s))
+
+    moving = lambda now: F.exists(now, lambda s: s["moves"])
+    one = lambda now, _: F.when(moving(now), F.flatten(F.transform(now, moved))).otherwise(now)
+    several = lambda now, _: F.when(moving(now), F.aggregate(F.sequence(F.lit(1), F.lit(RULES_A_JOB)), now, one)).otherwise(now)
+    # every rule shortens what it fits, so there are no more steps than characters
+    longest = F.coalesce(F.array_max(F.transform(spans, lambda s: F.length(s["text"]))), F.lit(0))
+    return F.aggregate(F.sequence(F.lit(0), F.floor(longest / RULES_A_JOB).cast("int")), F.transform(spans, lambda s: fields(s, True)), several)
+
+
+def _typed(kind: Column) -> Column:
+    return F.when(kind == "COMPANY_NAME", "ORGANIZATION").when(kind == "PERSON_NAME", "PERSON").otherwise(kind)
+
+
+def _supported(kind: Column) -> Column:
+    return kind.isin("ORGANIZATION", "PERSON")
+
+
+def _reason(kind: Column, text: Column, policy: Policy) -> Column:
+    shape = F.when(kind == "PERSON", F.rlike(text, F.lit(f"^(?:{policy.person})$"))).otherwise(F.rlike(text, F.lit(f"^(?:{policy.piece})$")))
+    return F.when(F.length(text) < 2, "too_short").when(~shape, "no_subject_shape")
+
+
+def _action(reason: Column, repairs: Column) -> Column:
+    return F.when(reason.isNotNull(), "reject").when(F.exists(repairs, lambda r: F.startswith(r, F.lit("split"))), "review").otherwise("keep")
+
+
+def rule_first_within(docs: DataFrame, policy: Policy = CHINESE) -> DataFrame:
+    """What rule_first gives for documents of one row each (doc_id, spans, shapes as arrays) whose spans stand in one text: each
+    row is worked out by itself, so nothing is dealt anew or written down."""
+    key = ("entity_type", "start", "end", "text")
+
+    def grown(s: Column, shapes: Column) -> Column:
+        holds = F.filter(shapes, lambda u: (u["end"] >= u["start"]) & (u["start"] <= s["start"]) & (s["end"] <= u["end"]))
+        sized = F.transform(holds, lambda u: F.struct((u["end"] - u["start"]).alias("n"), F.concat_ws(":", u["start"], u["end"]).alias("id"), *[u[c].alias(c) for c in key[1:]]))
+        kind, origin = _typed(s["entity_type"]).alias("entity_type"), (s["start"].alias("origin_start"), s["end"].alias("origin_end"))
+        wide = lambda u: F.struct(kind, *[u[c].alias(c) for c in key[1:]], *origin, F.array(F.lit("expand_to_full_subject_shape")).alias("repairs"))
+        bare = F.struct(kind, *[s[c].alias(c) for c in key[1:]], *origin, F.array().cast("array<string>").alias("repairs"))
+        return bind(F.array_min(sized), lambda u: F.when(u["n"] > s["end"] - s["start"], wide(u)).otherwise(bare))
+
+    same = lambda x, y: F.struct(*[x[c] for c in key]).eqNullSafe(F.struct(*[y[c] for c in key]))
+    # of each place and type the first by origin and repairs
+    firsts = lambda found: bind(F.array_sort(found), lambda all_: F.filter(all_, lambda x, i: (i == 0) | ~same(x, F.get(all_, i - 1))))
+    judge = lambda x: F.struct(*[x[c].alias(c) for c in (*key, "repairs")], _reason(x["entity_type"], x["text"], policy).alias("reason"))
+
+    def swept(judged: Column) -> Column:
+        before = lambda y, x: (y["start"] < x["start"]) | (y["start"] == x["start"]) & (y["end"] > x["end"])
+        over = lambda x: F.exists(judged, lambda y: y["reason"].isNull() & (y["entity_type"] == x["entity_type"]) & before(y, x) & (x["start"] < y["end"]))
+        reason = lambda x: F.when(x["reason"].isNotNull(), x["reason"]).when(over(x), "duplicate")
+        out = lambda x: bind(reason(x), lambda r: F.struct(*[x[c].alias(c) for c in key], _action(r, x["repairs"]).alias("action"), r.alias("reason")))
+        return F.transform(judged, out)
+
+    began = bind(F.col("shapes"), lambda shapes: F.transform(F.filter("spans", lambda s: _supported(_typed(s["entity_type"]))), lambda s: grown(s, shapes)))
+    settled = bind(began, lambda spans: _settled(spans, policy))
+    own = bind(F.transform(firsts(settled), judge), swept)
+    outside = F.transform(
+        F.filter("spans", lambda s: ~_supported(_typed(s["entity_type"]))),
+        lambda s: F.struct(_typed(s["entity_type"]).alias("entity_type"), *[s[c].alias(c) for c in key[1:]], F.lit("reject").alias("action"), F.lit("unsupported_internal_entity_type").alias("reason")),
+    )
+    return docs.select("doc_id", F.inline(F.concat(own, outside)))
+
+
 def rule_first(spans: DataFrame, shapes: DataFrame, policy: Policy = CHINESE) -> DataFrame:
     """Raw spans through types, boundaries, false positives and the gate, as a ledger of spans: what is unsupported, too short to be
     a name, or without an ending or a person's shape is rejected, with its reason; the rest is kept, those that were split are reviewed. Of spans of one
     type that overlap, those that begin first and are longest stay; others are duplicates."""
-    typed = spans.withColumn("entity_type", F.when(F.col("entity_type") == "COMPANY_NAME", "ORGANIZATION").when(F.col("entity_type") == "PERSON_NAME", "PERSON").otherwise(F.col("entity_type")))
-    supported = F.col("entity_type").isin("ORGANIZATION", "PERSON")
+    typed = spans.withColumn("entity_type", _typed(F.col("entity_type")))
+    supported = _supported(F.col("entity_type"))
     outside = typed.where(~supported).select("doc_id", "entity_type", "start", "end", "text", F.lit("reject").alias("action"), F.lit("unsupported_internal_entity_type").alias("reason"))
     own = repaired(typed.where(supported), policy, shapes)
-    shape = F.when(F.col("entity_type") == "PERSON", F.rlike("text", F.lit(f"^(?:{policy.person})$"))).otherwise(F.rlike("text", F.lit(f"^(?:{policy.piece})$")))
-    reason = F.when(F.length("text") < 2, "too_short").when(~shape, "no_subject_shape")
     order = Window.partitionBy("doc_id", "entity_type").orderBy("start", F.desc("end"))
-    judged = own.withColumn("reason", reason)
+    judged = own.withColumn("reason", _reason(F.col("entity_type"), F.col("text"), policy))
     # a sweep over what passes: a span that begins before the furthest end so far lies over another
     good = judged.where("reason is null").withColumn("furthest", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     good = good.withColumn("reason", F.when(F.col("start") < F.col("furthest"), "duplicate")).drop("furthest")
-    split = F.exists("repairs", lambda r: F.startswith(r, F.lit("split")))
-    action = F.when(F.col("reason").isNotNull(), "reject").when(split, "review").otherwise("keep")
-    every = good.unionByName(judged.where("reason is not null")).withColumn("action", action)
+    every = good.unionByName(judged.where("reason is not null")).withColumn("action", _action(F.col("reason"), F.col("repairs")))
     return every.select("doc_id", "entity_type", "start", "end", "text", "action", "reason").unionByName(outside)

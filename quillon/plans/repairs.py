@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import matches
 from ..operators import repair
 from ..operators.recognize import Rule, recognize
 from .common import documents, sql_matches, table
@@ -50,18 +51,31 @@ PLAIN = repair.Policy(
 PHRASE = r"[A-Z][a-z]+(?:[ ,]+[a-z]+){1,9}"
 
 
+def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, customer = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+
+
+def _texts(joined: DataFrame) -> DataFrame:
+    return joined.sparkSession.sql(CONTRACTS.replace("orders JOIN customer ON o_custkey = c_custkey", "{joined}"), joined=joined)
+
+
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(CONTRACTS.replace("FROM orders JOIN customer", "FROM {orders} JOIN {customer}"), orders=table(spark, sf_dir, "orders"), customer=table(spark, sf_dir, "customer"))
+    return _texts(_joined(spark, sf_dir))
 
 
-def raw_spans(texts: DataFrame) -> DataFrame:
-    """What loose recognizers give: the whole clause, and the bare name in it."""
+def _raw_spans() -> Column:
     kind = F.when(F.col("doc_id") % 17 == 3, "ADDRESS").when(F.col("doc_id") % 5 == 2, "COMPANY_NAME").otherwise("ORGANIZATION")
     at = F.instr("clause", F.col("named")) - 1
     span = lambda kind, start, end, text, score: F.struct(kind.alias("entity_type"), start.alias("start"), end.alias("end"), text.alias("text"), F.lit(score).cast("double").alias("score"))
     clause = span(kind, F.lit(0), F.length("clause"), F.col("clause"), 0.6)
     bare = span(F.lit("ORGANIZATION"), at, at + F.length("named"), F.col("named"), 0.9)
-    return texts.select("doc_id", F.inline(F.array(clause, bare)))
+    return F.array(clause, bare)
+
+
+def raw_spans(texts: DataFrame) -> DataFrame:
+    """What loose recognizers give: the whole clause, and the bare name in it."""
+    return texts.select("doc_id", F.inline(_raw_spans()))
 
 
 def shapes(texts: DataFrame) -> DataFrame:
@@ -98,8 +112,22 @@ def split_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rule_first_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw, whole = _of_contracts(spark, sf_dir)
-    return repair.rule_first(raw, whole)
+    """Contracts with a key of their own are worked out by themselves; those that share one meet by it."""
+    joined = _joined(spark, sf_dir)
+    # keys alone tell whether any contracts share one
+    twice = lambda name, key: not table(spark, sf_dir, name).groupBy(key).count().where("count > 1").isEmpty()
+    if not twice("customer", "c_custkey") and not twice("orders", "o_orderkey"):
+        # narrow rows with much work each, which sizes would put into few partitions
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        return _ledger_of_single(_texts(joined.repartition(parts, "o_orderkey")))
+    counted = joined.withColumn("copies", F.count("*").over(Window.partitionBy("o_orderkey")))
+    single, several = (_texts(counted.where(c)) for c in ("copies = 1", "copies > 1"))
+    return _ledger_of_single(single).unionByName(repair.rule_first(raw_spans(several), shapes(several)))
+
+
+def _ledger_of_single(texts: DataFrame) -> DataFrame:
+    found = F.when(F.rlike("text", F.lit(SHAPE)), matches(F.col("text"), SHAPE))
+    return repair.rule_first_within(texts.select("doc_id", _raw_spans().alias("spans"), found.alias("shapes")))
 
 
 def repaired_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
